@@ -9,7 +9,7 @@ columns to that aggregation, not a job.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as V
-from ..functions.text import loose_agent_match, speaker, strip  # noqa: F401
+from ..functions.text import strip
 from ..schema import K
 from .sequence import BLK, BLOCK_STEPS, dense_position, file_frame, join_files
 

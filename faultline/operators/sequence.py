@@ -97,21 +97,26 @@ def running_max(df: DataFrame, value: Column, out: str, keys=K, block: int = BLO
     )
 
 
-def running_sum(df: DataFrame, value: Column, out: str, keys=K,
-                block: int = BLOCK_STEPS) -> DataFrame:
-    """Inclusive running sum over steps of the same key."""
-    work = with_block(df, block).withColumn("_v", value)
+def running_sums(df: DataFrame, values: dict[str, Column], keys=K, block: int = BLOCK_STEPS,
+                 idx: str = "step_idx") -> DataFrame:
+    """Inclusive running sums over steps of the same key, several at once."""
+    work = with_block(df, block, idx)
+    for out, value in values.items():
+        work = work.withColumn(f"_v_{out}", value)
     inside = (
-        Window.partitionBy(*keys, BLK).orderBy("step_idx")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    carry = block_carry(work, {"_s": F.sum("_v")}, keys, F.sum)
-    return (
-        work.withColumn("_in", F.sum("_v").over(inside))
-        .join(carry, [*keys, BLK], "left")
-        .withColumn(out, F.col("_in") + F.coalesce("_s_carry", F.lit(0)))
-        .drop("_in", "_s_carry", "_v", BLK)
+        Window.partitionBy(*keys, BLK).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
     )
+    carry = block_carry(work, {f"_v_{out}": F.sum(f"_v_{out}") for out in values}, keys, F.sum)
+    got = work.select("*", *[F.sum(f"_v_{out}").over(inside).alias(out) for out in values])
+    got = got.drop(*[f"_v_{out}" for out in values]).join(carry, [*keys, BLK], "left")
+    for out in values:
+        got = got.withColumn(out, F.col(out) + F.coalesce(F.col(f"_v_{out}_carry"), F.lit(0)))
+    return got.drop(BLK, *[f"_v_{out}_carry" for out in values])
+
+
+def running_sum(df: DataFrame, value: Column, out: str, keys=K,
+                block: int = BLOCK_STEPS) -> DataFrame:
+    return running_sums(df, {out: value}, keys, block)
 
 
 def file_frame(scores: DataFrame, value: str = "p", keys=K,
@@ -202,8 +207,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, fractions: dict[
                     hot_rows: int = HOT_ROWS) -> DataFrame:
     """Linear-interpolation quantiles per key, exact for groups of any size.
 
-    Equal values are counted before anything is ordered; only the two order
-    statistics around each fraction are kept.
+    Meant for report cells (a handful of keys with very many rows each): equal
+    values are counted before anything is ordered, and only the two order
+    statistics around each fraction are kept. The table of asked positions has
+    one row per cell; AQE broadcasts it once its measured size allows.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("_w")

@@ -5,7 +5,9 @@ sizes, skewed join partitions are split, and broadcasts are chosen by AQE from
 the measured size of the small side rather than from an estimate.
 """
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -24,12 +26,24 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """Shared checkpoint folder: the cluster's own setting wins; ``fallback`` is
-    used only where none is set (tests)."""
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """The cluster's shared checkpoint folder. Only a local session that has none
+    gets a folder of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if where is None and fallback is not None:
-        where = fallback
-    if where is not None:
-        spark.sparkContext.setCheckpointDir(where)
+    if where is None and spark.sparkContext.master.startswith("local"):
+        current = spark.sparkContext.getCheckpointDir()
+        where = current or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return where
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a table several branches read to the reliable checkpoint folder, so
+    that lost executors do not replay everything before it. Without a shared
+    folder the plan is left as it is (correct, but recomputed per branch)."""
+    spark = df.sparkSession
+    where = checkpoint_dir(spark)
+    if where is None:
+        return df
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(where)
+    return df.checkpoint()
