@@ -214,7 +214,7 @@ def is_anomalous() -> Column:
     return F.arrays_overlap("flags", F.array(*[F.lit(f) for f in V.ANOMALY_FLAGS]))
 
 
-def slices(labels: DataFrame) -> DataFrame:
+def slices(labels: DataFrame, keep_all: bool = False) -> DataFrame:
     """(subset, file_id, slices): optional slices exist only in a subset that has
     something to exclude. The presence table has one row per subset."""
     held = "held_aside" in labels.columns
@@ -222,4 +222,4 @@ def slices(labels: DataFrame) -> DataFrame:
         F.max(is_anomalous()).alias("_any_anomalous"),
         F.max(F.col("held_aside") if held else F.lit(False)).alias("_any_held"))
     return labels.join(F.broadcast(present), "subset").select(
-        *K, slice_names(held).alias("slices"))
+        *(labels.columns if keep_all else K), slice_names(held).alias("slices"))

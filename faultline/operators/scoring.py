@@ -311,12 +311,15 @@ def embed_divergence(vectors: DataFrame, vector: str = "vector",
     Vector sums are taken per (trajectory, block): each block starts from the sum
     of the blocks before it, so a long trajectory is many independent tasks.
     """
-    v = with_block(vectors.select(*K, "step_idx", vector), block)
-    # element-wise partial sums: (block, dimension) pairs reduce on the map side
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    unit = F.transform(vector, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+    v = with_block(vectors.select(*K, "step_idx", unit.alias(vector)), block)
+    # only trajectories longer than a block need a carry; element-wise partial
+    # sums reduce on the map side to one row per (block, dimension)
+    long = v.groupBy(*K).agg(F.max(BLK).alias("_b")).filter(F.col("_b") > 0).select(*K)
     per_dim = (
-        v.select(*K, BLK, F.posexplode(vector).alias("d", "x"))
-        .groupBy(*K, BLK, "d").agg(F.sum(F.col("x").cast("double")).alias("s"),
-                                   F.count(F.lit(1)).alias("n"))
+        v.join(long, K, "left_semi").select(*K, BLK, F.posexplode(vector).alias("d", "x"))
+        .groupBy(*K, BLK, "d").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
     )
     earlier = Window.partitionBy(*K, "d").orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
     carry = per_dim.withColumn("c", F.sum("s").over(earlier)).withColumn(
