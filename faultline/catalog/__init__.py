@@ -1,0 +1,17 @@
+"""Registered queries over the driver tables, with their SQL statements."""
+
+from .base import ORACLES, QUERIES
+
+
+def _load() -> None:
+    from . import quality  # noqa: F401
+
+
+def all_queries():
+    _load()
+    return dict(QUERIES)
+
+
+def all_oracles():
+    _load()
+    return dict(ORACLES)

@@ -6,7 +6,7 @@ from .. import fixed_values as V
 from ..functions.text import collapse_agent, hash_fraction, strip
 from ..schema import K
 from .rules import exact_median
-from .sequence import BLOCK_STEPS, join_files
+from .sequence import AUTO, join_files
 
 
 def _sizes(steps: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def first_and_last(steps: DataFrame) -> DataFrame:
         _prediction(ends, "last_step", F.col("z.step_idx"), F.col("z.agent")))
 
 
-def majority_agent(steps: DataFrame, block: int = BLOCK_STEPS) -> DataFrame:
+def majority_agent(steps: DataFrame, block: int | None = AUTO) -> DataFrame:
     """Agent with most steps (alphabetical on ties) and the median of its steps."""
     counts = steps.groupBy(*K, "agent").agg(
         F.count(F.lit(1)).alias("n"), (F.max("step_idx") + 1).alias("_end"))
@@ -67,7 +67,7 @@ def busiest_agents(steps: DataFrame, k: int) -> DataFrame:
 
 
 def uniform_random_expectation(steps: DataFrame, labels: DataFrame, draws: int | None = None,
-                               seed: int = 0, block: int = BLOCK_STEPS) -> DataFrame:
+                               seed: int = 0, block: int | None = AUTO) -> DataFrame:
     """Per-file hit rate of a uniformly random step: exact, or over hash draws."""
     want = labels.select(*K, "n_steps", "mistake_step",
                          collapse_agent("mistake_agent").alias("_gold"))

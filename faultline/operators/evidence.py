@@ -14,7 +14,7 @@ from ..functions.typing import is_coordination, is_near_empty
 from ..schema import K
 from ..session import cut_lineage
 from .sequence import (
-    BLK, BLOCK_STEPS, block_window, join_files, running_max, running_sum, running_sums,
+    AUTO, BLK, block_keys, block_window, join_files, resolve, running_max, running_sums,
     running_total, spread, with_block, with_halo,
 )
 
@@ -81,15 +81,16 @@ def render_question(idx="step_idx", agent="agent", kind="type_norm", readout: st
 
 # --- structure --------------------------------------------------------------
 
-def turn_blocks(steps: DataFrame, block: int = BLOCK_STEPS) -> DataFrame:
+def turn_blocks(steps: DataFrame, block: int | None = AUTO) -> DataFrame:
     """``turn``: rises at a coordination step that follows a non-coordination one."""
+    block = resolve(steps, block)
     coord = is_coordination("type_norm")
-    opens = coord & ~F.coalesce(F.lag(coord, 1).over(block_window()), F.lit(True))
+    opens = coord & ~F.coalesce(F.lag(coord, 1).over(block_window(block)), F.lit(True))
     marked = (
         with_halo(steps, before=1, block=block)
         .withColumn("_opens", opens.cast("int")).filter("_core").drop("_core", BLK)
     )
-    return running_sum(marked, F.col("_opens"), "turn", block=block).drop("_opens").withColumn(
+    return running_sums(marked, {"turn": F.col("_opens")}, block=block).drop("_opens").withColumn(
         "turn", F.col("turn").cast("int"))
 
 
@@ -101,7 +102,7 @@ def _terse_execute() -> Column:
     return (F.col("type_norm") == "execute") & is_near_empty("content")
 
 
-def subtask_pointer(steps: DataFrame, block: int = BLOCK_STEPS) -> DataFrame:
+def subtask_pointer(steps: DataFrame, block: int | None = AUTO) -> DataFrame:
     """For each terse execute step: the nearest earlier coordination step that
     names its agent, or the delegation right before it.
 
@@ -109,7 +110,9 @@ def subtask_pointer(steps: DataFrame, block: int = BLOCK_STEPS) -> DataFrame:
     is matched against the agents that have terse steps, then the nearest
     earlier mention is a running maximum.
     """
-    prev = F.lag(F.when(F.col("type_norm") == "delegate", F.col("step_idx"))).over(block_window())
+    block = resolve(steps, block)
+    prev = F.lag(F.when(F.col("type_norm") == "delegate", F.col("step_idx"))).over(
+        block_window(block))
     s = steps.select(*K, "step_idx", "agent", "role_raw", "content", "type_norm")
     targets = (
         with_halo(s, before=1, block=block).withColumn("_direct", prev)
@@ -123,7 +126,7 @@ def subtask_pointer(steps: DataFrame, block: int = BLOCK_STEPS) -> DataFrame:
     word = F.concat(F.lit("(?iU)\\b\\Q"), F.replace("_who", F.lit("\\E"), F.lit("\\E\\\\E\\Q")),
                     F.lit("\\E\\b"))
     mentions = (
-        coord.join(spread(wanted, block), [*K, BLK])
+        coord.join(spread(wanted, block), block_keys(block))
         .filter(F.rlike(_text("content"), word) | F.rlike(_text("role_raw"), word))
         .select(*K, F.col("_who").alias("agent"), "step_idx",
                 F.col("step_idx").alias("_mention"), F.lit(False).alias("_asks"),
@@ -139,7 +142,7 @@ def subtask_pointer(steps: DataFrame, block: int = BLOCK_STEPS) -> DataFrame:
     return at.filter(F.col("pointer_idx").isNotNull()).join(source, [*K, "pointer_idx"])
 
 
-def peer_pointers(steps: DataFrame, block: int = BLOCK_STEPS) -> DataFrame:
+def peer_pointers(steps: DataFrame, block: int | None = AUTO) -> DataFrame:
     """For each terse execute step: the last two earlier non-empty steps of the
     same turn block by other agents (``rank`` 1 is the nearest).
 
@@ -181,7 +184,7 @@ def peer_pointers(steps: DataFrame, block: int = BLOCK_STEPS) -> DataFrame:
 
 
 def augmentation(steps: DataFrame, subtask: bool = True, peers: bool = True,
-                 block: int = BLOCK_STEPS) -> DataFrame:
+                 block: int | None = AUTO) -> DataFrame:
     """Context text for terse execute steps: assigned subtask, then peers."""
     parts = []
     if subtask:
@@ -206,7 +209,7 @@ def augmentation(steps: DataFrame, subtask: bool = True, peers: bool = True,
         .alias("augment"))
 
 
-def lookahead_window(steps: DataFrame, mode: str = "resp", block: int = BLOCK_STEPS) -> DataFrame:
+def lookahead_window(steps: DataFrame, mode: str = "resp", block: int | None = AUTO) -> DataFrame:
     """``window``: the steps shown after each step.
 
     ``resp``: the run of following steps by others, at most two. ``own``: that
@@ -220,7 +223,8 @@ def lookahead_window(steps: DataFrame, mode: str = "resp", block: int = BLOCK_ST
         return steps.withColumn("window", F.array().cast(
             "array<struct<step_idx:int,agent:string,type_norm:string,content:string>>"))
     cap = V.DELEG_CAP if mode == "deleg" else V.RESP_CAP
-    frame = block_window().rowsBetween(1, cap)
+    block = resolve(steps, block)
+    frame = block_window(block).rowsBetween(1, cap)
     s = (
         with_halo(steps, after=cap, block=block)
         .withColumn("_next", F.collect_list(item).over(frame)).filter("_core").drop("_core", BLK)
@@ -242,11 +246,14 @@ def lookahead_window(steps: DataFrame, mode: str = "resp", block: int = BLOCK_ST
         F.concat("window", F.array("_own")))).drop("_own")
 
 
-def next_own_step(steps: DataFrame, block: int = BLOCK_STEPS) -> DataFrame:
+def next_own_step(steps: DataFrame, block: int | None = AUTO) -> DataFrame:
     """Next step index of the same agent, looked up inside the block first and in
     the table of block firsts beyond it."""
+    block = resolve(steps, block)
     s = with_block(steps.select(*K, "step_idx", "agent"), block)
-    inside = F.lead("step_idx").over(block_window("agent"))
+    inside = F.lead("step_idx").over(block_window(block, "agent"))
+    if not block:
+        return s.select(*K, "step_idx", inside.alias("next_own_idx"))
     firsts = s.groupBy(*K, "agent", BLK).agg(F.min("step_idx").alias("_first"))
     later = firsts.select(*K, "agent", BLK, F.lead("_first").over(
         Window.partitionBy(*K, "agent").orderBy(BLK)).alias("_later"))
@@ -267,9 +274,10 @@ def render_lookahead(window="window") -> Column:
 
 # --- context text -----------------------------------------------------------
 
-def prefix_window(steps: DataFrame, n: int, block: int = BLOCK_STEPS) -> DataFrame:
+def prefix_window(steps: DataFrame, n: int, block: int | None = AUTO) -> DataFrame:
     """``context``: the last n rendered steps up to and including this one."""
-    frame = block_window().rowsBetween(-(n - 1), 0)
+    block = resolve(steps, block)
+    frame = block_window(block).rowsBetween(-(n - 1), 0)
     return (
         with_halo(steps, before=n - 1, block=block)
         .withColumn("context", F.array_join(F.collect_list(render_step()).over(frame), ""))
@@ -278,11 +286,12 @@ def prefix_window(steps: DataFrame, n: int, block: int = BLOCK_STEPS) -> DataFra
 
 
 def contradiction_pairs(steps: DataFrame, premise_steps: int = V.PREMISE_STEPS,
-                        tail_chars: int | None = None, block: int = BLOCK_STEPS) -> DataFrame:
+                        tail_chars: int | None = None, block: int | None = AUTO) -> DataFrame:
     """(premise, hypothesis) per step after the first. The premise is the last few
     steps before it and, when cut, keeps its tail."""
     clip = F.substring(_text("content"), 1, V.COHERENCE_CHARS)
-    frame = block_window().rowsBetween(-premise_steps, -1)
+    block = resolve(steps, block)
+    frame = block_window(block).rowsBetween(-premise_steps, -1)
     premise = F.array_join(F.col("_before"), "\n")
     if tail_chars is not None:
         premise = F.right(premise, F.lit(tail_chars))
@@ -352,7 +361,7 @@ def hindsight(steps: DataFrame, heads: DataFrame, budget: int = V.PREFIX_BUDGET_
 
 def oldest_first_blanking(steps: DataFrame, cap: int = V.PTRUE_PREFIX_CHARS,
                           step_chars: int = V.PTRUE_STEP_CHARS,
-                          block: int = BLOCK_STEPS) -> DataFrame:
+                          block: int | None = AUTO) -> DataFrame:
     """How many of the oldest steps are blanked in each step's own prefix.
 
     The prefix of step t is blanked from the oldest on until it fits, never the
@@ -362,6 +371,7 @@ def oldest_first_blanking(steps: DataFrame, cap: int = V.PTRUE_PREFIX_CHARS,
     """
     full = F.length(render_clean_step(step_chars=step_chars)).cast("long")
     saving = full - F.length(render_blanked_step()).cast("long")
+    block = resolve(steps, block)
     s = steps.select(*K, "step_idx", full.alias("_full"), saving.alias("_save"))
     s = running_sums(s, {"total": F.col("_full"), "_saved": F.col("_save")}, block=block)
     # savings may be negative for a short step, so the target is the first prefix

@@ -10,9 +10,7 @@ from ..functions.text import collapse_agent, hash_fraction, loose_agent_match, s
 from ..schema import K
 from .quality import in_range, slices
 from .rules import effective_score, rank_steps
-from .sequence import (
-    BLOCK_STEPS, dense_position, exact_quantiles, join_files, running_total,
-)
+from .sequence import AUTO, dense_position, exact_quantiles, join_files, running_total
 
 SCORERS = ["exact", "tol1", "tol2", "substring"]
 
@@ -219,7 +217,7 @@ def auroc(rows: DataFrame, keys: list[str], score: str, label: str) -> DataFrame
 # --- H6 ---------------------------------------------------------------------
 
 def per_file_auroc(scores: DataFrame, labels: DataFrame, use_parse_ok: bool = False,
-                   block: int = BLOCK_STEPS) -> DataFrame:
+                   block: int | None = AUTO) -> DataFrame:
     """AUROC of -p for the gold step against the other steps of its file.
 
     One positive per file, so it is the share of other steps with a higher score
@@ -243,7 +241,7 @@ def per_file_auroc(scores: DataFrame, labels: DataFrame, use_parse_ok: bool = Fa
 
 def within_file_auroc(scores: DataFrame, labels: DataFrame, use_parse_ok: bool = False,
                       pooled: bool = True, n_boot: int | None = None,
-                      block: int = BLOCK_STEPS) -> DataFrame:
+                      block: int | None = AUTO) -> DataFrame:
     """Per subset: mean within-file AUROC, pooled AUROC, mean score at the gold
     step and elsewhere."""
     per = per_file_auroc(scores, labels, use_parse_ok, block)
@@ -378,7 +376,7 @@ def position_table(preds: DataFrame, labels: DataFrame, by: list[str] | None = N
 
 def recall_at_k(scores: DataFrame, labels: DataFrame, ks: list[int] | None = None,
                 match: str = "collapsed", gold_range: str = "drop",
-                block: int = BLOCK_STEPS) -> DataFrame:
+                block: int | None = AUTO) -> DataFrame:
     """Per (subset, k): gold step / agent among the k lowest steps, agents covered,
     and the matched random controls. ``gold_range='miss'`` keeps files whose gold
     step cannot be picked, as misses."""
@@ -411,7 +409,7 @@ def recall_at_k(scores: DataFrame, labels: DataFrame, ks: list[int] | None = Non
         F.avg("ra").alias("random_agent"))
 
 
-def file_counts(s: DataFrame, labels: DataFrame, same, block: int = BLOCK_STEPS) -> DataFrame:
+def file_counts(s: DataFrame, labels: DataFrame, same, block: int | None = AUTO) -> DataFrame:
     """Per file: n scored steps, m owned by the gold agent, whether gold is among them."""
     sizes = s.groupBy(*K).agg((F.max("step_idx") + 1).alias("n_steps"))
     gold = sizes.join(labels.select(*K, "mistake_step", "mistake_agent"), K)

@@ -12,7 +12,7 @@ from ..functions.stats import coefficient_of_variation, z_score
 from ..functions.text import half_even
 from ..schema import K
 from .metrics import auroc
-from .sequence import BLOCK_STEPS, exact_quantiles, join_files
+from .sequence import AUTO, exact_quantiles, join_files
 
 POOLED = ""
 CHUNKS = 64
@@ -23,7 +23,7 @@ class NormalizationError(RuntimeError):
 
 
 def step_labels(scores: DataFrame, labels: DataFrame, policy: str = "prefix",
-                block: int = BLOCK_STEPS) -> DataFrame:
+                block: int | None = AUTO) -> DataFrame:
     """Derived ``correct`` per step. ``prefix``: steps up to the labelled one,
     correct before it. ``point``: every step, correct except the labelled one."""
     if policy not in ("prefix", "point"):
@@ -84,7 +84,7 @@ def _cell_stats(typed: bool) -> Column:
 
 
 def apply_folds(scores: DataFrame, stats: DataFrame, typed: bool = True, strict: bool = False,
-                block: int = BLOCK_STEPS) -> DataFrame:
+                block: int | None = AUTO) -> DataFrame:
     """``p_norm`` under the file's own fold. Files without one: an error, or null."""
     folds = fold_map(stats)
     if strict:

@@ -14,7 +14,7 @@ from .metrics import (
 )
 from .quality import in_range
 from .rules import PRIMARY, effective_score, rank_steps
-from .sequence import BLOCK_STEPS, join_files
+from .sequence import AUTO, join_files
 
 
 class AblationError(ValueError):
@@ -61,7 +61,7 @@ def stratified_accuracy(preds: DataFrame, labels: DataFrame, steps: DataFrame,
     return out
 
 
-def gold_share(steps: DataFrame, labels: DataFrame, block: int = BLOCK_STEPS) -> DataFrame:
+def gold_share(steps: DataFrame, labels: DataFrame, block: int | None = AUTO) -> DataFrame:
     """Share of each file's steps owned by its gold agent."""
     return join_files(steps.select(*K, "step_idx", "agent"),
                       labels.select(*K, "n_steps", "mistake_agent"), "inner", block).groupBy(
@@ -115,7 +115,7 @@ def tolerance_curve(table: DataFrame, method: str = PRIMARY) -> DataFrame:
         F.max(F.when(F.col("scorer") == s, F.col("step_acc"))).alias(s) for s in ("exact", "tol1", "tol2")])
 
 
-def position_ownership(steps: DataFrame, labels: DataFrame, block: int = BLOCK_STEPS) -> DataFrame:
+def position_ownership(steps: DataFrame, labels: DataFrame, block: int | None = AUTO) -> DataFrame:
     """How often step 0, 1, 2 and the last belong to the faulty agent."""
     own = collapse_agent("agent") == collapse_agent("mistake_agent")
     idx, last = F.col("step_idx"), F.col("n_steps") - 1
@@ -274,7 +274,7 @@ def smoke_sample(labels: DataFrame, n: int, seed: int = 0, long_steps: int = 80)
     return chosen.unionByName(more).orderBy("priority", *K).limit(n)
 
 
-def curve_rows(scores: DataFrame, labels: DataFrame, block: int = BLOCK_STEPS) -> DataFrame:
+def curve_rows(scores: DataFrame, labels: DataFrame, block: int | None = AUTO) -> DataFrame:
     """Per-step curve table with the annotated step marked."""
     j = join_files(scores.drop("n_steps"), labels.select(*K, "n_steps", "mistake_step"), "inner", block)
     arm = F.col("lookahead") if "lookahead" in scores.columns else F.lit("none")
@@ -285,7 +285,7 @@ def curve_rows(scores: DataFrame, labels: DataFrame, block: int = BLOCK_STEPS) -
         (F.col("step_idx") == F.col("mistake_step")).cast("int").alias("is_mistake_step"))
 
 
-def curve_points(scores: DataFrame, labels: DataFrame, block: int = BLOCK_STEPS) -> DataFrame:
+def curve_points(scores: DataFrame, labels: DataFrame, block: int | None = AUTO) -> DataFrame:
     """Per file: score and rank (1 = lowest, ties share the best) of the labelled
     step, with the extent of the curve."""
     n = scores.groupBy(*K).agg((F.max("step_idx") + 1).alias("n_steps"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import fixed_values as V
 from ..functions.text import strip
 from ..schema import K
-from .sequence import BLK, BLOCK_STEPS, dense_position, file_frame, join_files
+from .sequence import AUTO, block_window, dense_position, file_frame, join_files, resolve
 
 PRIMARY = "changepoint_single"
 THRESHOLD_FREE = ["changepoint_single", "argmin", "changepoint", "relative_crossing"]
@@ -72,22 +72,20 @@ def _with_threshold(scores: DataFrame, threshold, block: int) -> DataFrame:
     return scores.withColumn("thr", F.lit(float(threshold)))
 
 
-def regime_columns(frame: DataFrame, min_seg: int = V.MIN_SEG) -> DataFrame:
+def regime_columns(frame: DataFrame, min_seg: int = V.MIN_SEG,
+                   block: int | None = None) -> DataFrame:
     """Mean gap and contrast of splitting the trajectory right before each step.
 
     Uses sums of the *centred* score before the step; with a zero total, the
     sums after it are their negatives.
     """
-    before = (
-        Window.partitionBy(*K, BLK).orderBy("step_idx")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    order = block_window(block)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     c = F.col("p") - F.col("mean")
     k, n = F.col("k"), F.col("n")
     f = (
         frame.withColumn("_c", c)
-        .withColumn("k", F.col("n_carry") + F.row_number().over(
-            Window.partitionBy(*K, BLK).orderBy("step_idx")) - 1)
+        .withColumn("k", F.col("n_carry") + F.row_number().over(order) - 1)
         .withColumn("_cs", F.col("c_carry") + F.coalesce(F.sum("_c").over(before), F.lit(0.0)))
         .withColumn("_cq", F.col("q_carry") + F.coalesce(
             F.sum(F.col("_c") * F.col("_c")).over(before), F.lit(0.0)))
@@ -145,7 +143,7 @@ def _or(found: Column, low: Column) -> Column:
 
 def attribute(scores: DataFrame, methods: list[str] | None = None, threshold=0.0, *,
               min_seg: int = V.MIN_SEG, min_contrast: float = V.MIN_CONTRAST,
-              boundary_fallback: bool = True, block: int = BLOCK_STEPS) -> DataFrame:
+              boundary_fallback: bool = True, block: int | None = AUTO) -> DataFrame:
     """Run rules over every trajectory; one row per (trajectory, method).
 
     ``threshold`` is a number, a dict by step type with ``''`` as default, or a
@@ -155,6 +153,7 @@ def attribute(scores: DataFrame, methods: list[str] | None = None, threshold=0.0
     resolved = {m: resolve_method(m) for m in methods}
     bases = {b for b, _ in resolved.values()}
     s = effective_score(scores).filter(F.col("p").isNotNull())
+    block = resolve(s, block)
     keep = [*K, "step_idx", "agent", "p"]
     if bases & set(THRESHOLD_DEPENDENT):
         s = _with_threshold(s, threshold, block)
@@ -180,7 +179,7 @@ def _wide_rules(s, methods, resolved, min_seg, min_contrast, boundary_fallback,
     if needs_frame:
         frame = file_frame(s, "p", block=block)
         if bases & {"changepoint", PRIMARY}:
-            frame = regime_columns(frame, min_seg)
+            frame = regime_columns(frame, min_seg, block)
         aggs += [F.first("n").alias("n"), F.first("sd").alias("sd"), F.first("mean").alias("mean")]
     for m in methods:
         base, k = resolved[m]
@@ -265,12 +264,13 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFr
 
 
 def two_stage(scores: DataFrame, thresholds: list[str] | None = None,
-              block: int = BLOCK_STEPS) -> DataFrame:
+              block: int | None = AUTO) -> DataFrame:
     """The agent of the lowest step, then its first step below a threshold made
     from its own scores; its lowest step when none is."""
     names = thresholds or TWO_STAGE_THRESHOLDS
     s = effective_score(scores).filter(F.col("p").isNotNull()).select(
         *K, "step_idx", F.col("agent").alias("agent_raw"), strip("agent").alias("agent"), "p")
+    block = resolve(s, block)
     picked = s.groupBy(*K).agg(
         F.min(F.struct("p", "step_idx", "agent_raw", "agent")).alias("low"),
         (F.max("step_idx") + 1).alias("n_steps"))

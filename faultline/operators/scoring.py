@@ -17,7 +17,7 @@ from .evidence import (
     render_preamble, render_question, render_step, strip_types,
 )
 from .prefix import PrefixLengths
-from .sequence import BLK, BLOCK_STEPS, join_files, with_block
+from .sequence import AUTO, BLK, block_keys, join_files, resolve, with_block
 
 BatchScorer = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -33,7 +33,7 @@ def build_prompts(steps: DataFrame, records: DataFrame, *, readout: str = "ptrue
                   subtask_pointer: bool = True, peer_corroboration: bool = True,
                   prefix_steps: int | None = None, lookahead: str = "none",
                   budget: int = V.PREFIX_BUDGET_CHARS,
-                  block: int = BLOCK_STEPS) -> DataFrame:
+                  block: int | None = AUTO) -> DataFrame:
     """One row per step with ``head``, ``context`` and ``prompt`` text.
 
     ``context`` is bounded: the last ``prefix_steps`` steps, or for the hindsight
@@ -304,7 +304,7 @@ def delta_field(base: DataFrame, arm: DataFrame, require_full_overlap: bool = Tr
 # --- E10: divergence from the prefix centroid -------------------------------
 
 def embed_divergence(vectors: DataFrame, vector: str = "vector",
-                     block: int = BLOCK_STEPS) -> DataFrame:
+                     block: int | None = AUTO) -> DataFrame:
     """(1 + cosine to the mean of all earlier vectors) / 2; the first step has no
     prefix and is not a candidate.
 
@@ -313,21 +313,26 @@ def embed_divergence(vectors: DataFrame, vector: str = "vector",
     """
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     unit = F.transform(vector, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+    block = resolve(vectors, block)
     v = with_block(vectors.select(*K, "step_idx", unit.alias(vector)), block)
-    # only trajectories longer than a block need a carry; element-wise partial
-    # sums reduce on the map side to one row per (block, dimension)
-    long = v.groupBy(*K).agg(F.max(BLK).alias("_b")).filter(F.col("_b") > 0).select(*K)
-    per_dim = (
-        v.join(long, K, "left_semi").select(*K, BLK, F.posexplode(vector).alias("d", "x"))
-        .groupBy(*K, BLK, "d").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
-    )
-    earlier = Window.partitionBy(*K, "d").orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_dim.withColumn("c", F.sum("s").over(earlier)).withColumn(
-        "cn", F.sum("n").over(earlier)).filter(F.col("c").isNotNull())
-    carry = carry.groupBy(*K, BLK).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("d", "c"))), lambda x: x["c"]).alias("_carry"),
-        F.first("cn").alias("_cn"))
-    rows = v.join(carry, [*K, BLK], "left")
+    if block:
+        # only trajectories longer than a block need a carry; element-wise partial
+        # sums reduce on the map side to one row per (block, dimension)
+        long = v.groupBy(*K).agg(F.max(BLK).alias("_b")).filter(F.col("_b") > 0).select(*K)
+        per_dim = (
+            v.join(long, K, "left_semi").select(*K, BLK, F.posexplode(vector).alias("d", "x"))
+            .groupBy(*K, BLK, "d").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
+        )
+        earlier = Window.partitionBy(*K, "d").orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
+        carry = per_dim.withColumn("c", F.sum("s").over(earlier)).withColumn(
+            "cn", F.sum("n").over(earlier)).filter(F.col("c").isNotNull())
+        carry = carry.groupBy(*K, BLK).agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("d", "c"))), lambda x: x["c"]).alias("_carry"),
+            F.first("cn").alias("_cn"))
+        rows = v.join(carry, [*K, BLK], "left")
+    else:
+        rows = v.withColumn("_carry", F.lit(None).cast("array<double>")).withColumn(
+            "_cn", F.lit(0).cast("long"))
     out = "subset string, file_id string, step_idx int, embed_divergence double, candidate boolean"
 
     def cosines(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -346,7 +351,7 @@ def embed_divergence(vectors: DataFrame, vector: str = "vector",
             "subset": pdf["subset"], "file_id": pdf["file_id"], "step_idx": pdf["step_idx"],
             "embed_divergence": p, "candidate": count > 0})
 
-    got = rows.groupBy(*K, BLK).applyInPandas(cosines, out)
+    got = rows.groupBy(*block_keys(block)).applyInPandas(cosines, out)
     return got.withColumn("embed_divergence", F.when(F.col("candidate"), F.col("embed_divergence")))
 
 

@@ -1,73 +1,93 @@
 """Ordered computation over trajectories of any length.
 
 A trajectory (or any other key) may hold a large share of all rows, so nothing
-here sorts a whole key inside one task:
+here sorts an unbounded key inside one task:
 
 * step-level work is distributed on ``(subset, file_id, block)``, where a block
   is a fixed run of consecutive steps. Prefix quantities are a window inside the
   block plus a carry taken from the table of block totals, which has one row per
-  block. A trajectory shorter than a block is a single block with zero carry.
+  block. Corpora whose longest trajectory fits one block (checked, see
+  :func:`resolve`) skip the blocks: one shuffle on the trajectory key serves
+  every window and join.
 * rows ordered by something other than a step index go through
-  :func:`running_total`, which splits only the keys that are measured to be hot.
+  :func:`running_total`, which splits the keys that are measured to be hot.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import K
+from ..session import cut_lineage
 
+AUTO = -1
 BLOCK_STEPS = 65_536
 HOT_ROWS = 4_000_000
 SEGMENTS = 256
 BLK = "_blk"
 
 
-def block_of(idx="step_idx", block: int = BLOCK_STEPS) -> Column:
-    return F.floor(F.col(idx) / F.lit(block)).cast("int")
+def resolve(steps: DataFrame, block: int | None = AUTO, idx: str = "step_idx") -> int | None:
+    """Block size to use: ``None`` when no trajectory reaches the default block.
+
+    The check reads one column and stops at the first long trajectory.
+    """
+    if block != AUTO:
+        return block
+    return None if steps.filter(F.col(idx) >= BLOCK_STEPS).isEmpty() else BLOCK_STEPS
+
+
+def block_keys(block: int | None, keys=K) -> list[str]:
+    return [*keys, BLK] if block else [*keys]
 
 
-def with_block(df: DataFrame, block: int = BLOCK_STEPS, idx: str = "step_idx") -> DataFrame:
-    return df.withColumn(BLK, block_of(idx, block))
+def with_block(df: DataFrame, block: int | None, idx: str = "step_idx") -> DataFrame:
+    if not block:
+        return df
+    return df.withColumn(BLK, F.floor(F.col(idx) / F.lit(block)).cast("int"))
 
 
-def spread(files: DataFrame, block: int = BLOCK_STEPS, n: str = "n_steps") -> DataFrame:
+def spread(files: DataFrame, block: int | None, n: str = "n_steps") -> DataFrame:
     """One row per trajectory -> one row per block of it, the small side of a
     join on ``(K, block)``. Short trajectories stay a single row."""
+    if not block:
+        return files
     last = F.greatest(F.floor((F.col(n) - 1) / F.lit(block)), F.lit(0)).cast("int")
     return files.withColumn(BLK, F.explode(F.sequence(F.lit(0), last)))
 
 
 def join_files(steps: DataFrame, files: DataFrame, how: str = "inner",
-               block: int = BLOCK_STEPS, n: str = "n_steps") -> DataFrame:
+               block: int | None = AUTO, n: str = "n_steps") -> DataFrame:
     """Join per-trajectory columns onto steps without gathering a trajectory."""
-    return with_block(steps, block).join(spread(files, block, n), [*K, BLK], how).drop(BLK)
+    block = resolve(steps, block)
+    return with_block(steps, block).join(spread(files, block, n), block_keys(block), how).drop(BLK)
 
 
-def with_halo(df: DataFrame, before: int = 0, after: int = 0,
-              block: int = BLOCK_STEPS) -> DataFrame:
+def with_halo(df: DataFrame, before: int = 0, after: int = 0, block: int | None = None) -> DataFrame:
     """Copy the rows next to a block edge into the neighbouring block, so that a
     bounded frame (lag, lead, last n) is complete inside ``(K, block)``.
     Copies carry ``_core = false`` and are dropped after the window."""
-    own = block_of("step_idx", block)
+    if not block:
+        return df.withColumn("_core", F.lit(True))
+    own = F.floor(F.col("step_idx") / F.lit(block)).cast("int")
     offset = F.col("step_idx") % F.lit(block)
+    reach_b, reach_a = -(-before // block), -(-after // block)
     shifts = [F.lit(0)]
-    if before:
-        shifts.append(F.when(offset >= block - before, F.lit(1)))
-    if after:
-        shifts.append(F.when((offset < after) & (own > 0), F.lit(-1)))
-    shift = F.explode(F.array_compact(F.array(*shifts))) if len(shifts) > 1 else F.lit(0)
+    for i in range(1, reach_b + 1):
+        shifts.append(F.when(offset >= i * block - before, F.lit(i)))
+    for i in range(1, reach_a + 1):
+        shifts.append(F.when((offset < after - (i - 1) * block) & (own >= i), F.lit(-i)))
     return (
-        df.withColumn("_shift", shift)
+        df.withColumn("_shift", F.explode(F.array_compact(F.array(*shifts))))
         .withColumn(BLK, own + F.col("_shift"))
         .withColumn("_core", F.col("_shift") == 0)
         .drop("_shift")
     )
 
 
-def block_window(*extra: str):
-    return Window.partitionBy(*K, *extra, BLK).orderBy("step_idx")
+def block_window(block: int | None, *extra: str):
+    return Window.partitionBy(*block_keys(block, [*K, *extra])).orderBy("step_idx")
 
 
-def block_carry(df: DataFrame, totals: dict[str, Column], keys=K, combine=F.sum) -> DataFrame:
+def block_carry(df: DataFrame, totals: dict[str, Column], keys, combine) -> DataFrame:
     """Per ``(keys, block)``: the combination of every *earlier* block."""
     per_block = df.groupBy(*keys, BLK).agg(*[c.alias(n) for n, c in totals.items()])
     earlier = (
@@ -79,15 +99,17 @@ def block_carry(df: DataFrame, totals: dict[str, Column], keys=K, combine=F.sum)
     return out.filter(F.col(BLK) > 0)
 
 
-def running_max(df: DataFrame, value: Column, out: str, keys=K, block: int = BLOCK_STEPS,
+def running_max(df: DataFrame, value: Column, out: str, keys=K, block: int | None = AUTO,
                 inclusive: bool = False) -> DataFrame:
     """Greatest ``value`` among earlier steps of the same key (nulls ignored)."""
-    end = 0 if inclusive else -1
+    block = resolve(df, block)
     work = with_block(df, block).withColumn("_v", value)
     inside = (
-        Window.partitionBy(*keys, BLK).orderBy("step_idx")
-        .rowsBetween(Window.unboundedPreceding, end)
+        Window.partitionBy(*block_keys(block, keys)).orderBy("step_idx")
+        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
+    if not block:
+        return work.withColumn(out, F.max("_v").over(inside)).drop("_v")
     carry = block_carry(work, {"_m": F.max("_v")}, keys, F.max)
     return (
         work.withColumn("_in", F.max("_v").over(inside))
@@ -97,39 +119,48 @@ def running_max(df: DataFrame, value: Column, out: str, keys=K, block: int = BLO
     )
 
 
-def running_sums(df: DataFrame, values: dict[str, Column], keys=K, block: int = BLOCK_STEPS,
+def running_sums(df: DataFrame, values: dict[str, Column], keys=K, block: int | None = AUTO,
                  idx: str = "step_idx") -> DataFrame:
     """Inclusive running sums over steps of the same key, several at once."""
+    block = resolve(df, block, idx)
     work = with_block(df, block, idx)
     for out, value in values.items():
         work = work.withColumn(f"_v_{out}", value)
     inside = (
-        Window.partitionBy(*keys, BLK).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(*block_keys(block, keys)).orderBy(idx)
+        .rowsBetween(Window.unboundedPreceding, 0)
     )
-    carry = block_carry(work, {f"_v_{out}": F.sum(f"_v_{out}") for out in values}, keys, F.sum)
+    drop = [f"_v_{out}" for out in values]
     got = work.select("*", *[F.sum(f"_v_{out}").over(inside).alias(out) for out in values])
-    got = got.drop(*[f"_v_{out}" for out in values]).join(carry, [*keys, BLK], "left")
+    got = got.drop(*drop)
+    if not block:
+        return got
+    carry = block_carry(work, {c: F.sum(c) for c in drop}, keys, F.sum)
+    got = got.join(carry, [*keys, BLK], "left")
     for out in values:
         got = got.withColumn(out, F.col(out) + F.coalesce(F.col(f"_v_{out}_carry"), F.lit(0)))
-    return got.drop(BLK, *[f"_v_{out}_carry" for out in values])
-
-
-def running_sum(df: DataFrame, value: Column, out: str, keys=K,
-                block: int = BLOCK_STEPS) -> DataFrame:
-    return running_sums(df, {out: value}, keys, block)
+    return got.drop(BLK, *[f"{c}_carry" for c in drop])
 
 
-def file_frame(scores: DataFrame, value: str = "p", keys=K,
-               block: int = BLOCK_STEPS) -> DataFrame:
+def file_frame(scores: DataFrame, value: str = "p", keys=K, block: int | None = None) -> DataFrame:
     """Steps with trajectory-level ``n, mean, sd, m2`` and the carries needed for
-    prefix sums of the centred value. One shuffle of the steps, one of their
-    map-side reduced block totals."""
+    prefix sums of the centred value.
+
+    With blocks: one shuffle of the steps and one of their map-side reduced block
+    totals. Without: windows over a single shuffle on the trajectory.
+    """
+    whole = Window.partitionBy(*keys)
+    if not block:
+        n, mean, sd = F.count(value).over(whole), F.avg(value).over(whole), F.stddev_pop(value).over(whole)
+        return scores.select(
+            "*", n.alias("n"), mean.alias("mean"), sd.alias("sd"), (sd * sd * n).alias("m2"),
+            F.lit(0).cast("long").alias("n_carry"), F.lit(0.0).alias("c_carry"),
+            F.lit(0.0).alias("q_carry"))
     s = with_block(scores, block)
     per_block = s.groupBy(*keys, BLK).agg(
         F.count(value).alias("_n"), F.sum(value).alias("_s"),
         (F.var_pop(value) * F.count(value)).alias("_q"),
     )
-    whole = Window.partitionBy(*keys)
     earlier = whole.orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
     centred = F.col("_q") + F.col("_n") * F.pow(F.col("_s") / F.col("_n") - F.col("mean"), 2)
     totals = (
@@ -155,20 +186,29 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], sums: dict[s
                   hot_rows: int = HOT_ROWS, segments: int = SEGMENTS) -> DataFrame:
     """Inclusive running sums of columns over ``order`` within ``keys``.
 
-    ``order[0]`` must be numeric or a timestamp. Keys above ``hot_rows`` rows are
-    cut into value segments at approximate quantiles of ``order[0]`` and each
-    segment is windowed on its own; equal values never straddle a cut.
+    ``order[0]`` must be numeric or a timestamp. One aggregation measures whether
+    any key is above ``hot_rows``; if none is, this is a plain window. Otherwise
+    hot keys are cut into value segments at approximate quantiles of ``order[0]``
+    and each segment is windowed on its own; equal values never straddle a cut.
 
-    The three small tables are broadcast: at most ``rows / hot_rows`` keys are
-    hot, so they hold at most ``segments * rows / hot_rows`` rows.
+    The small tables are broadcast: at most ``rows / hot_rows`` keys are hot, so
+    they hold at most ``segments * rows / hot_rows`` rows.
     """
-    lead = F.col(order[0]).cast("double")
     hot = (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > hot_rows).select(*keys)
     )
+    if hot.isEmpty():
+        inside = (
+            Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        )
+        return df.select("*", *[F.sum(c).over(inside).alias(o) for o, c in sums.items()])
+    lead = F.col(order[0])
+    if dict(df.dtypes)[order[0]].startswith("timestamp"):
+        lead = lead.cast("timestamp")
+    lead = lead.cast("double")
     quantiles = [i / segments for i in range(1, segments)]
-    cuts = (
+    cuts = cut_lineage(
         df.join(F.broadcast(hot), keys, "left_semi")
         .groupBy(*keys)
         .agg(F.percentile_approx(lead, quantiles, 10_000).alias("_cuts"))
@@ -209,39 +249,30 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, fractions: dict[
 
     Meant for report cells (a handful of keys with very many rows each): equal
     values are counted before anything is ordered, and only the two order
-    statistics around each fraction are kept. The table of asked positions has
-    one row per cell; AQE broadcasts it once its measured size allows.
+    statistics around each fraction are kept.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("_w")
     )
     run = running_total(counted, keys, [value], {"_upto": "_w"}, hot_rows)
     sizes = counted.groupBy(*keys).agg(F.sum("_w").alias("_n"))
-    wanted = sizes.select(
-        *keys,
-        F.explode(F.array(*[
-            F.struct(F.lit(name).alias("name"), ((F.col("_n") - 1) * F.lit(q)).alias("at"))
-            for name, q in fractions.items()
-        ])).alias("_q"),
-    ).select(
-        *keys, "_q.name", "_q.at",
-        F.floor("_q.at").alias("lo"), F.ceil("_q.at").alias("hi"),
-    )
-    asked = wanted.groupBy(*keys).agg(F.collect_list(F.struct("name", "at", "lo", "hi")).alias("_asked"))
-    covers = lambda pos: (F.col("_upto") - F.col("_w") <= pos) & (pos < F.col("_upto"))
-    hits = (
-        run.join(asked, keys)
-        .withColumn("_hit", F.explode(F.filter(
-            "_asked", lambda a: covers(a["lo"]) | covers(a["hi"]))))
-        .select(
-            *keys, F.col("_hit.name").alias("name"), F.col("_hit.at").alias("at"),
-            F.when(covers(F.col("_hit.lo")), F.col(value)).alias("_lo_v"),
-            F.when(covers(F.col("_hit.hi")), F.col(value)).alias("_hi_v"),
-            F.col("_hit.lo").alias("lo"),
-        )
-        .groupBy(*keys, "name", "at", "lo").agg(F.max("_lo_v").alias("a"), F.max("_hi_v").alias("b"))
-        .withColumn("v", F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.col("lo")))
+    asked = sizes.select(*keys, F.array(*[
+        F.struct(F.lit(name).alias("name"), ((F.col("_n") - 1) * F.lit(q)).alias("at"))
+        for name, q in fractions.items()]).alias("_asked"))
+
+    def covers(pos):
+        return (F.col("_upto") - F.col("_w") <= pos) & (pos < F.col("_upto"))
+
+    hit = F.explode(F.filter("_asked", lambda a: covers(F.floor(a["at"])) | covers(F.ceil(a["at"]))))
+    at = F.col("_hit.at")
+    # `asked` has one row per cell
+    near = (
+        run.join(F.broadcast(asked), keys).withColumn("_hit", hit)
+        .groupBy(*keys, F.col("_hit.name").alias("_name"), at.alias("_at")).agg(
+            F.max(F.when(covers(F.floor(at)), F.col(value))).alias("_a"),
+            F.max(F.when(covers(F.ceil(at)), F.col(value))).alias("_b"))
+        .withColumn("_v", F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at")))
     )
-    return hits.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in fractions]
+    return near.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in fractions]
     )

@@ -10,10 +10,10 @@ from ..functions.typing import (
     classify_step, coarse_type, is_answer_emission, is_coordination, rule_covered,
 )
 from ..schema import K
-from .sequence import BLK, BLOCK_STEPS, block_window, join_files, with_halo
+from .sequence import AUTO, BLK, block_window, join_files, resolve, with_halo
 
 
-def rule_verdicts(steps: DataFrame, block: int = BLOCK_STEPS) -> DataFrame:
+def rule_verdicts(steps: DataFrame, block: int | None = AUTO) -> DataFrame:
     """Steps with ``rule_type`` and ``rule`` from the ordered type rules."""
     sizes = steps.groupBy(*K).agg((F.max("step_idx") + 1).alias("n_steps"))
     s = join_files(steps.drop("n_steps"), sizes, "inner", block)
@@ -22,7 +22,7 @@ def rule_verdicts(steps: DataFrame, block: int = BLOCK_STEPS) -> DataFrame:
         "*", F.col("_v.type_norm").alias("rule_type"), F.col("_v.rule").alias("rule")).drop("_v")
 
 
-def apply_type_rules(steps: DataFrame, block: int = BLOCK_STEPS) -> DataFrame:
+def apply_type_rules(steps: DataFrame, block: int | None = AUTO) -> DataFrame:
     """Type every step still ``classified``; parsed types are never overridden,
     except that a parsed-corpus last step that emits an answer becomes final."""
     v = rule_verdicts(steps, block)
@@ -92,9 +92,10 @@ def audit_sample(verdicts: DataFrame, n: int = 100, seed: int = 0) -> DataFrame:
 
 
 def splitter_prompts(steps: DataFrame, queries: DataFrame | None = None,
-                     block: int = BLOCK_STEPS) -> DataFrame:
+                     block: int | None = AUTO) -> DataFrame:
     """Prompt per coordination step from the task, the step before it and itself."""
-    w = block_window()
+    block = resolve(steps, block)
+    w = block_window(block)
     prev = F.lag(F.struct("agent", "type_norm", F.substring(
         F.coalesce("content", F.lit("")), 1, V.SPLITTER_PREV_CHARS).alias("content"))).over(w)
     s = (

@@ -10,6 +10,7 @@ from ..functions.text import hash_fraction
 from ..functions.typing import parse_compound_role
 from ..operators.sequence import dense_position
 from ..schema import K
+from ..session import cut_lineage
 
 EVENT_TYPES = {"view": "plan", "click": "delegate", "purchase": "execute",
                "error": "execute", "signup": "final"}
@@ -108,14 +109,15 @@ def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long trajectories: one per user, steps in time order, score in [0, 1)."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     e = dense_position(e, ["user_id"], ["ts", "event_id"])
-    return e.select(
+    # the step table is what every later branch reads: written once
+    return cut_lineage(e.select(
         _subset(F.col("user_id")).alias("subset"), F.col("user_id").cast("string").alias("file_id"),
         F.col("user_id").alias("key"), "step_idx", F.col("event_type").alias("agent"),
         _mapped(F.col("event_type"), EVENT_TYPES).alias("type_norm"),
         F.lit("parsed").alias("type_source"),
         (F.col("value") / F.lit(500.0)).alias("p_raw"),
         (F.col("event_id") % 50 != 0).alias("parse_ok"), "event_id",
-    )
+    ))
 
 
 def line_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,11 +125,11 @@ def line_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", *cols, "l_returnflag", "l_discount")
     li = dense_position(li, ["l_orderkey"], cols)
-    return li.select(
+    return cut_lineage(li.select(
         _subset(F.col("l_orderkey")).alias("subset"),
         F.col("l_orderkey").cast("string").alias("file_id"), F.col("l_orderkey").alias("key"),
         "step_idx", F.col("l_returnflag").alias("agent"),
         _mapped(F.col("l_returnflag"), RETURN_TYPES).alias("type_norm"),
         hash_fraction(F.concat_ws("|", "l_orderkey", "step_idx", "l_partkey")).alias("p_raw"),
         (F.col("l_discount") * 10).alias("p_tied"),
-    )
+    ))
