@@ -4,7 +4,7 @@ from .base import ORACLES, QUERIES
 
 
 def _load() -> None:
-    from . import quality  # noqa: F401
+    from . import normalize, quality, rules  # noqa: F401
 
 
 def all_queries():

@@ -113,7 +113,7 @@ EVENTS = f"""ev AS (
     event_type AS agent,
     {case_map('event_type', {'view': 'plan', 'click': 'delegate', 'purchase': 'execute',
                              'error': 'execute', 'signup': 'final'})} AS type_norm,
-    value / 500.0 AS p_raw, event_id % 50 <> 0 AS parse_ok, event_id
+    value / 491.0 AS p_raw, event_id % 50 <> 0 AS parse_ok, event_id
   FROM events)"""
 
 LINES = f"""li AS (

@@ -259,7 +259,7 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFr
     ranked = dense_position(df.select(*keys, value, "step_idx"), keys, [value, "step_idx"], "_pos")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     mid = sizes.select(*keys, F.explode(F.array_distinct(F.array(
-        F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)))).cast("int").alias("_pos"))
+        F.floor((F.col("_n") - 1) / 2).cast("int"), F.floor(F.col("_n") / 2).cast("int")))).alias("_pos"))
     return ranked.join(mid, [*keys, "_pos"]).groupBy(*keys).agg(F.avg(value).alias(out))
 
 

@@ -106,7 +106,8 @@ def conversation_scores(spark: SparkSession, sf_dir: str, suffix: str = "") -> D
 
 
 def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long trajectories: one per user, steps in time order, score in [0, 1)."""
+    """Long trajectories: one per user, steps in time order, score in [0, 1). The
+    divisor is prime so that means of scores are never exact decimal ties."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     e = dense_position(e, ["user_id"], ["ts", "event_id"])
     # the step table is what every later branch reads: written once
@@ -115,7 +116,7 @@ def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("key"), "step_idx", F.col("event_type").alias("agent"),
         _mapped(F.col("event_type"), EVENT_TYPES).alias("type_norm"),
         F.lit("parsed").alias("type_source"),
-        (F.col("value") / F.lit(500.0)).alias("p_raw"),
+        (F.col("value") / F.lit(491.0)).alias("p_raw"),
         (F.col("event_id") % 50 != 0).alias("parse_ok"), "event_id",
     ))
 
