@@ -289,12 +289,12 @@ def curve_points(scores: DataFrame, labels: DataFrame, block: int | None = AUTO)
     """Per file: score and rank (1 = lowest, ties share the best) of the labelled
     step, with the extent of the curve."""
     n = scores.groupBy(*K).agg((F.max("step_idx") + 1).alias("n_steps"))
-    gold = scores.select(*K, F.col("step_idx").alias("mistake_step"), F.col("p_raw").alias("at"))
+    gold = scores.select(*K, F.col("step_idx").alias("mistake_step"), F.col("p_raw").alias("gold_p"))
     files = n.join(labels.select(*K, "mistake_step"), K).join(gold, [*K, "mistake_step"], "left")
     j = join_files(scores.drop("n_steps"), files, "inner", block)
-    return j.groupBy(*K, "n_steps", "mistake_step", "at").agg(
+    return j.groupBy(*K, "n_steps", "mistake_step", "gold_p").agg(
         F.min("p_raw").alias("p_min"), F.max("p_raw").alias("p_max"),
-        F.when(F.col("at").isNotNull(), F.count_if(F.col("p_raw") < F.col("at")) + 1).alias("rank"))
+        F.when(F.col("gold_p").isNotNull(), F.count_if(F.col("p_raw") < F.col("gold_p")) + 1).alias("rank"))
 
 
 # --- candidate recall, health, naive tables ---------------------------------
