@@ -50,20 +50,20 @@ def _(spark, sf):
                     E.render_preamble("query", "ground_truth", True).alias("shown"))
 
 
-@query("render_step", STEP + "full:s clipped:s short:s",
-       f"SELECT {KEY}, step_idx, {rendered()} AS full, {rendered(200)} AS clipped, {SHORT} AS short FROM st", TYPED)
+@query("render_step", STEP + "whole:s clipped:s short:s",
+       f"SELECT {KEY}, step_idx, {rendered()} AS whole, {rendered(200)} AS clipped, {SHORT} AS short FROM st", TYPED)
 def _(spark, sf):
-    return _cv(spark, sf).select(*K, "step_idx", E.render_step().alias("full"), E.render_step(max_chars=200).alias("clipped"),
+    return _cv(spark, sf).select(*K, "step_idx", E.render_step().alias("whole"), E.render_step(max_chars=200).alias("clipped"),
                                  E.render_demoted().alias("short"))
 
 
-@query("render_question", STEP + "ptrue:s binary:s verbalized:s",
+@query("render_question", STEP + "q_ptrue:s q_binary:s q_verbalized:s",
        f"SELECT {KEY}, step_idx, " + ", ".join(
            f"chr(10) || {case_map('type_norm', V.RUBRIC)} || chr(10) || 'Question: Is step ' || step_idx || ' by ''' || agent || "
-           f"''' correct and appropriate given the context above? ' || {quote(V.INSTRUCTION[k])} AS {k}"
+           f"''' correct and appropriate given the context above? ' || {quote(V.INSTRUCTION[k])} AS q_{k}"
            for k in ("ptrue", "binary", "verbalized")) + " FROM st", TYPED)
 def _(spark, sf):
-    return _cv(spark, sf).select(*K, "step_idx", *[E.render_question(readout=k).alias(k) for k in ("ptrue", "binary", "verbalized")])
+    return _cv(spark, sf).select(*K, "step_idx", *[E.render_question(readout=k).alias(f"q_{k}") for k in ("ptrue", "binary", "verbalized")])
 
 
 TURNS = """tb AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY subset, file_id ORDER BY step_idx) AS INTEGER) AS turn FROM (
@@ -186,11 +186,11 @@ def _(spark, sf):
 
 def _retention_sql(budget: int) -> str:
     """Greedy newest-first upgrade with skipping, one recursive step per rank."""
-    return f"""ln AS (SELECT {KEY}, step_idx, type_norm IN ('plan', 'delegate') AS coord, length({rendered()}) AS full,
+    return f"""ln AS (SELECT {KEY}, step_idx, type_norm IN ('plan', 'delegate') AS coord, length({rendered()}) AS lng,
     length({SHORT}) AS short FROM st),
-fl AS (SELECT {KEY}, length('[task]' || chr(10) || 'task ' || file_id || chr(10)) + sum(CASE WHEN coord THEN full ELSE short END) AS used,
+fl AS (SELECT {KEY}, length('[task]' || chr(10) || 'task ' || file_id || chr(10)) + sum(CASE WHEN coord THEN lng ELSE short END) AS used,
     count(*) FILTER (NOT coord) AS others FROM ln GROUP BY {KEY}),
-rk AS (SELECT *, full - short AS cost, row_number() OVER (PARTITION BY {KEY} ORDER BY step_idx DESC) AS r FROM ln WHERE NOT coord),
+rk AS (SELECT *, lng - short AS cost, row_number() OVER (PARTITION BY {KEY} ORDER BY step_idx DESC) AS r FROM ln WHERE NOT coord),
 gr AS (SELECT {KEY}, 0 AS r, CAST(used AS BIGINT) AS used, 0 AS kept, CAST(others AS BIGINT) AS others FROM fl
   UNION ALL SELECT g.subset, g.file_id, k.r, g.used + CASE WHEN g.used + k.cost <= {budget} THEN k.cost ELSE 0 END,
     g.kept + CASE WHEN g.used + k.cost <= {budget} THEN 1 ELSE 0 END, g.others
@@ -215,7 +215,7 @@ def _(spark, sf):
        "RECURSIVE " + TYPED + ",\n" + _retention_sql(2000))
 def _(spark, sf):
     s = _cv(spark, sf)
-    return E.hindsight(s, _heads(s), 2000).withColumn("n_chars", F.length("text"))
+    return E.hindsight(s, _heads(s), 2000).withColumn("n_chars", F.length("context"))
 
 
 @query("assemble_prefix", STEP + "used:i rebuilds:i n_demoted:i rebuilt:b")
@@ -286,9 +286,9 @@ def _(spark, sf):
     return S.score_steps(prompts, _hash_batch, judge="hash", readout="binary")
 
 
-@query("parse_readouts", "doc_id:i binary:d binary_ok:b number:d number_ok:b",
-       r"""SELECT doc_id, CASE m WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 ELSE 0.5 END AS binary, m < 2 AS binary_ok,
-         CASE m WHEN 3 THEN 0.83 WHEN 4 THEN 0.75 ELSE 0.5 END AS number, m IN (3, 4) AS number_ok
+@query("parse_readouts", "doc_id:i binary_p:d binary_ok:b number_p:d number_ok:b",
+       r"""SELECT doc_id, CASE m WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 ELSE 0.5 END AS binary_p, m < 2 AS binary_ok,
+         CASE m WHEN 3 THEN 0.83 WHEN 4 THEN 0.75 ELSE 0.5 END AS number_p, m IN (3, 4) AS number_ok
        FROM (SELECT doc_id, doc_id % 6 AS m FROM documents)""")
 def _(spark, sf):
     """yes after a think block, no, unreadable words, 0.83, 75%, an unclosed think block."""
@@ -301,8 +301,8 @@ def _(spark, sf):
         .when(m == 3, F.lit("<THINK>12</THINK> 0.83")).when(m == 4, F.lit("about 75%"))
         .otherwise(F.concat(F.lit("<think>step 1 "), "words")))
     d = d.select("doc_id", raw.alias("raw_text"))
-    a = S.scores_from_responses(d, "binary").select("doc_id", F.col("p_raw").alias("binary"), F.col("parse_ok").alias("binary_ok"))
-    b = S.scores_from_responses(d, "verbalized").select("doc_id", F.col("p_raw").alias("number"), F.col("parse_ok").alias("number_ok"))
+    a = S.scores_from_responses(d, "binary").select("doc_id", F.col("p_raw").alias("binary_p"), F.col("parse_ok").alias("binary_ok"))
+    b = S.scores_from_responses(d, "verbalized").select("doc_id", F.col("p_raw").alias("number_p"), F.col("parse_ok").alias("number_ok"))
     return a.join(b, "doc_id")
 
 
@@ -410,7 +410,7 @@ def _vectors(spark, sf):
        f"""SELECT 'alg' AS subset, CAST(t.label AS VARCHAR) AS file_id, t.i AS step_idx, t.i > 0 AS candidate,
          CASE WHEN t.i > 0 THEN (1 + any_value(c)) / 2 END AS embed_divergence
        FROM (SELECT a.label, a.i, sum(dot) / sqrt(sum(s2)) AS c FROM (
-           SELECT a.label, a.i, d, any_value(a.x) * sum(b.x) AS dot, sum(b.x) * sum(b.x) AS s2
+           SELECT a.label, a.i, a.d, any_value(a.x) * sum(b.x) AS dot, sum(b.x) * sum(b.x) AS s2
            FROM ux a LEFT JOIN ux b ON b.label = a.label AND b.d = a.d AND b.i < a.i GROUP BY 1, 2, 3) a GROUP BY 1, 2) t GROUP BY 1, 2, 3, 4""",
        """uv AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, unnest(embedding)::DOUBLE AS x0,
     generate_subscripts(embedding, 1) AS d FROM embeddings),
@@ -466,11 +466,11 @@ for _style in ("half_open", "inclusive"):
        FROM (SELECT *, step_idx < n_steps - 1 AND tot - coalesce(sum(length(l) - length(agent || ': [omitted for length]')) OVER (PARTITION BY {KEY}
            ORDER BY step_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 800 AS b FROM (
          SELECT *, sum(length(l)) OVER (PARTITION BY {KEY}) AS tot FROM (SELECT *, agent || ': ' || array_to_string(list_filter(
-           regexp_split_to_array(content, '\\s+'), lambda x: x <> ''), ' ') AS l FROM st WHERE length(content) > 40)))
+           regexp_split_to_array(content, '\\s+'), lambda x: x <> ''), ' ') AS l FROM st)))
        GROUP BY {KEY}""",
        TYPED)
 def _(spark, sf):
-    s = _cv(spark, sf).filter(F.length("content") > 40)
+    s = _cv(spark, sf)
     return S.transcripts(s, _records(s), cap=800)
 
 

@@ -217,9 +217,14 @@ def _(spark, sf):
 
 
 @query("uniform_random_draws", "subset:s file_id:s agent_rate:d step_rate:d",
-       f"""SELECT l.subset, l.file_id, sum(CAST({collapse('e.agent')} = {collapse('l.mistake_agent')} AS INTEGER)) / 100.0 AS agent_rate,
-         sum(CAST(e.step_idx = l.mistake_step AS INTEGER)) / 100.0 AS step_rate
-       FROM lab l CROSS JOIN range(100) d(i) JOIN ev e ON e.subset = l.subset AND e.file_id = l.file_id AND e.step_idx =
-         CAST(floor({h("concat_ws('|', '0', l.subset, l.file_id, i)")} * l.n_steps) AS INTEGER) GROUP BY 1, 2""", EV_LAB)
+       f"""SELECT subset, file_id, sum(w * CAST(ea = ga AS INTEGER)) / 100.0 AS agent_rate,
+         sum(w * CAST(step_idx = mistake_step AS INTEGER)) / 100.0 AS step_rate FROM (
+           SELECT subset, file_id, ga, mistake_step, step_idx, count(*) AS w FROM (
+             SELECT subset, file_id, ga, mistake_step,
+               CAST(floor({h("concat_ws('|', '0', subset, file_id, i)")} * n_steps) AS INTEGER) AS step_idx
+             FROM (SELECT subset, file_id, mistake_step, n_steps, {collapse('mistake_agent')} AS ga,
+               unnest(range(100)) AS i FROM lab)) GROUP BY ALL)
+         JOIN (SELECT subset, file_id, step_idx, {collapse('agent')} AS ea FROM ev) USING (subset, file_id, step_idx)
+       GROUP BY subset, file_id""", EV_LAB)
 def _(spark, sf):
     return B.uniform_random_expectation(*T.events(spark, sf), draws=100)

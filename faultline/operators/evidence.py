@@ -356,7 +356,8 @@ def retained_context(steps: DataFrame, heads: DataFrame, budget: int = V.PREFIX_
 def hindsight(steps: DataFrame, heads: DataFrame, budget: int = V.PREFIX_BUDGET_CHARS) -> DataFrame:
     """Every step beside the one whole-trajectory evidence text of its file."""
     ctx = retained_context(steps, heads, budget, with_text=True)
-    return join_files(steps, ctx.select(*K, "n_steps", "text", F.size("demoted").alias("n_demoted")))
+    return join_files(steps, ctx.select(*K, "n_steps", F.col("text").alias("context"),
+                                        F.size("demoted").alias("n_demoted")))
 
 
 def oldest_first_blanking(steps: DataFrame, cap: int = V.PTRUE_PREFIX_CHARS,

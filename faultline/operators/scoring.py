@@ -12,6 +12,7 @@ from ..functions.stats import p_true_from_logprobs, sigmoid_score
 from ..functions.text import hash_fraction
 from ..functions.typing import is_coordination, is_near_empty
 from ..schema import K
+from ..session import cut_lineage
 from .evidence import (
     augmentation, hindsight, lookahead_window, prefix_window, render_demoted, render_lookahead,
     render_preamble, render_question, render_step, strip_types,
@@ -53,7 +54,7 @@ def build_prompts(steps: DataFrame, records: DataFrame, *, readout: str = "ptrue
     else:
         base = base.withColumn("augment", F.lit(None).cast("string"))
     if policy == "hindsight":
-        base = hindsight(base, heads, budget).withColumnRenamed("text", "context")
+        base = hindsight(base, heads, budget)
     else:
         base = prefix_window(base, prefix_steps or 1, block)
         base = join_files(base, base.groupBy(*K).agg((F.max("step_idx") + 1).alias("n_steps"))
@@ -385,42 +386,44 @@ def verdict_step_by_step(verdicts: DataFrame, default: str | None = "last") -> D
 
 
 def verdict_binary_search(files: DataFrame, owners: DataFrame,
-                          later: Callable[[DataFrame], DataFrame], style: str = "half_open",
-                          rounds: int | None = None) -> DataFrame:
+                          later: Callable[[DataFrame], DataFrame], style: str = "half_open"
+                          ) -> DataFrame:
     """Halve every open range in bulk rounds until one step is left.
 
     ``later`` receives the open ranges (``lo, mid, hi`` beside the key) and adds
     ``verdict``: 'later', 'earlier' or null (unclear: go earlier). ``half_open``
     splits [lo, mid) | [mid, hi); ``inclusive`` splits [lo, mid] | [mid+1, hi].
-    Rounds are log2 of the longest trajectory, each one batch call over all
-    files; only the range table moves.
+    Rounds are log2 of the longest trajectory, each one batch call over all open
+    files; only the range table (one row per file) moves, and it is written after
+    every round so that no verdict is asked twice.
     """
     inclusive = style == "inclusive"
-    if rounds is None:
-        longest = files.agg(F.max("n_steps")).first()[0] or 1
-        rounds = max(int(np.ceil(np.log2(max(longest, 1)))), 0) + 1
-    r = files.select(
+    lo, mid, hi = F.col("lo"), F.col("mid"), F.col("hi")
+    is_open = lo < hi if inclusive else hi - lo > 1
+    columns = [*K, "lo", "hi", "n_calls", "trace"]
+    r = cut_lineage(files.select(
         *K, F.lit(0).alias("lo"),
         (F.col("n_steps") - 1 if inclusive else F.col("n_steps")).cast("int").alias("hi"),
-        F.lit(0).alias("n_calls"), F.lit("").alias("trace"))
-    for _ in range(rounds):
-        is_open = F.col("lo") < F.col("hi") if inclusive else F.col("hi") - F.col("lo") > 1
-        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        asked = later(r.withColumn("is_open", is_open).withColumn("mid", mid))
+        F.lit(0).alias("n_calls"), F.lit("").alias("trace")))
+    closed = [r.filter(~is_open)]
+    r = r.filter(is_open)
+    while not r.isEmpty():
+        asked = later(r.withColumn("mid", F.floor((lo + hi) / 2).cast("int")))
         late = F.coalesce(F.col("verdict") == "later", F.lit(False))
         word = F.when(F.col("verdict") == "later", F.lit("lower")).when(
             F.col("verdict") == "earlier", F.lit("upper")).otherwise(F.lit("ambiguous"))
-        go = F.col("is_open")
-        r = asked.select(
-            *K,
-            F.when(go & late, F.col("mid") + 1 if inclusive else F.col("mid")).otherwise(F.col("lo"))
-            .alias("lo"),
-            F.when(go & ~late, F.col("mid")).otherwise(F.col("hi")).alias("hi"),
-            (F.col("n_calls") + F.when(go, 1).otherwise(0)).alias("n_calls"),
-            F.when(go, F.concat_ws(">", F.when(F.col("trace") != "", F.col("trace")), word))
-            .otherwise(F.col("trace")).alias("trace"))
+        r = cut_lineage(asked.select(
+            *K, F.when(late, mid + 1 if inclusive else mid).otherwise(lo).cast("int").alias("lo"),
+            F.when(late, hi).otherwise(mid).cast("int").alias("hi"),
+            (F.col("n_calls") + 1).alias("n_calls"),
+            F.concat_ws(">", F.when(F.col("trace") != "", F.col("trace")), word).alias("trace")))
+        closed.append(r.filter(~is_open))
+        r = r.filter(is_open)
+    done = closed[0]
+    for part in closed[1:]:
+        done = done.unionByName(part)
     who = owners.select(*K, F.col("step_idx").alias("lo"), F.col("agent").alias("pred_agent"))
-    return r.join(who, [*K, "lo"], "left").select(
+    return done.select(*columns).join(who, [*K, "lo"], "left").select(
         *K, F.lit("binary_search").alias("method"), F.col("lo").alias("pred_step"), "pred_agent",
         "n_calls", F.col("trace").alias("raw"))
 
@@ -435,7 +438,7 @@ def transcripts(steps: DataFrame, records: DataFrame, cap: int = V.SEARCH_PREFIX
     lines = steps.groupBy(*K).agg(F.array_sort(F.collect_list(F.struct(
         "step_idx", line.alias("full"), short.alias("short")))).alias("l"))
     total = F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + F.length(x["full"]))
-    last = F.size("l") - 1
+    last = F.element_at("l", -1)["step_idx"]
     start = F.struct(total.alias("total"), F.array().cast("array<string>").alias("out"))
 
     def cut(acc, x):
