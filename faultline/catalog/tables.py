@@ -17,7 +17,8 @@ def _with_content(steps: DataFrame) -> DataFrame:
 
 def flagged_labels(steps: DataFrame) -> DataFrame:
     lab = labels_for(steps)
-    return flag_agent_step_mismatch(steps, anomaly_flags(_with_content(steps), lab))
+    # one row per trajectory, read by every evaluation branch: written once
+    return cut_lineage(flag_agent_step_mismatch(steps, anomaly_flags(_with_content(steps), lab)))
 
 
 def events(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -26,7 +26,8 @@ def icase(pattern: str) -> str:
 
 def collapse_agent(c) -> Column:
     """Comparable agent name; every spelling of the orchestrator becomes one."""
-    base = F.regexp_replace(F.lower(strip(F.coalesce(_col(c), F.lit("")))), r"\s*\(.*?\)\s*$", "")
+    low = F.lower(strip(F.coalesce(_col(c), F.lit(""))))
+    base = F.when(low.endswith(")"), F.regexp_replace(low, r"\s*\(.*?\)\s*$", "")).otherwise(low)
     name = F.translate(base, "- ", "__")
     return F.when(
         name.contains("orchestr") | name.isin(ORCHESTRATOR_NAMES), F.lit("orchestrator")

@@ -5,7 +5,11 @@ sizes, skewed join partitions are split, and broadcasts are chosen by AQE from
 the measured size of the small side rather than from an estimate.
 """
 
+import os
+import shutil
 import tempfile
+import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,30 +24,47 @@ RUNTIME_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session."""
+    """Apply the runtime settings to an existing session and make this package
+    importable in its Python workers."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    _ship_package(spark.sparkContext.applicationId)
     return spark
 
 
+@lru_cache(maxsize=None)
+def _ship_package(application_id: str) -> None:
+    """Send the package's source once per application."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
+    archive = shutil.make_archive(os.path.join(folder, "faultline"), "zip",
+                                  os.path.dirname(package), os.path.basename(package))
+    SparkSession.active().sparkContext.addPyFile(archive)
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The cluster's shared checkpoint folder. Only a local session that has none
     gets a folder of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None and spark.sparkContext.master.startswith("local"):
-        current = spark.sparkContext.getCheckpointDir()
-        where = current or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        where = _local_folder()
     return where
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a table several branches read to the reliable checkpoint folder, so
-    that lost executors do not replay everything before it. Without a shared
+    """Write a table that several branches read to the shared checkpoint folder
+    and read it back: lost executors do not replay what came before it, branches
+    prune its columns, and the planner sees its real size. Without a shared
     folder the plan is left as it is (correct, but recomputed per branch)."""
     spark = df.sparkSession
     where = checkpoint_dir(spark)
     if where is None:
         return df
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint()
+    path = f"{where.rstrip('/')}/faultline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
