@@ -104,9 +104,12 @@ query("rule_changepoint", PICK + " split:i gap:d reason:s",
 
 for _name, _src, _cte, _load in (("rule_changepoint_single", "ev", EVENTS, T.event_steps),
                                  ("rule_changepoint_single_short", "li", LINES, T.line_steps)):
-    query(_name, PICK + " score:d fallback:b reason:s split:i contrast:d", primary_sql(),
+    query(_name, PICK + " score:d fallback:b reason:s split:i bounded_contrast:d",
+          primary_sql(", s.contrast / (1 + abs(s.contrast)) AS bounded_contrast"),
           _cte + ", " + frame(_src))(
-        lambda spark, sf, load=_load: R.attribute(load(spark, sf), [R.PRIMARY]))
+        # a perfect split has a huge contrast, so it is compared on a bounded scale
+        lambda spark, sf, load=_load: R.attribute(load(spark, sf), [R.PRIMARY]).withColumn(
+            "bounded_contrast", F.col("contrast") / (1 + F.abs("contrast"))))
 
 query("rule_agent_first", PICK + " crossed:b",
       f"""SELECT {KEY}, coalesce(w.c.step_idx, w.l.step_idx) AS pred_step, coalesce(w.c.agent, w.l.agent) AS pred_agent,

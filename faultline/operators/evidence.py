@@ -149,24 +149,27 @@ def peer_pointers(steps: DataFrame, block: int | None = AUTO) -> DataFrame:
     "Previous step by somebody else" is carried forward from the last change of
     speaker, so no pairs of steps are formed.
     """
+    block = resolve(steps, block)
     s = turn_blocks(steps, block)
-    order = Window.partitionBy(*K, "turn").orderBy("step_idx")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
     spoken = strip(_text("content")) != ""
-    me = F.struct("step_idx", "agent")
-
     s = s.select(*K, "turn", "step_idx", "agent", _terse_execute().alias("_asks"),
                  spoken.alias("_spoken"))
-    s = s.withColumn("_p", F.last(F.when(F.col("_spoken"), me), True).over(before))
-    change = F.col("_p.agent") != F.col("agent")
-    s = s.withColumn("_o", F.last(F.when(F.col("_spoken") & change, F.col("_p")), True).over(upto))
-    s = s.withColumn("_po", F.last(F.when(F.col("_spoken"), F.col("_o")), True).over(before))
+    said = F.col("_spoken")
+
+    def latest(df, value, out, inclusive=False):
+        # structs lead with a step index, so the greatest one is the latest one
+        got = running_max(df, value, out, [*K, "turn"], block, inclusive)
+        return cut_lineage(got) if block else got
+
+    s = latest(s, F.when(said, F.struct("step_idx", "agent")), "_p")
+    change = said & (F.col("_p.agent") != F.col("agent"))
+    s = latest(s, F.when(change, F.col("_p")), "_o", True)
+    s = latest(s, F.when(said, F.col("_o")), "_po")
     # a full node: itself, the step before it, the last step by someone else
     node = F.struct("step_idx", "agent", F.col("_p").alias("p"), F.col("_po").alias("po"))
-    s = s.withColumn("_pn", F.last(F.when(F.col("_spoken"), node), True).over(before))
-    s = s.withColumn("_on", F.last(F.when(F.col("_spoken") & change, F.col("_pn")), True).over(upto))
-    s = s.withColumn("_pon", F.last(F.when(F.col("_spoken"), F.col("_on")), True).over(before))
+    s = latest(s, F.when(said, node), "_pn")
+    s = latest(s, F.when(change, F.col("_pn")), "_on", True)
+    s = latest(s, F.when(said, F.col("_on")), "_pon")
     mine = F.col("agent")
     first = F.when(F.col("_pn.agent") != mine, F.col("_pn")).otherwise(F.col("_pon"))
     asked = s.withColumn("_first", first).filter(F.col("_asks") & F.col("_first").isNotNull())
