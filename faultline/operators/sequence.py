@@ -151,7 +151,10 @@ def file_frame(scores: DataFrame, value: str = "p", keys=K, block: int | None =
     """
     whole = Window.partitionBy(*keys)
     if not block:
-        n, mean, sd = F.count(value).over(whole), F.avg(value).over(whole), F.stddev_pop(value).over(whole)
+        # ordered like the prefix windows that follow, so that one sort serves all
+        full = whole.orderBy("step_idx").rowsBetween(
+            Window.unboundedPreceding, Window.unboundedFollowing)
+        n, mean, sd = F.count(value).over(full), F.avg(value).over(full), F.stddev_pop(value).over(full)
         return scores.select(
             "*", n.alias("n"), mean.alias("mean"), sd.alias("sd"), (sd * sd * n).alias("m2"),
             F.lit(0).cast("long").alias("n_carry"), F.lit(0.0).alias("c_carry"),
