@@ -184,6 +184,21 @@ def _(spark, sf):
     return E.contradiction_pairs(_cv(spark, sf), tail_chars=1500)
 
 
+def _hash_pairs(premise: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    """Batch stand-in pair scorer."""
+    return (premise + "|" + hypothesis).map(
+        lambda t: int.from_bytes(hashlib.sha256(t.encode()).digest()[:4], "big") / 2**32)
+
+
+@query("contradiction_scores", STEP + "p_raw:d",
+       f"""SELECT {KEY}, step_idx, 1 - {h("premise || '|' || hypothesis")} AS p_raw FROM (
+         SELECT {KEY}, step_idx, string_agg(c, chr(10)) OVER (PARTITION BY {KEY} ORDER BY step_idx
+           ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS premise, c AS hypothesis
+         FROM (SELECT *, substr(content, 1, 2000) AS c FROM st)) WHERE step_idx > 0""", TYPED)
+def _(spark, sf):
+    return S.score_pairs(E.contradiction_pairs(_cv(spark, sf)), _hash_pairs)
+
+
 def _retention_sql(budget: int) -> str:
     """Greedy newest-first upgrade with skipping, one recursive step per rank."""
     return f"""ln AS (SELECT {KEY}, step_idx, type_norm IN ('plan', 'delegate') AS coord, length({rendered()}) AS lng,

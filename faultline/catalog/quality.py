@@ -239,14 +239,14 @@ def _(spark, sf):
 
 _ROLES = [
     "Orchestrator (thought)", "Orchestrator (-> WebSurfer)", "Orchestrator (final answer)", "WebSurfer",
-    "orchestrator", "Magentic One (planning)", "Helper", "Helper (unsure)",
+    "orchestrator", "Lead Planner (planning)", "Helper", "Helper (unsure)",
 ]
 _ROLE_PARSES = {
     "Orchestrator (thought)": ("Orchestrator", "plan", None),
     "Orchestrator (-> WebSurfer)": ("Orchestrator", "delegate", "WebSurfer"),
     "Orchestrator (final answer)": ("Orchestrator", "final", None),
     "WebSurfer": ("WebSurfer", "execute", None), "orchestrator": ("orchestrator", "plan", None),
-    "Magentic One (planning)": ("Magentic One", "plan", None), "Helper": ("Helper", "unknown", None),
+    "Lead Planner (planning)": ("Lead Planner", "plan", None), "Helper": ("Helper", "unknown", None),
     "Helper (unsure)": ("Helper", "unknown", None),
 }
 
