@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
+from .jaccard_join import jaccard_components
 from .packing import pack_documents
 from .registry import query
 
@@ -18,3 +19,8 @@ def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
 @query("op1_best_fit_packing")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 2048, keep_ids=False)
+
+
+@query("op9_ngram_jaccard_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), k=5, percent=75)
