@@ -8,6 +8,7 @@ from .common import table
 from .jaccard_join import jaccard_components
 from .packing import pack_documents
 from .registry import query
+from .suffix_dedup import remove_repeats
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -24,3 +25,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_ngram_jaccard_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=5, percent=75)
+
+
+@query("op10_suffix_array_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=100, keep_text=False)
