@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
+from .decontaminate import contained_items
 from .jaccard_join import jaccard_components
 from .packing import pack_documents
+from .quality_rules import quality_verdicts
 from .registry import query
 from .suffix_dedup import remove_repeats
 
@@ -30,3 +32,56 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_suffix_array_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=100, keep_text=False)
+
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+OP2_SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, least(len(w), 5) AS k, w[p:p + least(len(w), 5) - 1] AS s
+      FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM b WHERE len(w) > 0)),
+n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY 1),
+k AS (SELECT DISTINCT k FROM i),
+d AS (SELECT DISTINCT doc_id, k, w[p:p + k - 1] AS s
+      FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM w, k WHERE len(w) >= k))
+SELECT doc_id, item_id, n_item, count(*) AS n_shared
+FROM i JOIN d USING (k, s) JOIN n USING (item_id) GROUP BY ALL HAVING 100 * count(*) >= 75 * n_item
+"""
+
+
+@query("op2_benchmark_decontamination", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, percent=75)
+
+
+OP3_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '{WORD}') AS w FROM t),
+x AS (SELECT r, p, w[p:p + 2] AS s FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS p FROM w)),
+twice AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, s) AS c FROM x) WHERE c > 1),
+rep AS (SELECT r, count(DISTINCT p + o) AS n FROM twice, (VALUES (0), (1), (2)) v(o) GROUP BY 1),
+l AS (SELECT r, count(*) - count(DISTINCT line) AS n
+      FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '{WORD}') GROUP BY 1),
+s AS (SELECT t.r, doc_id, source, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars,
+        (len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+      FROM t JOIN w USING (r) LEFT JOIN l USING (r) LEFT JOIN rep USING (r)),
+j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+        1000 * n_symbols > 100 * n_words OR 1000 * n_dup_lines > 20 * n_words
+          OR 1000 * word_chars < 3000 * n_words OR 1000 * word_chars > 10000 * n_words AS mild,
+        1000 * n_symbols > 300 * n_words OR 1000 * n_dup_lines > 50 * n_words
+          OR 1000 * word_chars < 2000 * n_words OR 1000 * word_chars > 16000 * n_words AS severe FROM s),
+h AS (SELECT source, count(*) AS n, sum((base_failed OR mild)::INT) AS f FROM j GROUP BY 1),
+m AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v, avg(1.0 / n) AS i FROM h),
+p AS (SELECT m, greatest(m * (1 - m) / greatest(v - m * (1 - m) * i, 1e-6) - 1, 1.0) AS s FROM m),
+q AS (SELECT source, (f + m * s) / (n + s) > 0.5 AS strict FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (CASE WHEN strict THEN mild ELSE severe END) AS kept
+FROM j JOIN q ON j.source IS NOT DISTINCT FROM q.source
+"""
+
+
+@query("op3_host_quality_rules", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents")).drop("strict")
