@@ -11,7 +11,8 @@
 4. In a group every set is compared with its most central member (the one with the
    largest part of shared shingles). That is linear in the group and links nearly all
    that can be linked; components follow from those links.
-5. Groups that still hold several components are joined exactly: their sets are stored in
+5. Groups that still hold several components are joined exactly. Overlapping groups form
+   families; a family of bounded size is one group from here on. Sets are stored in
    a prefix tree, a probe walks it once, shares the overlap counted so far between all
    sets below a node, leaves a subtree when the remaining lengths cannot reach the
    threshold, and skips what is already in its component. The largest component is never
@@ -37,8 +38,10 @@ from .postings import by_group, deal, part_of, rows_of
 from .textcode import U64, distinct_by_row, flat, mix, pieces, shingles, words
 
 NULL_ID = -(1 << 63)
-#: sets of one side of a block pair
-BLOCK_SETS = 2048
+LOW_BYTES = U64((1 << 56) - 1)
+#: sets and shingles of one side of a block pair
+BLOCK_SETS, BLOCK_TOKENS = 2048, 1 << 21
+KEY = ("whole", "token", "p", "t")
 
 
 def _shingled(k: int, parts: int):
@@ -65,7 +68,7 @@ def _shingled(k: int, parts: int):
                     value, row = value[keep], row[keep]
                 for part, r, n, at in deal(value, row, parts):
                     keys.append(part)
-                    blobs.append(pack(sid[r], count[r].astype(np.int32), n.astype(np.int32), value[at]))
+                    blobs.append(pack(sid[r], count[r].astype(np.int32), n.astype(np.int32), value[at] & LOW_BYTES))
                 yield rows_of(keys, blobs)
     return run
 
@@ -81,7 +84,7 @@ def _shared(parts: int, group: pa.Table) -> pa.Table:
     sid, size, count, value = (np.concatenate(x) for x in zip(*parts_in))
     first = np.zeros(len(sid), bool)
     first[np.unique(sid, return_index=True)[1]] = True
-    value = value[np.repeat(first, count)]
+    value = value[np.repeat(first, count)] | U64(key << (64 - parts.bit_length() + 1) >> 56 << 56)
     sid, size, count = sid[first], size[first], count[first]
     _, inverse, times = np.unique(value, return_inverse=True, return_counts=True)
     times = times[inverse]
@@ -121,7 +124,8 @@ def document_sets(docs: DataFrame, k: int, percent: int, id_col: str, text_col:
     """(doc_id, sid, n_shingles) of every document, and the sets that may have partners."""
     src = pick(docs, doc_id=id_col, text=text_col).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
-    parts = parts_of(src, "text", 6)
+    # a power of two, 256 at least: the part says the leading byte, which is not sent
+    parts = 1 << max(8, (parts_of(src, "text", 6) - 1).bit_length())
     dealt = src.mapInArrow(_shingled(k, parts), "key long, blob binary")
     stored = cut_lineage(dealt.groupBy("key").applyInArrow(by_group(_shared, parts), "kind int, key long, blob binary"))
     rows = stored.where("kind = 1").select("blob").mapInArrow(_documents, "doc_id long, sid long, n_shingles long")
@@ -249,14 +253,14 @@ def _join_groups(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = [batch.column(batch.schema.names.index(c)).to_numpy() for c in ("token", "p", "t")]
+            keys = [batch.column(batch.schema.names.index(c)).to_numpy(zero_copy_only=False) for c in KEY]
             change = np.zeros(batch.num_rows, bool)
             for k in keys:
                 change[1:] |= k[1:] != k[:-1]
             if held:
                 last = held[-1].slice(held[-1].num_rows - 1)
                 change[0] = any(last.column(last.schema.names.index(c))[0].as_py() != k[0]
-                                for c, k in zip(("token", "p", "t"), keys))
+                                for c, k in zip(KEY, keys))
             edges = [*np.flatnonzero(change).tolist(), batch.num_rows]
             at = 0
             for e in edges:
@@ -273,7 +277,7 @@ def _join_groups(percent: int):
 
 def components(sets: DataFrame, percent: int, block_sets: int = BLOCK_SETS) -> DataFrame:
     """sid -> comp for the sets that link with another."""
-    prefix = sets.select("sid", "n", (F.col("shared") / F.col("n")).alias("central"),
+    prefix = sets.select("sid", "n", F.col("shared").alias("weight"), (F.col("shared") / F.col("n")).alias("central"),
                          F.explode(F.slice("tokens", F.lit(1), F.col("prefix").cast("int"))).alias("token"))
     leader = (prefix.groupBy("token")
               .agg(F.max_by(F.struct("sid", "n"), F.struct("central", "sid")).alias("lead"), F.count(F.lit(1)).alias("c"))
@@ -284,19 +288,34 @@ def components(sets: DataFrame, percent: int, block_sets: int = BLOCK_SETS) -> D
             .select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct())
     first = cut_lineage(connected(_links(near, sets, percent)))
 
-    member = prefix.join(first, prefix["sid"] == first["node"], "left").select(
-        "token", "sid", F.coalesce("label", "sid").alias("comp"))
+    comp_of = lambda df: df.join(first.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("label", "sid")).drop("label")
+    member = comp_of(prefix.select("token", "sid", "weight"))
     # per (token, component) first, so that a hot shingle is summed before it meets
     per_comp = member.groupBy("token", "comp").agg(
-        F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y"))
+        F.count(F.lit(1)).alias("c"), F.min("sid").alias("hub"),
+        F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y"))
     mixed = (per_comp.groupBy("token")
-             .agg(F.sum("c").alias("c"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.count(F.lit(1)).alias("comps"),
-                  F.max_by("comp", F.struct("c", "comp")).alias("largest"), F.max("c").alias("most"))
+             .agg(F.sum("c").alias("c"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"),
+                  F.count(F.lit(1)).alias("comps"), F.min("hub").alias("hub"))
              .where("comps > 1")
-             .groupBy("c", "x", "y").agg(F.min(F.struct("token", "largest", "most")).alias("g"))
-             .select("g.token", "g.largest", F.ceil(F.col("c") / block_sets).cast("int").alias("kt"),
-                     F.ceil((F.col("c") - F.col("g.most")) / block_sets).cast("int").alias("kp")))
-    placed = (member.join(mixed, "token")
+             .groupBy("c", "x", "y").agg(F.min(F.struct("token", "hub")).alias("g")).select("g.token", "g.hub"))
+    mixed = cut_lineage(member.join(mixed, "token"))
+    # groups that overlap form a family; one of bounded size is joined as one group
+    family = connected(mixed.select(F.col("sid").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct())
+    family = family.join(sets.select(F.col("sid").alias("node"), F.col("shared").alias("weight")), "node")
+    fits = (family.groupBy("label").agg(F.count(F.lit(1)).alias("c"), F.sum("weight").alias("w"))
+            .select(F.col("label").alias("hub"), ((F.col("c") <= block_sets) & (F.col("w") <= BLOCK_TOKENS)).alias("fits")))
+    family = family.join(fits.withColumnRenamed("hub", "label"), "label")
+    whole = comp_of(family.where("fits").select(F.col("node").alias("sid"), F.col("label").alias("token"), "weight"))
+    apart = mixed.join(family.where("not fits").select(F.col("node").alias("sid")), "sid", "left_semi")
+    grouped = whole.select("token", "sid", "comp", "weight", F.lit(True).alias("whole")).union(
+        apart.select("token", "sid", "comp", "weight", F.lit(False)))
+    block = lambda c, w: F.ceil(F.greatest(F.col(c) / block_sets, F.col(w) / BLOCK_TOKENS)).cast("int")
+    blocks = (grouped.groupBy("whole", "token", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("weight").alias("w"))
+              .groupBy("whole", "token").agg(F.sum("c").alias("c"), F.sum("w").alias("w"), F.max(F.struct("c", "w", "comp")).alias("g"))
+              .withColumns({"pc": F.col("c") - F.col("g.c"), "pw": F.col("w") - F.col("g.w")}).where("pc > 0")
+              .select("whole", "token", F.col("g.comp").alias("largest"), block("c", "w").alias("kt"), block("pc", "pw").alias("kp")))
+    placed = (grouped.join(blocks, ["whole", "token"])
               .withColumn("probe", F.col("comp") != F.col("largest"))
               .withColumn("p0", F.when(F.col("probe"), F.pmod(F.xxhash64("sid"), "kp")).otherwise(-1).cast("int"))
               .withColumn("t0", F.pmod(F.xxhash64("sid"), "kt").cast("int"))
@@ -305,8 +324,8 @@ def components(sets: DataFrame, percent: int, block_sets: int = BLOCK_SETS) -> D
                   F.when(F.col("probe"), F.transform(F.sequence(F.lit(0), F.col("kt") - 1),
                                                      lambda t: F.struct(F.col("p0").alias("p"), t.alias("t"))))
                   .otherwise(F.array().cast("array<struct<p:int,t:int>>")))))))
-    rows = placed.select("token", "at.p", "at.t", "p0", "t0", "probe", "sid", "comp").join(sets.select("sid", "n", "tokens"), "sid")
-    more = cut_lineage(rows.repartition("token", "p", "t").sortWithinPartitions("token", "p", "t")
+    rows = placed.select("whole", "token", "at.p", "at.t", "p0", "t0", "probe", "sid", "comp").join(sets.select("sid", "n", "tokens"), "sid")
+    more = cut_lineage(rows.repartition("whole", "token", "p", "t").sortWithinPartitions("whole", "token", "p", "t")
                        .mapInArrow(_join_groups(percent), "a long, b long"))
     if more.isEmpty():
         return first.select(F.col("node").alias("sid"), F.col("label").alias("comp"))
