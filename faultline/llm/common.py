@@ -3,6 +3,7 @@ records that move many numbers in one row."""
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import configure, cut_lineage, checkpoint_dir
 
-__all__ = ["column", "configure", "cut_lineage", "pack", "parts_of", "pick", "scratch_path", "table", "unpack"]
+__all__ = ["column", "configure", "cut_lineage", "pack", "parts_of", "pick", "release", "scratch_path", "table", "unpack"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{re.sub('[^a-z0-9]+', '-', label.lower())}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written: it does so
+    when the driver's JVM collects the frames that no one holds any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def parts_of(docs: DataFrame, text: str, bytes_per_item: float, items: int = 1 << 21) -> int:
     """Into how many hash parts the items of all texts go, so that a part holds about
     ``items`` whatever the size of the corpus. One scan of the text column."""

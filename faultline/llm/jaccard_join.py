@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut_lineage, pack, parts_of, pick, unpack
+from .common import cut_lineage, pack, parts_of, pick, release, unpack
 from .graph import connected
 from .postings import by_group, deal, part_of, rows_of
 from .textcode import U64, distinct_by_row, flat, mix, pieces, shingles, words
@@ -126,11 +126,13 @@ def document_sets(docs: DataFrame, k: int, percent: int, id_col: str, text_col:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
     # a power of two, 256 at least: the part says the leading byte, which is not sent
     parts = 1 << max(8, (parts_of(src, "text", 6) - 1).bit_length())
-    dealt = src.mapInArrow(_shingled(k, parts), "key long, blob binary")
-    stored = cut_lineage(dealt.groupBy("key").applyInArrow(by_group(_shared, parts), "kind int, key long, blob binary"))
+    stored = cut_lineage(src.mapInArrow(_shingled(k, parts), "key long, blob binary")
+                         .groupBy("key").applyInArrow(by_group(_shared, parts), "kind int, key long, blob binary"))
+    release(docs.sparkSession)
     rows = stored.where("kind = 1").select("blob").mapInArrow(_documents, "doc_id long, sid long, n_shingles long")
     sets = cut_lineage(stored.where("kind = 0").select("key", "blob").groupBy("key").applyInArrow(
         by_group(_sets, percent), "sid long, n long, shared long, prefix long, tokens array<long>"))
+    release(docs.sparkSession)
     return rows, sets
 
 
@@ -287,6 +289,8 @@ def components(sets: DataFrame, percent: int, block_sets: int = BLOCK_SETS) -> D
                    & (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")))
             .select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct())
     first = cut_lineage(connected(_links(near, sets, percent)))
+    del near
+    release(sets.sparkSession)
 
     comp_of = lambda df: df.join(first.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("label", "sid")).drop("label")
     member = comp_of(prefix.select("token", "sid", "weight"))

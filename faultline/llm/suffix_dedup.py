@@ -34,13 +34,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut_lineage, pack, parts_of, pick, unpack
+from .common import cut_lineage, pack, parts_of, pick, release, unpack
 from .jaccard_join import NULL_ID
 from .postings import by_group, deal, part_of, rows_of
 from .textcode import U64, flat, mix, pieces, prefix_sums, span_hashes
 
-#: a perfect difference set: every residue modulo 73 is a difference of two of these
-COVER, MODULUS = (0, 1, 3, 7, 15, 31, 36, 54, 63), 73
+#: a perfect difference set: every residue modulo 57 is a difference of two of these
+COVER, MODULUS = (0, 1, 3, 13, 32, 36, 43, 52), 57
 
 
 def _starts(offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,20 +261,24 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = True, i
     src = src.withColumn("tid", F.xxhash64("text"))
     spark = docs.sparkSession
     parts = parts_of(src, "text", 8)
-    sampled = src.where(F.octet_length("text") >= length).select("tid", "text").mapInArrow(_sample(length, parts), "key long, blob binary")
-    tied = (sampled.groupBy("key").applyInArrow(by_group(_tied_names, parts), "key long, blob binary")
-            .groupBy("key").applyInArrow(_per_text, "tid long, tied array<int>"))
-    tied = cut_lineage(tied)
+    tied = cut_lineage(src.where(F.octet_length("text") >= length).select("tid", "text")
+                       .mapInArrow(_sample(length, parts), "key long, blob binary")
+                       .groupBy("key").applyInArrow(by_group(_tied_names, parts), "key long, blob binary")
+                       .groupBy("key").applyInArrow(_per_text, "tid long, tied array<int>"))
+    release(spark)
 
     meta = src.select("doc_id", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     first = meta.groupBy("tid").agg(F.min("doc_id").alias("rep"))
     wanted = tied.join(first, "tid").select(F.col("rep").alias("doc_id"), "tid", "tied")
     texts = cut_lineage(src.join(wanted, ["doc_id", "tid"]).dropDuplicates(["doc_id", "tid"]).select("doc_id", "tid", "text", "tied"))
+    del wanted
+    release(spark)
     n_tied = texts.agg(F.sum(F.size("tied"))).first()[0] or 0
     buckets = max(4, int(n_tied * MODULUS / len(COVER) / (1 << 21)) + 1)
-    runs = (texts.mapInArrow(_suffixes(length, buckets, parts), "key long, blob binary")
-            .groupBy("key").applyInArrow(by_group(_bucket, parts), "key long, blob binary")
-            .groupBy("key").applyInArrow(by_group(_runs, length), "doc_id long, tid long, starts array<long>, ends array<long>"))
+    runs = cut_lineage(texts.mapInArrow(_suffixes(length, buckets, parts), "key long, blob binary")
+                       .groupBy("key").applyInArrow(by_group(_bucket, parts), "key long, blob binary")
+                       .groupBy("key").applyInArrow(by_group(_runs, length), "doc_id long, tid long, starts array<long>, ends array<long>"))
+    release(spark)
     more = ", kept binary, starts array<long>, ends array<long>" if keep_text else ""
     cut = texts.drop("tied").join(runs, ["doc_id", "tid"]).mapInArrow(
         _cut(keep_text), "doc_id long, tid long, n_removed long, n_spans long, kept_sha256 string" + more)
