@@ -10,6 +10,7 @@ from .jaccard_join import jaccard_components
 from .packing import pack_documents
 from .quality_rules import quality_verdicts
 from .registry import query
+from .rule_ensemble import quality_scores
 from .suffix_dedup import remove_repeats
 
 
@@ -85,3 +86,15 @@ FROM j JOIN q ON j.source IS NOT DISTINCT FROM q.source
 @query("op3_host_quality_rules", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents")).drop("strict")
+
+
+def fold(id_col: str, n: int):
+    """crc32 of the id as text, modulo n: the split that the contracts fix."""
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+@query("op8_rule_ensemble_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(fold("doc_id", 3) != 1)
+    scored = quality_scores(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
