@@ -8,6 +8,7 @@ from .common import table
 from .decontaminate import contained_items
 from .jaccard_join import jaccard_components
 from .packing import pack_documents
+from .pii import KINDS, personal_spans
 from .quality_rules import quality_verdicts
 from .registry import query
 from .rule_ensemble import quality_scores
@@ -98,3 +99,20 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(fold("doc_id", 3) != 1)
     scored = quality_scores(table(spark, sf_dir, "documents"), labels)
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def joined_spans(spans: str):
+    """kind:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def of_kind(spans: str, kind: str):
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
+@query("op4_candidate_boosted_pii")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_spans(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[of_kind("base", k).alias(f"n_{k}") for k in KINDS],
+        F.sha2(joined_spans("base"), 256).alias("base_sha256"), joined_spans("spans").alias("spans"))
