@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
+from .context_tree import tree_scores
 from .decontaminate import contained_items
 from .jaccard_join import jaccard_components
 from .packing import pack_documents
@@ -13,6 +14,7 @@ from .quality_rules import quality_verdicts
 from .registry import query
 from .rule_ensemble import quality_scores
 from .suffix_dedup import remove_repeats
+from .unigram import unigram_scores
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -116,3 +118,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[of_kind("base", k).alias(f"n_{k}") for k in KINDS],
         F.sha2(joined_spans("base"), 256).alias("base_sha256"), joined_spans("spans").alias("spans"))
+
+
+@query("op6_context_tree_scores")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.withColumns({"uid": F.xxhash64("doc_id", "text"), "train": fold("doc_id", 10) != 0})
+    base = unigram_scores(rows)
+    scores = tree_scores(rows.select("uid", "text"), rows.where("train").select("text"), depth=4)
+    return (rows.select("doc_id", "uid", (~F.col("train")).alias("held_out")).join(base, "uid").join(scores, "uid")
+            .select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"))
