@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import table
 from .context_tree import tree_scores
 from .decontaminate import contained_items
+from .html_text import main_text
 from .jaccard_join import jaccard_components
 from .packing import pack_documents
 from .pii import KINDS, personal_spans
@@ -128,3 +129,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = tree_scores(rows.select("uid", "text"), rows.where("train").select("text"), depth=4)
     return (rows.select("doc_id", "uid", (~F.col("train")).alias("held_out")).join(base, "uid").join(scores, "uid")
             .select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"))
+
+
+@query("op5_dom_boosted_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
