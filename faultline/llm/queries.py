@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import cut_lineage, scratch_path, table
 from .context_tree import tree_scores
 from .decontaminate import contained_items
 from .html_text import main_text
@@ -15,6 +15,7 @@ from .quality_rules import quality_verdicts
 from .registry import query
 from .rule_ensemble import quality_scores
 from .suffix_dedup import remove_repeats
+from .token_rollup import Rollup, deletes, inserts, revisions, token_counts
 from .unigram import unigram_scores
 
 
@@ -134,3 +135,23 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_dom_boosted_text")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query("op7_token_rollup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches: every document under one vocabulary; toxic documents deleted; the
+    other languages than English recounted with a vocabulary for many. The last batch is
+    committed twice, as after a retry."""
+    docs = table(spark, sf_dir, "documents")
+    versions = {"byte_bpe": tokenizer_path(), "byte_bpe_multi": tokenizer_path("byte_bpe_multi_50k.tiktoken")}
+    counted = cut_lineage(token_counts(docs, versions, skip={"byte_bpe_multi": "en"}))
+    first, second = (counted.where(F.col("tokenizer") == v) for v in versions)
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    left = first.join(toxic, "doc_id", "left_anti")
+    book = Rollup(spark, scratch_path(spark, "rollup"))
+    book.commit("1-insert", inserts(first))
+    book.commit("2-delete", deletes(first.join(toxic, "doc_id", "left_semi")))
+    foreign = left.where("lang IS NULL OR lang <> 'en'")
+    for _ in range(2):
+        book.commit("3-revise", revisions(foreign, second.join(toxic, "doc_id", "left_anti")))
+    return book.totals()
