@@ -145,7 +145,8 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose Jaccard similarity reaches the threshold."""
+    """The pairs (a, b) whose Jaccard similarity reaches the threshold. The set of ``a``,
+    of which there may be many pairs, is joined while the rows are still narrow."""
     side = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
     both = F.size(F.array_intersect("t_a", "t_b"))
     return (pairs.join(side("a"), "a").join(side("b"), "b")
@@ -287,7 +288,7 @@ def components(sets: DataFrame, percent: int, block_sets: int = BLOCK_SETS) -> D
     near = (prefix.join(leader, "token")
             .where((F.col("sid") != F.col("lead"))
                    & (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n")))
-            .select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct())
+            .select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct())
     first = cut_lineage(connected(_links(near, sets, percent)))
     del near
     release(sets.sparkSession)
