@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import gc
 import re
+import time
 import uuid
 
 import numpy as np
@@ -42,9 +43,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps whose results are written: it does so
-    when the driver's JVM collects the frames that no one holds any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    when the driver's JVM collects the frames that no one holds any more. The event that
+    ends a query holds its plan for a moment, hence the second call."""
+    for pause in (0.5, 0.0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
 
 
 def parts_of(docs: DataFrame, text: str, bytes_per_item: float, items: int = 1 << 21) -> int:
