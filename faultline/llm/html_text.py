@@ -151,6 +151,12 @@ class Page:
         while len(stack) > 1:
             pop()
 
+    def token_groups(self, i: int) -> list[int]:
+        """The part of a page that each known class, id or role token of a node names."""
+        words = [w.lower() for a in _ATTR.finditer(self.attrs[i])
+                 for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", a[2] or a[3] or a[4] or ""))]
+        return [WORD_GROUP[w] for w in words if w in WORD_GROUP]
+
     def features(self) -> np.ndarray:
         n = len(self.tag)
         parent, own = np.array(self.parent), np.array([self.chars, self.link_chars, self.tags, self.stops], float).T
@@ -164,11 +170,8 @@ class Page:
         above = np.zeros((n, len(TOKENS) + len(TAG_GROUPS)))
         order = np.zeros(n)
         for i in range(n):
-            for a in _ATTR.finditer(self.attrs[i]):
-                for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", a[2] or a[3] or a[4] or "")):
-                    g = WORD_GROUP.get(w.lower())
-                    if g is not None:
-                        groups[i, g] += 1
+            for g in self.token_groups(i):
+                groups[i, g] += 1
             g = TAG_GROUP.get(self.tag[i])
             if g is not None:
                 tags[i, g] = 1
@@ -221,11 +224,13 @@ class Page:
 # ---- training -------------------------------------------------------------------------
 
 def semantic_labels(page: Page) -> np.ndarray | None:
-    """1 for nodes on the way to or inside an article, 0 for others; None without one."""
+    """1 for nodes on the way to or inside an article, 0 for others, NaN inside an article
+    where attribute tokens name another part of a page; None without an article."""
     n = len(page.tag)
-    inside, label = np.zeros(n, bool), np.zeros(n)
+    inside, label, doubt = np.zeros(n, bool), np.zeros(n), np.zeros(n, bool)
     for i in range(1, n):
         p = page.parent[i]
+        doubt[i] = doubt[p] or any(g != 0 for g in page.token_groups(i))
         drop = page.tag[i] in ("nav", "aside", "footer", "form")
         inside[i] = not drop and (inside[p] or page.tag[i] in ("article", "main"))
     if not inside.any():
@@ -234,6 +239,7 @@ def semantic_labels(page: Page) -> np.ndarray | None:
     for i in range(n - 1, 0, -1):
         if label[i]:
             label[page.parent[i]] = 1
+    label[doubt & inside] = np.nan
     return label
 
 
@@ -305,8 +311,9 @@ def train(sources: list[str], layouts: int = 600) -> Boosted | None:
         page = Page(s or "")
         label = semantic_labels(page)
         if label is not None:
-            xs.append(page.features())
-            ys.append(label)
+            sure = ~np.isnan(label)
+            xs.append(page.features()[sure])
+            ys.append(label[sure])
         sentences += [t.strip() for _, run in page.runs if run for t in re.findall(r"[^.]{20,200}\.", run)[:20]]
     if not sentences:
         return None
