@@ -179,7 +179,7 @@ def _(spark, sf):
 @query("contradiction_pairs", STEP + "premise:s hypothesis:s",
        f"""SELECT * FROM (SELECT {KEY}, step_idx, right(string_agg(c, chr(10)) OVER (PARTITION BY {KEY} ORDER BY step_idx
            ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 1500) AS premise, c AS hypothesis
-         FROM (SELECT *, substr(content, 1, 2000) AS c FROM st)) WHERE step_idx > 0""", TYPED)
+         FROM (SELECT *, content AS c FROM st)) WHERE step_idx > 0""", TYPED)
 def _(spark, sf):
     return E.contradiction_pairs(_cv(spark, sf), tail_chars=1500)
 
@@ -194,7 +194,7 @@ def _hash_pairs(premise: pd.Series, hypothesis: pd.Series) -> pd.Series:
        f"""SELECT {KEY}, step_idx, 1 - {h("premise || '|' || hypothesis")} AS p_raw FROM (
          SELECT {KEY}, step_idx, string_agg(c, chr(10)) OVER (PARTITION BY {KEY} ORDER BY step_idx
            ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS premise, c AS hypothesis
-         FROM (SELECT *, substr(content, 1, 2000) AS c FROM st)) WHERE step_idx > 0""", TYPED)
+         FROM (SELECT *, content AS c FROM st)) WHERE step_idx > 0""", TYPED)
 def _(spark, sf):
     return S.score_pairs(E.contradiction_pairs(_cv(spark, sf)), _hash_pairs)
 
@@ -233,11 +233,35 @@ def _(spark, sf):
     return E.hindsight(s, _heads(s), 2000).withColumn("n_chars", F.length("context"))
 
 
-@query("assemble_prefix", STEP + "used:i rebuilds:i n_demoted:i rebuilt:b")
+def _prefix_sql(budget: int) -> str:
+    """The walk itself: what a rebuild at each step would give (greedy, one recursive step
+    per rank), then one recursive step per step of the trajectory."""
+    goal, head = int(budget * V.RETAIN_TARGET), "length('[task]' || chr(10) || 'task ' || file_id || chr(10))"
+    return f"""ln AS (SELECT {KEY}, step_idx, type_norm IN ('plan', 'delegate') AS coord, length({rendered()}) AS lng,
+    length({SHORT}) AS short FROM st),
+fl AS (SELECT t.subset, t.file_id, t.step_idx AS t, {head.replace("file_id", "t.file_id")} + sum(CASE WHEN s.coord THEN s.lng ELSE s.short END) AS used,
+    count(*) FILTER (NOT s.coord) AS others FROM ln t JOIN ln s ON s.subset = t.subset AND s.file_id = t.file_id AND s.step_idx <= t.step_idx GROUP BY 1, 2, 3),
+rk AS (SELECT t.subset, t.file_id, t.step_idx AS t, s.lng - s.short AS cost, row_number() OVER (PARTITION BY t.subset, t.file_id, t.step_idx ORDER BY s.step_idx DESC) AS r
+    FROM ln t JOIN ln s ON s.subset = t.subset AND s.file_id = t.file_id AND s.step_idx <= t.step_idx WHERE NOT s.coord),
+gr AS (SELECT {KEY}, t, 0 AS r, CAST(used AS BIGINT) AS used, 0 AS kept, CAST(others AS BIGINT) AS others FROM fl
+  UNION ALL SELECT g.subset, g.file_id, g.t, CAST(k.r AS INTEGER), g.used + CASE WHEN g.used + k.cost <= {goal} THEN k.cost ELSE 0 END,
+    g.kept + CASE WHEN g.used + k.cost <= {goal} THEN 1 ELSE 0 END, g.others
+  FROM gr g JOIN rk k ON k.subset = g.subset AND k.file_id = g.file_id AND k.t = g.t AND k.r = g.r + 1),
+rb AS (SELECT {KEY}, t, used, others - kept AS demoted FROM gr WHERE r = others),
+wk AS (SELECT DISTINCT {KEY}, -1 AS step_idx, CAST({head} AS BIGINT) AS used, 0 AS rebuilds, CAST(0 AS BIGINT) AS n_demoted, FALSE AS rebuilt FROM ln
+  UNION ALL SELECT w.subset, w.file_id, n.step_idx, CASE WHEN w.used + n.lng <= {budget} THEN w.used + n.lng ELSE b.used END,
+    w.rebuilds + CASE WHEN w.used + n.lng <= {budget} THEN 0 ELSE 1 END,
+    CASE WHEN w.used + n.lng <= {budget} THEN w.n_demoted ELSE b.demoted END, w.used + n.lng > {budget}
+  FROM wk w JOIN ln n ON n.subset = w.subset AND n.file_id = w.file_id AND n.step_idx = w.step_idx + 1
+  JOIN rb b ON b.subset = n.subset AND b.file_id = n.file_id AND b.t = n.step_idx)"""
+
+
+@query("assemble_prefix", STEP + "used:i rebuilds:i n_demoted:i rebuilt:b",
+       f"SELECT {KEY}, step_idx, used, rebuilds, n_demoted, rebuilt FROM wk WHERE step_idx >= 0",
+       "RECURSIVE " + TYPED + ",\n" + _prefix_sql(700))
 def _(spark, sf):
-    """Sequential recurrence; checked against a plain walk in the tests."""
     s = _cv(spark, sf)
-    return S.stream_prefixes(s, _heads(s), 1500)
+    return S.stream_prefixes(s, _heads(s), 700)
 
 
 CLEAN = f"('[step ' || step_idx || ' | agent=' || agent || ']' || chr(10) || {elide('content', 2000)} || chr(10))"
@@ -284,6 +308,22 @@ def _(spark, sf):
     return S.score_steps(prompts, _hash_batch, judge="hash", policy="plain")
 
 
+@query("score_steps_prefix", STEP + "context_sha:s prefix_tokens:i n_demoted:i",
+       f"""SELECT {KEY}, step_idx, sha256(ctx) AS context_sha, length(ctx) // 4 AS prefix_tokens, 0 AS n_demoted
+       FROM (SELECT *, '[task]' || chr(10) || 'task ' || file_id || chr(10) || string_agg({rendered()}, '') OVER (PARTITION BY {KEY} ORDER BY step_idx
+         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ctx FROM st)""", TYPED)
+def _(spark, sf):
+    """The default evidence: everything up to and including the step."""
+    s = _cv(spark, sf)
+    prompts = S.build_prompts(s, _records(s))
+    scored = S.score_steps(prompts, _sha_batch, judge="hash")
+    return scored.withColumn("context_sha", F.col("raw_text"))
+
+
+def _sha_batch(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"p_raw": 0.5, "raw_text": [hashlib.sha256(t.encode()).hexdigest() for t in pdf["context"]]})
+
+
 @query("score_steps_generated", STEP + "p_raw:d parse_ok:b augmented:b n_lookahead:i",
        f"""SELECT {KEY}, step_idx, CASE WHEN p > 0.5 THEN 1.0 ELSE 0.0 END AS p_raw, TRUE AS parse_ok, FALSE AS augmented, nl AS n_lookahead
        FROM (SELECT *, {h("ctx || '|' || look || " + _QUESTION + " || " + quote(V.INSTRUCTION['binary']))} AS p FROM (
@@ -306,10 +346,11 @@ def _(spark, sf):
          CASE m WHEN 3 THEN 0.83 WHEN 4 THEN 0.75 ELSE 0.5 END AS number_p, m IN (3, 4) AS number_ok
        FROM (SELECT doc_id, doc_id % 6 AS m FROM documents)""")
 def _(spark, sf):
-    """yes after a think block, no, unreadable words, 0.83, 75%, an unclosed think block."""
+    """yes after a think block, no, unreadable words, 0.83, 75%, an unclosed think block,
+    each with the whole text; without e, o and i it holds no answer word."""
     m = F.col("doc_id") % 6
     d = T.table(spark, sf, "documents").withColumn(
-        "words", F.regexp_replace(F.substring("text", 1, 40), r"[0-9]", ""))
+        "words", F.regexp_replace("text", r"[0-9eoiEOI<>%]", ""))
     raw = (
         F.when(m == 0, F.concat(F.lit("<think>7 "), "words", F.lit("</think>\n\nTrue.")))
         .when(m == 1, F.concat(F.lit("No, "), "words")).when(m == 2, F.concat(F.lit("? "), "words"))

@@ -84,6 +84,14 @@ def _(spark, sf):
     return N.apply_folds(s, stats, typed=False)
 
 
+@query("scale_counts", "subset:s normalized:b n_steps:i n_files:i",
+       "SELECT subset, subset = 'alg' AS normalized, count(*) AS n_steps, count(DISTINCT file_id) AS n_files FROM ev GROUP BY 1, 2", FOLDS)
+def _(spark, sf):
+    """Folds of one subset withheld: which rows are left on the raw scale."""
+    s, _, _, stats = _fit(spark, sf)
+    return N.scale_counts(N.apply_folds(s, stats.filter("subset = 'alg'"), strict=False))
+
+
 for _obj in ("f1", "youden"):
     query(f"choose_threshold_{_obj}", "subset:s type_norm:s threshold:d",
           cut_sql("subset, type_norm", """(SELECT subset, type_norm, correct,

@@ -374,7 +374,7 @@ def _(spark, sf):
 
 @query("audit_sample", "subset:s file_id:s step_idx:i rule_type:s rule:s parsed_type:s content:s",
        f"""SELECT {KEY}, step_idx, rule_type, rule, CASE WHEN source0 = 'parsed' THEN type0 END AS parsed_type,
-         substr(content, 1, 1200) AS content
+         content
        FROM ty ORDER BY {h("concat_ws('|', '0', subset, file_id, step_idx)")}, {KEY}, step_idx LIMIT 100""", TYPED)
 def _(spark, sf):
     return TY.audit_sample(T.conversation_verdicts(spark, sf), 100)
@@ -418,9 +418,9 @@ def _(spark, sf):
        f"""SELECT {KEY}, step_idx, {' || '.join([
            quote(V.SPLITTER_PROMPT.split('{query}')[0]), quote(V.NOT_RECORDED),
            quote(V.SPLITTER_PROMPT.split('{query}')[1].split('{prev_agent}')[0]), "coalesce(pa, '—')",
-           quote(', '), "coalesce(pt, '—')", quote('): '), "CASE WHEN pa IS NULL THEN '(none)' ELSE substr(pc, 1, 400) END",
+           quote(', '), "coalesce(pt, '—')", quote('): '), "CASE WHEN pa IS NULL THEN '(none)' ELSE pc END",
            quote(V.SPLITTER_PROMPT.split('{prev}')[1].split('{agent}')[0]), 'agent',
-           quote(V.SPLITTER_PROMPT.split('{agent}')[1].split('{content}')[0]), 'substr(content, 1, 1500)',
+           quote(V.SPLITTER_PROMPT.split('{agent}')[1].split('{content}')[0]), 'content',
            quote(V.SPLITTER_PROMPT.split('{content}')[1])])} AS prompt
        FROM (SELECT *, lag(agent) OVER w AS pa, lag(type_norm) OVER w AS pt, lag(content) OVER w AS pc FROM st
          WINDOW w AS (PARTITION BY {KEY} ORDER BY step_idx)) WHERE type_norm IN ('plan', 'delegate')""", TYPED)

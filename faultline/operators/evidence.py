@@ -102,7 +102,12 @@ def _terse_execute() -> Column:
     return (F.col("type_norm") == "execute") & is_near_empty("content")
 
 
-def subtask_pointer(steps: DataFrame, block: int | None = AUTO) -> DataFrame:
+def clipped(text: Column, n: int | None) -> Column:
+    """The first n characters, or the whole text."""
+    return text if n is None else F.substring(text, 1, n)
+
+
+def subtask_pointer(steps: DataFrame, block: int | None = AUTO, max_chars: int | None = None) -> DataFrame:
     """For each terse execute step: the nearest earlier coordination step that
     names its agent, or the delegation right before it.
 
@@ -137,12 +142,12 @@ def subtask_pointer(steps: DataFrame, block: int | None = AUTO) -> DataFrame:
     found = running_max(mentions.unionByName(asks), F.col("_mention"), "_near",
                         [*K, "agent"], block).filter("_asks")
     at = found.select(*K, "step_idx", "agent", F.coalesce("_direct", "_near").alias("pointer_idx"))
-    source = s.select(*K, F.col("step_idx").alias("pointer_idx"), F.substring(
-        strip(_text("content")), 1, V.MAX_POINTER_CHARS).alias("pointer_text"))
+    source = s.select(*K, F.col("step_idx").alias("pointer_idx"),
+                      clipped(strip(_text("content")), max_chars).alias("pointer_text"))
     return at.filter(F.col("pointer_idx").isNotNull()).join(source, [*K, "pointer_idx"])
 
 
-def peer_pointers(steps: DataFrame, block: int | None = AUTO) -> DataFrame:
+def peer_pointers(steps: DataFrame, block: int | None = AUTO, max_chars: int | None = None) -> DataFrame:
     """For each terse execute step: the last two earlier non-empty steps of the
     same turn block by other agents (``rank`` 1 is the nearest).
 
@@ -182,21 +187,22 @@ def peer_pointers(steps: DataFrame, block: int | None = AUTO) -> DataFrame:
     peers = steps.select(
         *K, F.col("step_idx").alias("peer_idx"), F.col("agent").alias("peer_agent"),
         F.col("type_norm").alias("peer_type"),
-        F.substring(strip(_text("content")), 1, V.MAX_POINTER_CHARS).alias("peer_text"))
+        clipped(strip(_text("content")), max_chars).alias("peer_text"))
     return pairs.join(peers, [*K, "peer_idx"])
 
 
 def augmentation(steps: DataFrame, subtask: bool = True, peers: bool = True,
-                 block: int | None = AUTO) -> DataFrame:
-    """Context text for terse execute steps: assigned subtask, then peers."""
+                 block: int | None = AUTO, max_chars: int | None = None) -> DataFrame:
+    """Context text for terse execute steps: assigned subtask, then peers, each whole or
+    its first ``max_chars`` characters (the published runs use MAX_POINTER_CHARS)."""
     parts = []
     if subtask:
-        parts.append(subtask_pointer(steps, block).select(
+        parts.append(subtask_pointer(steps, block, max_chars).select(
             *K, "step_idx", F.lit(-1).alias("ord"),
             F.concat(F.lit("assigned subtask for "), "agent", F.lit(":\n"), "pointer_text")
             .alias("text")))
     if peers:
-        parts.append(peer_pointers(steps, block).select(
+        parts.append(peer_pointers(steps, block, max_chars).select(
             *K, "step_idx", F.col("peer_idx").alias("ord"),
             F.concat(F.lit("peer step "), F.col("peer_idx").cast("string"), F.lit(" ("),
                      "peer_agent", F.lit(", "), "peer_type", F.lit("):\n"), "peer_text")
@@ -289,10 +295,12 @@ def prefix_window(steps: DataFrame, n: int, block: int | None = AUTO) -> DataFra
 
 
 def contradiction_pairs(steps: DataFrame, premise_steps: int = V.PREMISE_STEPS,
-                        tail_chars: int | None = None, block: int | None = AUTO) -> DataFrame:
+                        tail_chars: int | None = None, block: int | None = AUTO,
+                        content_chars: int | None = None) -> DataFrame:
     """(premise, hypothesis) per step after the first. The premise is the last few
-    steps before it and, when cut, keeps its tail."""
-    clip = F.substring(_text("content"), 1, V.COHERENCE_CHARS)
+    steps before it and, when cut, keeps its tail. Steps count whole unless
+    ``content_chars`` is given (the published runs use COHERENCE_CHARS)."""
+    clip = clipped(_text("content"), content_chars)
     block = resolve(steps, block)
     frame = block_window(block).rowsBetween(-premise_steps, -1)
     premise = F.array_join(F.col("_before"), "\n")

@@ -87,9 +87,11 @@ def _cell_stats(typed: bool) -> Column:
     return F.coalesce(F.try_element_at("stats", F.col("type_norm")), pooled) if typed else pooled
 
 
-def apply_folds(scores: DataFrame, stats: DataFrame, typed: bool = True, strict: bool = False,
+def apply_folds(scores: DataFrame, stats: DataFrame, typed: bool = True, strict: bool = True,
                 block: int | None = AUTO) -> DataFrame:
-    """``p_norm`` under the file's own fold. Files without one: an error, or null."""
+    """``p_norm`` under the file's own fold. A file without one is an error: its raw scores
+    would be ranked beside z-scores. With ``strict=False`` its ``p_norm`` stays null, and
+    :func:`scale_counts` tells how many rows are on which scale."""
     folds = fold_map(stats)
     if strict:
         missing = scores.select(*K).distinct().join(folds, K, "left_anti").limit(3).collect()
@@ -105,6 +107,12 @@ def apply_folds(scores: DataFrame, stats: DataFrame, typed: bool = True, strict:
     return s.withColumn("p_norm", z_score("p_raw", c["mean"], c["sd"])).drop("stats", "n_steps")
 
 
+def scale_counts(normed: DataFrame) -> DataFrame:
+    """Rows and files of each subset on the normalized and on the raw scale."""
+    return normed.groupBy("subset", F.col("p_norm").isNotNull().alias("normalized")).agg(
+        F.count(F.lit(1)).alias("n_steps"), F.count_distinct("file_id").alias("n_files"))
+
+
 # --- thresholds -------------------------------------------------------------
 
 def _best_cut(cells: DataFrame, keys: list[str], objective: str) -> DataFrame:

@@ -1,35 +1,43 @@
-"""Length bookkeeping of one growing prefix (used inside scoring tasks)."""
+"""One growing prefix: what a judge has read before each step (used inside scoring tasks)."""
 
 import numpy as np
 
 
-class PrefixLengths:
-    """Lengths of one trajectory's steps, with the retention policy on breach."""
+class GrowingPrefix:
+    """The prefix of one trajectory, step by step. Without a budget it only grows. With
+    one, a step that would pass it makes the retention policy rebuild the prefix to
+    ``goal`` characters: coordination verbatim, the newest other steps verbatim while
+    they fit, the rest as headers. Texts are optional: lengths alone decide."""
 
-    def __init__(self, head: int, budget: int, goal: int):
-        self.head, self.budget, self.goal = head, budget, goal
-        self.full, self.short, self.coord = [], [], []
-        self.used, self.rebuilds, self.demoted = head, 0, 0
+    def __init__(self, head: int, budget: int | None, goal: int, head_text: str | None = None):
+        self.head, self.budget, self.goal, self.head_text = head, budget, goal, head_text
+        self.full, self.short, self.coord, self.texts = [], [], [], []
+        self.used, self.rebuilds, self.demoted, self.text = head, 0, 0, head_text or ""
 
-    def add(self, full: int, short: int, coord: bool) -> tuple[int, int, int, bool]:
-        self.full.append(full)
-        self.short.append(short)
-        self.coord.append(coord)
-        if self.used + full <= self.budget:
+    def add(self, full: int, short: int, coord: bool, texts: tuple[str, str] | None = None
+            ) -> tuple[int, int, int, bool]:
+        if self.budget is not None:  # what a later rebuild chooses from
+            self.full.append(full)
+            self.short.append(short)
+            self.coord.append(coord)
+            self.texts.append(texts)
+        if self.budget is None or self.used + full <= self.budget:
             self.used += full
+            if texts:
+                self.text += texts[0]
             return self.used, self.rebuilds, self.demoted, False
-        self.used, self.demoted = self._retain()
+        self._rebuild()
         self.rebuilds += 1
         return self.used, self.rebuilds, self.demoted, True
 
-    def _retain(self) -> tuple[int, int]:
-        full, short = np.array(self.full), np.array(self.short)
-        coord = np.array(self.coord)
-        used = self.head + int(np.where(coord, full, short).sum())
-        demoted = int((~coord).sum())
-        # upgrades are tried newest first; whatever does not fit is skipped
-        for cost in (full - short)[~coord][::-1]:
-            if used + cost <= self.goal:
-                used += int(cost)
-                demoted -= 1
-        return used, demoted
+    def _rebuild(self) -> None:
+        full, short, verbatim = np.array(self.full), np.array(self.short), np.array(self.coord)
+        self.used = self.head + int(np.where(verbatim, full, short).sum())
+        # newest first; whatever does not fit is passed over
+        for i in np.flatnonzero(~verbatim)[::-1].tolist():
+            if self.used + full[i] - short[i] <= self.goal:
+                self.used += int(full[i] - short[i])
+                verbatim[i] = True
+        self.demoted = int((~verbatim).sum())
+        if self.texts and self.texts[0]:
+            self.text = (self.head_text or "") + "".join(t[0] if v else t[1] for t, v in zip(self.texts, verbatim))

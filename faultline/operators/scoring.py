@@ -17,7 +17,7 @@ from .evidence import (
     augmentation, hindsight, lookahead_window, prefix_window, render_demoted, render_lookahead,
     render_preamble, render_question, render_step, strip_types,
 )
-from .prefix import PrefixLengths
+from .prefix import GrowingPrefix
 from .sequence import AUTO, BLK, block_keys, join_files, resolve, with_block
 
 BatchScorer = Callable[[pd.DataFrame], pd.DataFrame]
@@ -33,14 +33,18 @@ def build_prompts(steps: DataFrame, records: DataFrame, *, readout: str = "ptrue
                   policy: str = "typed", with_gt: bool = False, use_types: bool = True,
                   subtask_pointer: bool = True, peer_corroboration: bool = True,
                   prefix_steps: int | None = None, lookahead: str = "none",
-                  budget: int = V.PREFIX_BUDGET_CHARS,
-                  block: int | None = AUTO) -> DataFrame:
-    """One row per step with ``head``, ``context`` and ``prompt`` text.
-
-    ``context`` is bounded: the last ``prefix_steps`` steps, or for the hindsight
-    policy the whole trajectory under the budget. The growing full prefix is not
-    materialised here (quadratic text); see :func:`stream_prefixes`.
+                  budget: int | None = None, block: int | None = AUTO) -> DataFrame:
+    """One row per step with ``context`` and ``prompt`` text.
+
+    ``context`` is the whole growing prefix up to and including the step; with
+    ``prefix_steps`` the last so many steps; with ``budget`` the prefix is rebuilt by
+    the retention policy whenever it would pass so many characters. The hindsight policy
+    shows the whole trajectory (under the budget, the published one unless given). The
+    growing prefix is made as rows stream to the scorer, so its quadratic text is in no
+    table and no shuffle.
     """
+    if prefix_steps is not None and budget is not None:
+        raise ScoringError("a window of steps and a budget exclude each other")
     if policy not in ("typed", "plain", "hindsight"):
         raise ScoringError(f"unknown policy {policy!r}")
     s = steps if use_types else strip_types(steps)
@@ -54,18 +58,55 @@ def build_prompts(steps: DataFrame, records: DataFrame, *, readout: str = "ptrue
     else:
         base = base.withColumn("augment", F.lit(None).cast("string"))
     if policy == "hindsight":
-        base = hindsight(base, heads, budget)
-    else:
-        base = prefix_window(base, prefix_steps or 1, block)
+        base = hindsight(base, heads, V.PREFIX_BUDGET_CHARS if budget is None else budget)
+    elif prefix_steps is not None:
+        base = prefix_window(base, prefix_steps, block)
         base = join_files(base, base.groupBy(*K).agg((F.max("step_idx") + 1).alias("n_steps"))
                           .join(heads, K), "inner", block)
         base = base.withColumn("context", F.concat("head", "context")).withColumn(
             "n_demoted", F.lit(0))
-    return base.select(
-        *K, "step_idx", "agent", "type_norm", "type_source", "context", "n_lookahead", "n_demoted",
-        F.col("augment").isNotNull().alias("augmented"),
-        F.concat(F.coalesce("augment", F.lit("")), "_look", render_question(readout=readout))
-        .alias("prompt"))
+    else:
+        base = join_files(base, base.groupBy(*K).agg((F.max("step_idx") + 1).alias("n_steps"))
+                          .join(heads, K), "inner", block)
+    shown = [*K, "step_idx", "agent", "type_norm", "type_source"]
+    asked = [F.col("augment").isNotNull().alias("augmented"),
+             F.concat(F.coalesce("augment", F.lit("")), "_look", render_question(readout=readout)).alias("prompt")]
+    if policy == "hindsight" or prefix_steps is not None:
+        return base.select(*shown, "context", "n_lookahead", "n_demoted", *asked)
+    rows = base.select(*shown, "n_lookahead", *asked, "head", render_step().alias("_full"),
+                       render_demoted().alias("_short"), is_coordination("type_norm").alias("_coord"))
+    return growing_contexts(rows, budget).select(*shown, "context", "n_lookahead", "n_demoted", "augmented", "prompt")
+
+
+#: characters of context held for one output batch of growing prefixes
+CONTEXT_BATCH_CHARS = 1 << 23
+
+
+def growing_contexts(rows: DataFrame, budget: int | None = None, target: float = V.RETAIN_TARGET) -> DataFrame:
+    """Adds ``context`` and ``n_demoted`` to rows that carry ``head``, ``_full``,
+    ``_short`` and ``_coord``, which go. Rows of a trajectory stream in step order
+    through one task, which holds one prefix and a bounded batch of output."""
+    kept = rows.drop("head", "_full", "_short", "_coord")
+    schema = T.StructType([*kept.schema.fields, T.StructField("context", T.StringType()), T.StructField("n_demoted", T.IntegerType())])
+    names, plain = schema.fieldNames(), kept.columns
+    goal = int((budget or 0) * target)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, key = None, None
+        for pdf in batches:
+            contexts, demoted, first, held = [], [], 0, 0
+            for i, r in enumerate(zip(pdf["subset"], pdf["file_id"], pdf["head"], pdf["_full"], pdf["_short"], pdf["_coord"])):
+                if r[:2] != key:
+                    key, state = r[:2], GrowingPrefix(len(r[2]), budget, goal, r[2])
+                state.add(len(r[3]), len(r[4]), bool(r[5]), r[3:5])
+                contexts.append(state.text)
+                demoted.append(state.demoted)
+                held += len(state.text)
+                if held >= CONTEXT_BATCH_CHARS or i == len(pdf) - 1:
+                    yield pdf[plain].iloc[first:i + 1].assign(context=contexts, n_demoted=np.int32(demoted))[names]
+                    contexts, demoted, first, held = [], [], i + 1, 0
+
+    return rows.repartition(*K).sortWithinPartitions(*K, "step_idx").mapInPandas(walk, schema)
 
 
 def score_steps(prompts: DataFrame, scorer: BatchScorer | Callable[[], BatchScorer], *,
@@ -104,7 +145,6 @@ def score_steps(prompts: DataFrame, scorer: BatchScorer | Callable[[], BatchScor
             "parse_ok", F.col("_p.parse_ok")).drop("_p")
     else:
         scored = scored.withColumn("parse_ok", F.lit(True))
-    scored = scored.withColumn("raw_text", F.substring("raw_text", 1, 80))
     for name, value in {"judge": judge, "readout": readout, **provenance}.items():
         scored = scored.withColumn(name, F.lit(value))
     return scored.withColumn("p_norm", F.lit(None).cast("double"))
@@ -138,7 +178,7 @@ def stream_prefixes(steps: DataFrame, heads: DataFrame, budget: int = V.PREFIX_B
             out = []
             for r in pdf.itertuples(index=False):
                 if (r.subset, r.file_id) != key:
-                    key, state = (r.subset, r.file_id), PrefixLengths(int(r.head), budget, goal)
+                    key, state = (r.subset, r.file_id), GrowingPrefix(int(r.head), budget, goal)
                 out.append((r.subset, r.file_id, r.step_idx,
                             *state.add(int(r.full), int(r.short), bool(r.coord))))
             yield pd.DataFrame(out, columns=["subset", "file_id", "step_idx", "used", "rebuilds",

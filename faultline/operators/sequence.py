@@ -243,7 +243,7 @@ def dense_position(df: DataFrame, keys: list[str], order: list[str], out: str =
     """0-based rank of each row in ``order`` within ``keys`` (order must be total)."""
     one = df.withColumn("_one", F.lit(1))
     got = running_total(one, keys, order, {out: "_one"}, hot_rows, segments)
-    return got.withColumn(out, (F.col(out) - 1).cast("int")).drop("_one")
+    return got.withColumn(out, (F.col(out) - 1).cast("bigint")).drop("_one")
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float],

@@ -10,6 +10,7 @@ from ..functions.typing import (
     classify_step, coarse_type, is_answer_emission, is_coordination, rule_covered,
 )
 from ..schema import K
+from .evidence import clipped
 from .sequence import AUTO, BLK, block_window, join_files, resolve, with_halo
 
 
@@ -78,26 +79,29 @@ def type_rule_gate(verdicts: DataFrame, gate: float = V.TYPE_GATE) -> DataFrame:
     return got.withColumn("passes_gate", F.col("agreement") >= gate)
 
 
-def audit_sample(verdicts: DataFrame, n: int = 100, seed: int = 0) -> DataFrame:
-    """Seeded sample of n steps; the order by hash is a top-n, not a full sort."""
+def audit_sample(verdicts: DataFrame, n: int = 100, seed: int = 0, content_chars: int | None = None) -> DataFrame:
+    """Seeded sample of n steps; the order by hash is a top-n, not a full sort. Published
+    sheets show AUDIT_CHARS of the content."""
     draw = hash_fraction(F.concat_ws("|", F.lit(str(seed)), *K, "step_idx"))
     return (
         verdicts.withColumn("_draw", draw).orderBy("_draw", *K, "step_idx").limit(n)
         .select(
             *K, "step_idx", "agent", "role_raw",
-            F.substring("content", 1, V.AUDIT_CHARS).alias("content"), "rule_type", "rule",
+            clipped(F.col("content"), content_chars).alias("content"), "rule_type", "rule",
             F.when(F.col("type_source") == "parsed", F.col("type_norm")).alias("parsed_type"),
             F.lit(None).cast("string").alias("manual_label"))
     )
 
 
 def splitter_prompts(steps: DataFrame, queries: DataFrame | None = None,
-                     block: int | None = AUTO) -> DataFrame:
-    """Prompt per coordination step from the task, the step before it and itself."""
+                     block: int | None = AUTO, query_chars: int | None = None, prev_chars: int | None = None,
+                     content_chars: int | None = None) -> DataFrame:
+    """Prompt per coordination step from the task, the step before it and itself, each
+    whole unless cut (published prompts: SPLITTER_QUERY/PREV/CONTENT_CHARS)."""
     block = resolve(steps, block)
     w = block_window(block)
-    prev = F.lag(F.struct("agent", "type_norm", F.substring(
-        F.coalesce("content", F.lit("")), 1, V.SPLITTER_PREV_CHARS).alias("content"))).over(w)
+    prev = F.lag(F.struct("agent", "type_norm", clipped(
+        F.coalesce("content", F.lit("")), prev_chars).alias("content"))).over(w)
     s = (
         with_halo(steps, before=1, block=block).withColumn("_prev", prev)
         .filter(F.col("_core") & is_coordination("type_norm")).drop("_core", BLK)
@@ -112,12 +116,12 @@ def splitter_prompts(steps: DataFrame, queries: DataFrame | None = None,
         F.col("query"))
     before = F.col("_prev").isNotNull()
     parts = {
-        "query": F.substring(task, 1, V.SPLITTER_QUERY_CHARS),
+        "query": clipped(task, query_chars),
         "prev_agent": F.when(before, F.col("_prev.agent")).otherwise(F.lit("—")),
         "prev_type": F.when(before, F.col("_prev.type_norm")).otherwise(F.lit("—")),
         "prev": F.when(before, F.col("_prev.content")).otherwise(F.lit("(none)")),
         "agent": F.col("agent"),
-        "content": F.substring(F.coalesce("content", F.lit("")), 1, V.SPLITTER_CONTENT_CHARS),
+        "content": clipped(F.coalesce("content", F.lit("")), content_chars),
     }
     return s.withColumn("prompt", fill_template(V.SPLITTER_PROMPT, parts)).drop("_prev")
 

@@ -7,7 +7,8 @@ from ..operators.metrics import (
     selective_prediction, type_strata, within_file_auroc,
 )
 from ..operators.normalize import (
-    apply_folds, fit_loo_stats, fit_loo_thresholds, fold_stability, step_labels, thresholds_for,
+    apply_folds, fit_loo_stats, fit_loo_thresholds, fold_stability, require_folds, step_labels,
+    thresholds_for,
 )
 from ..operators.reports import fallback_rate
 from ..operators.rules import PRIMARY, ablation_methods, attribute
@@ -16,7 +17,9 @@ from ..operators.scoring import delta_field
 
 def normalize_scores(scores: DataFrame, labels: DataFrame, policy: str = "prefix",
                      typed: bool = True) -> DataFrame:
-    """Scores with ``p_norm`` under each file's own leave-one-out fold."""
+    """Scores with ``p_norm`` under each file's own leave-one-out fold. Subsets of one file
+    and files without a fold are errors."""
+    require_folds(labels)
     stats = fit_loo_stats(step_labels(scores, labels, policy), labels)
     return apply_folds(scores, stats, typed)
 
@@ -26,6 +29,7 @@ def attribution_run(scores: DataFrame, labels: DataFrame, methods: list[str] | N
                     n_boot: int | None = None) -> dict[str, DataFrame]:
     """Fit, normalize, attribute and evaluate one score field."""
     methods = methods or [PRIMARY, *ablation_methods()]
+    require_folds(labels)
     labelled = step_labels(scores, labels, policy)
     stats = fit_loo_stats(labelled, labels)
     thresholds = fit_loo_thresholds(labelled, stats, bins=bins)

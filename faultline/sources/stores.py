@@ -41,17 +41,18 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.save(path)
 
 
-def read_grid_rows(spark: SparkSession, path: str) -> DataFrame:
+def read_grid_rows(spark: SparkSession, path: str, leave_out: str | None = None) -> DataFrame:
     """Prediction JSON lines of many runs; a repeated cell keeps its first row by
-    (file name, position)."""
+    (file name, position). Files whose path contains ``leave_out`` are not read."""
     raw = (
         spark.read.schema(GRID_ROW).option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.jsonl").json(path)
         .withColumn("_file", F.col("_metadata.file_path"))
         .withColumn("_block", F.col("_metadata.file_block_start"))
         .withColumn("_row", F.monotonically_increasing_id())
-        .filter(~F.col("_file").contains("/backup/"))
     )
+    if leave_out is not None:
+        raw = raw.filter(~F.col("_file").contains(leave_out))
     return keep_first(raw, ["judge", "method", "subset", "file_id", "with_gt"],
                       ["_file", "_block", "_row"])
 

@@ -143,3 +143,16 @@ def test_prefix_walk_matches_a_plain_one(spark, steps):
             else:
                 used += full
             assert got[(*key, i)] == (used, demoted)
+
+
+def test_contexts_have_the_lengths_of_the_walk(spark, steps):
+    heads = steps.select(*K).distinct().withColumn("query", F.lit("q")).withColumn("ground_truth", F.lit("g"))
+    shown = heads.select(*K, E.render_preamble("query", "ground_truth").alias("head"))
+    want = {tuple(r)[:3]: (r.used, r.n_demoted) for r in S.stream_prefixes(steps, shown, 400).collect()}
+    got = S.build_prompts(steps, heads, policy="plain", budget=400).collect()
+    assert {(r.subset, r.file_id, r.step_idx): (len(r.context), r.n_demoted) for r in got} == want
+    whole = {(r.subset, r.file_id, r.step_idx): r.context for r in S.build_prompts(steps, heads, policy="plain").collect()}
+    for (s, f, i), text in whole.items():
+        assert i == 0 or text.startswith(whole[s, f, i - 1])
+    with pytest.raises(S.ScoringError):
+        S.build_prompts(steps, heads, budget=400, prefix_steps=2)

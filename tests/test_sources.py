@@ -145,8 +145,9 @@ def test_grid_rows_keep_the_first(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text(json.dumps(dict(row, pred_step=6)) + "\n" + json.dumps(dict(row, file_id="g")))
     (tmp_path / "backup").mkdir()
     (tmp_path / "backup" / "c.jsonl").write_text(json.dumps(dict(row, file_id="h")))
-    got = {r.file_id: r.pred_step for r in stores.read_grid_rows(spark, str(tmp_path)).collect()}
+    got = {r.file_id: r.pred_step for r in stores.read_grid_rows(spark, str(tmp_path), "/backup/").collect()}
     assert got == {"f": 4, "g": 1}
+    assert {r.file_id for r in stores.read_grid_rows(spark, str(tmp_path)).collect()} == {"f", "g", "h"}
 
 
 def test_folds_refuse_edits(spark, steps, labels, tmp_path):
@@ -166,10 +167,13 @@ def test_folds_refuse_edits(spark, steps, labels, tmp_path):
 def test_strict_folds_and_single_file_subsets(spark, steps, labels):
     stats = N.fit_loo_stats(N.step_labels(steps, labels), labels).filter("file_id <> 'f9'")
     with pytest.raises(N.NormalizationError, match="no fold"):
-        N.apply_folds(steps, stats, strict=True)
-    assert N.apply_folds(steps, stats).filter("p_norm is null").select("file_id").distinct().count() == 1
+        N.apply_folds(steps, stats)
+    mixed = N.scale_counts(N.apply_folds(steps, stats, strict=False)).filter("not normalized").collect()
+    assert [r.n_files for r in mixed] == [1]
     with pytest.raises(N.NormalizationError, match="at least 2"):
         N.require_folds(labels.filter("file_id = 'f1'"))
+    with pytest.raises(N.NormalizationError, match="at least 2"):
+        flows.primary_accuracy(steps.filter("file_id = 'f1'"), labels.filter("file_id = 'f1'"))
 
 
 def test_prediction_text_file(spark, labels, tmp_path):
