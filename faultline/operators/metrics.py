@@ -142,7 +142,7 @@ def bootstrap_ci(units: DataFrame, keys: list[str], value: str, n_boot: int = V.
     u = dense_position(u, keys, [value], "_j")
     sizes = u.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("point"))
     n = F.col("n")
-    places = u.select(*keys, "_j").join(F.broadcast(sizes.select(*keys, "n")), keys).filter(n >= 2)
+    places = u.select(*keys, "_j").join(sizes.select(*keys, "n"), keys).filter(n >= 2)
     key = F.concat_ws("|", F.lit(str(seed)), "_b", "_j")
     drawn = (
         places.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
@@ -295,7 +295,7 @@ def risk_coverage(signals: DataFrame, labels: DataFrame, by: list[str] | None =
     ranked = dense_position(j, by, ["signal", *[k for k in K if k not in by]], "_pos")
     sizes = j.groupBy(*by).agg(F.count(F.lit(1)).alias("n_selected"))
     # a report cell per row of `by`
-    r = ranked.join(F.broadcast(sizes), by)
+    r = ranked.join(sizes, by)
     cuts = [(f, F.greatest(F.lit(1), F.rint(F.lit(f) * F.col("n_selected"))).cast("long"))
             for f in fractions]
     agg = r.groupBy(*by, "n_selected").agg(*[

@@ -54,7 +54,7 @@ def fit_loo_stats(labelled: DataFrame, labels: DataFrame,
         "subset", "cell", F.col("n").alias("tn"), F.col("mean").alias("tm"), F.col("m2").alias("tq"))
     files = labels.groupBy("subset").agg((F.count(F.lit(1)) - 1).alias("n_train_files"))
     grid = (
-        labels.select(*K).join(F.broadcast(total), "subset").join(F.broadcast(files), "subset")
+        labels.select(*K).join(total, "subset").join(files, "subset")
         .filter(F.col("n_train_files") >= 1)
     )
     j = grid.join(own, [*K, "cell"], "left")

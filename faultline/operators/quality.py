@@ -221,5 +221,5 @@ def slices(labels: DataFrame, keep_all: bool = False) -> DataFrame:
     present = labels.groupBy("subset").agg(
         F.max(is_anomalous()).alias("_any_anomalous"),
         F.max(F.col("held_aside") if held else F.lit(False)).alias("_any_held"))
-    return labels.join(F.broadcast(present), "subset").select(
+    return labels.join(present, "subset").select(
         *(labels.columns if keep_all else K), slice_names(held).alias("slices"))

@@ -264,7 +264,7 @@ def smoke_sample(labels: DataFrame, n: int, seed: int = 0, long_steps: int = 80)
     w = Window.partitionBy("subset").orderBy("_d", *K)
     fill = (
         rest.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
-        .join(F.broadcast(have), "subset", "left")
+        .join(have, "subset", "left")
         .filter(F.col("_r") <= F.greatest(F.lit(per_subset) - F.coalesce("have", F.lit(0)), F.lit(0)))
         .select(*K, F.lit("balance").alias("reason"), F.lit(10).alias("priority"))
     )

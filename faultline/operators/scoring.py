@@ -225,7 +225,7 @@ def entropy_scores(rows: DataFrame, run_keys: list[str]) -> DataFrame:
     span = rows.groupBy(*run_keys).agg(F.min("mean_entropy").alias("_lo"),
                                        F.max("mean_entropy").alias("_hi"))
     width = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(F.lit(1.0))
-    return rows.join(F.broadcast(span), run_keys).withColumn(
+    return rows.join(span, run_keys).withColumn(
         "p_raw", F.lit(1.0) - (F.col("mean_entropy") - F.col("_lo")) / width).drop("_lo", "_hi")
 
 
@@ -269,7 +269,7 @@ def cost_summary(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     w = Window.partitionBy(*names).orderBy("steps").rowsBetween(Window.unboundedPreceding, 0)
     sizes = lengths.groupBy(*names).agg(F.floor(F.sum("_w") / 2).alias("_mid"))
     median = (
-        lengths.withColumn("_upto", F.sum("_w").over(w)).join(F.broadcast(sizes), names)
+        lengths.withColumn("_upto", F.sum("_w").over(w)).join(sizes, names)
         .filter(F.col("_upto") > F.col("_mid")).groupBy(*names).agg(F.min("steps").alias("steps_median"))
     )
     n = F.count(F.lit(1))
@@ -290,7 +290,7 @@ def cost_summary(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.round(F.sum("trunc_steps") / total, 4).alias("fraction_assessments_truncated"),
         F.max("demoted").alias("max_demoted_steps"), F.sum("bad").alias("n_parse_failures"),
         F.round(F.sum("bad") / total, 4).alias("parse_failure_rate"))
-    return got.join(F.broadcast(median), names)
+    return got.join(median, names)
 
 
 # --- E7: shift field --------------------------------------------------------

@@ -194,8 +194,9 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], sums: dict[s
     hot keys are cut into value segments at approximate quantiles of ``order[0]``
     and each segment is windowed on its own; equal values never straddle a cut.
 
-    The small tables are broadcast: at most ``rows / hot_rows`` keys are hot, so
-    they hold at most ``segments * rows / hot_rows`` rows.
+    Cuts and carries are joined by (key) and (key, segment) with ordinary joins: the
+    adaptive planner sends a side to all tasks only if its measured size is small, and
+    splits the hot key's rows otherwise.
     """
     hot = (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -212,11 +213,11 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], sums: dict[s
     lead = lead.cast("double")
     quantiles = [i / segments for i in range(1, segments)]
     cuts = cut_lineage(
-        df.join(F.broadcast(hot), keys, "left_semi")
+        df.join(hot, keys, "left_semi")
         .groupBy(*keys)
         .agg(F.percentile_approx(lead, quantiles, 10_000).alias("_cuts"))
     )
-    work = df.join(F.broadcast(cuts), keys, "left").withColumn(
+    work = df.join(cuts, keys, "left").withColumn(
         "_seg",
         F.when(F.col("_cuts").isNull(), F.lit(0))
         .otherwise(F.size(F.filter("_cuts", lambda c: c < lead))),
@@ -232,7 +233,7 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], sums: dict[s
         .select(*keys, "_seg", *[F.sum(f"_t_{o}").over(earlier).alias(f"_c_{o}") for o in sums])
     )
     out = work.select("*", *[F.sum(c).over(inside).alias(o) for o, c in sums.items()])
-    out = out.join(F.broadcast(carry), [*keys, "_seg"], "left")
+    out = out.join(carry, [*keys, "_seg"], "left")
     for o in sums:
         out = out.withColumn(o, F.col(o) + F.coalesce(F.col(f"_c_{o}"), F.lit(0)))
     return out.drop("_cuts", "_seg", *[f"_c_{o}" for o in sums])
@@ -270,7 +271,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, fractions: dict[
     at = F.col("_hit.at")
     # `asked` has one row per cell
     near = (
-        run.join(F.broadcast(asked), keys).withColumn("_hit", hit)
+        run.join(asked, keys).withColumn("_hit", hit)
         .groupBy(*keys, F.col("_hit.name").alias("_name"), at.alias("_at")).agg(
             F.max(F.when(covers(F.floor(at)), F.col(value))).alias("_a"),
             F.max(F.when(covers(F.ceil(at)), F.col(value))).alias("_b"))

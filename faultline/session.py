@@ -42,11 +42,18 @@ def _ship_package(application_id: str) -> None:
     SparkSession.active().sparkContext.addPyFile(archive)
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The cluster's shared checkpoint folder. Only a local session that has none
-    gets a folder of its own."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder: ``spark.checkpoint.dir``, or what setCheckpointDir was
+    given. Only a local session that has none gets a folder of its own; a cluster without
+    one is an error, because uncut plans would repeat work (and ask a judge again)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if where is None and spark.sparkContext.master.startswith("local"):
+    if where is None:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        where = given.get() if given.isDefined() else None
+    if where is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = _local_folder()
     return where
 
@@ -59,12 +66,8 @@ def _local_folder() -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a table that several branches read to the shared checkpoint folder
     and read it back: lost executors do not replay what came before it, branches
-    prune its columns, and the planner sees its real size. Without a shared
-    folder the plan is left as it is (correct, but recomputed per branch)."""
+    prune its columns, and the planner sees its real size."""
     spark = df.sparkSession
-    where = checkpoint_dir(spark)
-    if where is None:
-        return df
-    path = f"{where.rstrip('/')}/faultline-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/faultline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
