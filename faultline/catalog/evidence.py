@@ -589,6 +589,5 @@ def _(spark, sf):
         .when(m == 1, F.concat(F.lit("header\n"), block(F.lit("3")), block(F.lit("9"))))
         .otherwise(block((F.col("key") % 50).cast("string"))))
     blocks = stores.split_prediction_blocks(lab.select("subset", text.alias("text")))
-    ids = lab.select(F.col("file_id").alias("stem"), "file_id")
-    # stems repeat across subsets in general, so the id table is per subset
+    ids = lab.select("subset", F.col("file_id").alias("stem"), "file_id")
     return stores.resolve_predictions(blocks, ids, lab, "published")

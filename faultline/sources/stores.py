@@ -107,8 +107,10 @@ def id_map(spark: SparkSession, directory: str) -> DataFrame:
 
 def resolve_predictions(blocks: DataFrame, ids: DataFrame, labels: DataFrame, method: str) -> DataFrame:
     """Predictions for every gold file: an absent or unreadable one is null (a
-    miss), a repeated one keeps its last block."""
-    last = blocks.join(ids, "stem").groupBy(*K).agg(
+    miss), a repeated one keeps its last block. ``ids`` with a subset column are looked up
+    by subset and stem: two subsets may use one stem."""
+    on = ["stem", *[c for c in ("subset",) if c in ids.columns]]
+    last = blocks.join(ids, on).groupBy(*K).agg(
         F.max_by(F.struct("pred_step", "pred_agent"), "pos").alias("p"))
     return labels.select(*K).join(last, K, "left").select(
         *K, F.lit(method).alias("method"), F.col("p.pred_step").alias("pred_step"),

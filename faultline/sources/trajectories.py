@@ -238,10 +238,11 @@ def assemble_trajectories(steps: DataFrame, labels: DataFrame) -> DataFrame:
 
 def enrich_levels(labels: DataFrame, source: DataFrame, ident: str = "question_ID",
                   level: str = "level") -> DataFrame:
-    """Difficulty from a second source by id; unmatched rows keep their own."""
+    """Difficulty from a second source by id; unmatched rows keep their own. Of repeated
+    ids the smallest level counts, so the result does not depend on row order."""
     lv = level_scale(level)
     src = source.filter(F.coalesce(_col(ident).cast("string"), F.lit("")) != "").groupBy(
-        _col(ident).cast("string").alias("file_id")).agg(F.first(lv).alias("_l"))
+        _col(ident).cast("string").alias("file_id")).agg(F.min(lv).alias("_l"))
     j = labels.join(src, "file_id", "left")
     mine = {c: F.col(c) if c in labels.columns else F.lit(d)
             for c, d in (("level", ""), ("level_scale", "absent"))}
