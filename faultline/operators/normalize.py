@@ -50,8 +50,13 @@ def fit_loo_stats(labelled: DataFrame, labels: DataFrame,
     moments = [F.count("p_raw").alias("n"), F.avg("p_raw").alias("mean"),
                (F.var_pop("p_raw") * F.count("p_raw")).alias("m2")]
     own = rows.groupBy(*K, "cell").agg(*moments)
-    total = rows.groupBy("subset", "cell").agg(*[m for m in moments]).select(
-        "subset", "cell", F.col("n").alias("tn"), F.col("mean").alias("tm"), F.col("m2").alias("tq"))
+    # the totals are merged from the files' moments: the rows are read once
+    part = F.col("n") * F.col("mean")
+    total = own.filter("n > 0").groupBy("subset", "cell").agg(
+        F.sum("n").alias("tn"), (F.sum(part) / F.sum("n")).alias("tm"),
+        F.sum("m2").alias("within"), F.sum(part * F.col("mean")).alias("squares")).select(
+        "subset", "cell", "tn", "tm",
+        (F.col("within") + F.greatest(F.col("squares") - F.col("tn") * F.col("tm") * F.col("tm"), F.lit(0.0))).alias("tq"))
     files = labels.groupBy("subset").agg((F.count(F.lit(1)) - 1).alias("n_train_files"))
     grid = (
         labels.select(*K).join(total, "subset").join(files, "subset")
