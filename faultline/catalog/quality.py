@@ -62,16 +62,16 @@ def _(spark, sf):
 
 
 @query("content_as_text", "conv_id:i turn:i as_text:s",
-       """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN role WHEN 1 THEN role || chr(10) || CAST(turn AS VARCHAR)
+       """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN role WHEN 1 THEN 'a' || chr(10) || 'b' || chr(10) || role || chr(10) || CAST(turn AS VARCHAR)
          WHEN 2 THEN role ELSE '' END AS as_text FROM conversations""")
 def _(spark, sf):
-    """Text of string, list, object and null payloads."""
+    """Text of string, nested list, object and null payloads."""
     c = T.table(spark, sf, "conversations")
     role, turn = F.col("role"), F.col("turn").cast("string")
     q = F.lit('"')
     json = (
         F.when(F.col("turn") % 4 == 0, F.concat(q, role, q))
-        .when(F.col("turn") % 4 == 1, F.concat(F.lit('[{"text": "'), role, F.lit('"}, "", '), turn, F.lit("]")))
+        .when(F.col("turn") % 4 == 1, F.concat(F.lit('[[["a", ["b"]], ["", []]], {"text": "'), role, F.lit('"}, "", '), turn, F.lit("]")))
         .when(F.col("turn") % 4 == 2, F.concat(F.lit('{"x": 1, "content": "'), role, F.lit('"}')))
         .otherwise(F.lit("null")))
     return c.select("conv_id", "turn", TR.variant_as_text(F.parse_json(json)).alias("as_text"))

@@ -36,12 +36,13 @@ def require(df: DataFrame, names: list[str], where: str = "source") -> Column:
     raise SourceError(f"{where}: none of {names} present; saw {sorted(df.columns)[:12]}")
 
 
-def variant_as_text(v: Column, depth: int = 2) -> Column:
+def variant_as_text(v: Column, depth: int = 8) -> Column:
     """Text of a value of any JSON type without discarding structure.
 
     Lists join their non-empty parts by newline (an object counts as its
     ``text``); objects give the first string of text, content, output, message,
-    and otherwise their JSON. Lists nested deeper than ``depth`` stay JSON.
+    and otherwise their JSON. The expression grows by one level per ``depth``; lists nested
+    deeper stay JSON.
     """
     kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
