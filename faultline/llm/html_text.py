@@ -62,10 +62,30 @@ TAG_GROUP = {t: i for i, g in enumerate(TAG_GROUPS) for t in g.split()}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_MAY_HIDE = re.compile("hidden|style", re.I)
+_NAMED = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>\"'][^\s>]*)))?")
+_NO_DECLARATION = re.compile(r"/\*.*?(?:\*/|\Z)|\"[^\"]*\"|'[^']*'|\([^)]*\)", re.S)
 _WORDS = re.compile(r"[A-Za-z]+")
 
 
+def hides(attrs: str) -> bool:
+    """Whether a tag's attributes hide its subtree: hidden, aria-hidden or display:none."""
+    if not _MAY_HIDE.search(attrs):
+        return False
+    value: dict[str, str] = {}
+    for m in _NAMED.finditer(attrs):  # of equal names the first counts
+        value.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").strip().lower())
+    if value.get("hidden", "false") != "false" or value.get("aria-hidden") == "true":
+        return True
+    display, fixed = "", False
+    for part in _NO_DECLARATION.sub(" ", value.get("style", "")).split(";"):
+        name, _, to = part.partition(":")
+        important = "!" in to
+        if name.strip() == "display" and (important or not fixed):  # the last declaration counts
+            display, fixed = to.split("!")[0].strip(), important
+    return display == "none"
+
+
 class Page:
     """Block nodes in document order and the text runs between them."""
 
@@ -141,7 +161,7 @@ class Page:
                 self.runs.append((node, None))
             if tag in VOID:
                 continue
-            unseen = unseen or tag in UNSEEN or bool(_HIDDEN.search(m[3]))
+            unseen = unseen or tag in UNSEEN or hides(m[3])
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}\b", re.I).search(source, at)
                 at = end.start() if end else n

@@ -140,6 +140,21 @@ def test_tree_reading_of_broken_pages():
     assert (lambda p: p.text(np.ones(len(p.tag), bool)))(H.Page("<ul><li>a<li>b &lt;c</ul>d")) == "a\n\nb <c\n\nd"
 
 
+def test_only_hiding_attributes_hide(spark):
+    text = lambda s: (lambda p: p.text(np.ones(len(p.tag), bool)))(H.Page(s))
+    for attrs in ('style="overflow:hidden"', "style='overflow-x: hidden; display:block'", 'class="overflow-hidden"', "class=hidden", 'title="The hidden cost"',
+                  'href="/hidden-gems"', "href=/hidden", 'data-hidden="1"', 'aria-hidden="false"', 'hidden="false"', 'alt=\'style="display:none"\'',
+                  'data-style="display:none"', 'title="aria-hidden=true"', 'style="display:none;display:block"', 'style="/* display:none */ color:red"'):
+        assert text(f"<div {attrs}><p>a <a {attrs}>b</a> c</p></div>") == "a b c", attrs
+    for attrs in ("hidden", 'HIDDEN=""', "class=x hidden id=y", 'hidden="until-found"', 'aria-hidden="true"', "aria-hidden=TRUE", 'style="display:none"',
+                  "style='color:red; DISPLAY : None !important'", 'style="display:none!important;display:block"', "style=display:none"):
+        assert text(f"<p>a</p><div {attrs}><p>b</p></div>") == "a", attrs
+    wrapped = PAGE.replace("<article>", '<article style="overflow:hidden" class="overflow-hidden">').replace("with words", '<a href="/hidden-gems" title="The hidden cost">with words</a>')
+    rows = [(i, f"http://h/{i}", (wrapped if i == 3 else PAGE).replace("First", f"Item{i}")) for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Head & more\n\nItem3 para, with words. It goes on. bold\n\nSecond é one, and more."
+
+
 def test_unigram(docs, plain, spark, none):
     train = lambda i: zlib.crc32(str(i).encode()) % 10 != 0
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"), (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) != 0).alias("train"))
