@@ -105,6 +105,23 @@ def test_personal_spans(spark, docs, none):
     assert pii.masked("abcdef", [(1, 4, "ip"), (2, 5, "card")]) == "a[IP]f"
 
 
+def test_no_digit_free_candidate_is_skipped(spark):
+    import pyarrow as pa
+
+    texts = [f"write to jane{at}example{dot}org today" for at in ("[at]", "(at)", " [AT] ", " (at) ", "[ at ]", "( At )", "[at)", " at ", "@", " @ ")
+             for dot in (".", " . ", "[dot]", " dot ", "(Dot)")] + ["nothing (here)", "look at this", "", None]
+    for t, plain in zip(texts, pii._plain(pa.array(texts, pa.string())).tolist()):
+        assert not (plain and (pii.loose_spans(t or "") or pii.base_spans(t or ""))), t
+    assert pii._plain(pa.array(texts[-4:], pa.string())).all()
+    model, bounds = pii.train([f"mail jo{i}@ex{i}.org or ann@site.org then 10.0.{i}.7" for i in range(60)])
+    bounds = {"email": -9.0}  # every candidate counts: only the skip could lose one
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    got = next(pii._spans(model, bounds)(iter([batch]))).column(2).to_pylist()
+    for t, spans in zip(texts, got):
+        assert [(x["start"], x["end"], x["kind"]) for x in spans] == pii.all_spans(t or "", model, bounds)[1], t
+    assert sum(map(bool, got)) >= 40
+
+
 PAGE = """<html><head><title>T</title><script>var t="</p>"</script></head><body><nav><ul><li><a href=/a>Home</a></li></ul></nav>
 <div class="cookie-notice"><p>We use cookies.</p></div><article><h1>Head &amp; more</h1><p>First   para,\n with words. It goes on. <b>bold<br><p>Second &eacute; one, and more.</p>
 <div class="ad">Buy this now.</div></article><div class="comments"><div class="comment"><p>I agree, fine text.</p></div></div><footer>&copy; site</footer></body></html>"""
