@@ -122,6 +122,23 @@ def test_no_digit_free_candidate_is_skipped(spark):
     assert sum(map(bool, got)) >= 40
 
 
+def test_rare_kinds_are_learned_and_bounds_hold(spark, monkeypatch):
+    rows = [(i, f"text {i} host 10.0.{i % 250}.7 and +1 (555) 010-{1000 + i} end") for i in range(600)]
+    rows += [(1000 + i, f"pay with 4012888888881881 for item {i} please") for i in range(40)]  # 1 in 16 documents
+    rows += [(2000 + i, f"mail jo{i}@ex{i}.org now") for i in range(3)]  # too few for a threshold of its own
+    rows += [(3000, "or mail bob[at]site[dot]org"), (3001, "my card no. 4012.8888.8888.1881 is new"), (None, "mail ann@ex.org too"), (3002, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = lambda **more: {r[0]: r[1] for r in pii.personal_spans(df, **more).select("doc_id", joined_spans("spans")).collect()}
+    assert found()[3000] == "email:8:27" and found(sample_docs=200)[3001] == "card:12:31"
+    taken = {}
+    monkeypatch.setattr(pii, "train", lambda texts, spans: taken.update(cases=[(t, *s[0]) for t, s in zip(texts, spans, strict=True)]) or (None, {}))
+    for docs_bound, windows_bound, most in ((200, 80_000, 50), (20_000, 80, 20), (20_000, 80_000, 10_000)):
+        pii.personal_spans(df, sample_docs=docs_bound, sample_windows=windows_bound)
+        n = {k: sum(c[3] == k for c in taken["cases"]) for k in pii.KINDS}
+        assert n == {k: min(most, have) for k, have in (("email", 4), ("ip", 600), ("card", 40), ("phone", 600))}
+        assert all((s, e, k) in pii.base_spans(t) for t, s, e, k in taken["cases"])
+
+
 PAGE = """<html><head><title>T</title><script>var t="</p>"</script></head><body><nav><ul><li><a href=/a>Home</a></li></ul></nav>
 <div class="cookie-notice"><p>We use cookies.</p></div><article><h1>Head &amp; more</h1><p>First   para,\n with words. It goes on. <b>bold<br><p>Second &eacute; one, and more.</p>
 <div class="ad">Buy this now.</div></article><div class="comments"><div class="comment"><p>I agree, fine text.</p></div></div><footer>&copy; site</footer></body></html>"""
