@@ -1,10 +1,11 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, in SQL functions.
+"""Benchmark decontamination: exact shingle containment join, in SQL functions.
 
 Short items are searched inside long documents. An item's signature is the m smallest of
 its shingle hashes (bottom-m MinHash); items are partitioned by size, and m is set for
 each partition so that a document holding the asked share of any of its items must hold at
-least one signature shingle. So the search loses nothing, whatever the document's length.
-A pair that meets is verified exactly: distinct item shingles that the document holds, word
+least one signature shingle. The signatures prune nothing here: all windows are joined with
+all item shingles, and a pair that passes always holds a signature shingle.
+A pair is decided exactly: distinct item shingles that the document holds, word
 by word, against the size of the item's set.
 
 Items with fewer than k words are one shingle of their own width. The benchmark is a stated
