@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by blockwise suffix sorting with a difference cover.
+"""Removal of repeated byte strings by fingerprint grouping filtered with a difference cover.
 
 A byte goes if a ``length``-byte string over it also starts earlier (smaller id, or
 earlier in the same text). So of all suffixes with equal first ``length`` bytes only the
@@ -9,7 +9,7 @@ affordable nor needed:
    the fingerprint of their next ``length - v + 1`` bytes. For any two suffixes there is
    one offset below v at which both fall on the cover; if they agree on ``length`` bytes,
    the two names there are equal. A suffix with no tied name in reach has no tie: it is
-   never sorted. The names of one hash part are ranked at a time.
+   never sorted. The names of one hash part are compared at a time; they get no rank.
 2. Suffix buckets. The remaining suffixes are dealt into buckets by the fingerprint of
    their first ``length`` bytes and each bucket is sorted alone, by (fingerprint, id,
    start); all but the first of a tie are marked.
