@@ -4,7 +4,7 @@ import math
 import statistics as st
 
 import pytest
-from conftest import make_steps
+from steps import make_steps
 
 from faultline.operators import rules as R
 

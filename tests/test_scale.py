@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import as_set
+from steps import as_set
 from pyspark.sql import functions as F
 
 from faultline.operators import baselines as B, evidence as E, metrics as M, rules as R, scoring as S
