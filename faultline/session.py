@@ -20,6 +20,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a batch of texts is bounded by its bytes, whatever the length of a row
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 
