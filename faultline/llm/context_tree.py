@@ -255,7 +255,7 @@ def _scored(shared, first: int, last: int, depth: int):
     return run
 
 
-def tree_scores(texts: DataFrame, training: DataFrame, depth: int = 4, shard_grams: int = 1 << 22) -> DataFrame:
+def tree_scores(texts: DataFrame, training: DataFrame, depth: int = 4, shard_grams: int = 1 << 20) -> DataFrame:
     """uid, score for a frame (uid, text); ``training`` holds one text column."""
     spark = texts.sparkSession
     counts = cut_lineage(context_counts(training, depth))

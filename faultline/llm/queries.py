@@ -126,8 +126,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = docs.withColumns({"uid": F.xxhash64("doc_id", "text"), "train": fold("doc_id", 10) != 0})
-    base = unigram_scores(rows)
-    scores = tree_scores(rows.select("uid", "text"), rows.where("train").select("text"), depth=4)
+    # one pass over the texts at a time: each has its own table in memory
+    base = cut_lineage(unigram_scores(rows))
+    scores = cut_lineage(tree_scores(rows.select("uid", "text"), rows.where("train").select("text"), depth=4))
     return (rows.select("doc_id", "uid", (~F.col("train")).alias("held_out")).join(base, "uid").join(scores, "uid")
             .select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"))
 

@@ -88,7 +88,7 @@ def unigram_scores(rows: DataFrame, smooth: float = 0.1) -> DataFrame:
     """uid, n_tokens, n_known, train_tokens, base_score for a frame (uid, train, text);
     rows with the same uid have the same text and part."""
     spark = rows.sparkSession
-    parts = parts_of(rows, "text", 8)
+    parts = parts_of(rows, "text", 8, 1 << 20)
     stored = cut_lineage(rows.select("uid", "train", "text").mapInArrow(_dealt(parts), "key long, blob binary")
                          .groupBy("key").applyInArrow(by_group(_answered, parts, smooth), "kind int, key long, blob binary"))
     release(spark)
