@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import configure, cut_lineage, checkpoint_dir
 
-__all__ = ["column", "configure", "cut_lineage", "pack", "parts_of", "pick", "release", "scratch_path", "table", "unpack"]
+__all__ = ["column", "configure", "cut_lineage", "numbered", "pack", "parts_of", "pick", "release", "scratch_path", "table", "unpack"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,21 @@ def release(spark: SparkSession) -> None:
         time.sleep(pause)
 
 
+def numbered(df: DataFrame, place: str) -> DataFrame:
+    """df, written, with the place of each row from 0 in the order of its partitions. The
+    driver holds one number for each partition."""
+    spark, at = df.sparkSession, F.col(place)
+    kept = cut_lineage(df.withColumn(place, F.monotonically_increasing_id()))
+    sizes = sorted(kept.groupBy(F.shiftright(at, 33).alias("part")).count().collect())
+    base, total = [], 0
+    for part, n in sizes:
+        base.append((part, total - (part << 33)))
+        total += n
+    bases = spark.createDataFrame(base, "_part long, _base long")
+    moved = kept.withColumn("_part", F.shiftright(at, 33)).join(bases, "_part", "left")
+    return moved.withColumn(place, at + F.col("_base")).select(*df.columns, place)
+
+
 def parts_of(docs: DataFrame, text: str, bytes_per_item: float, items: int = 1 << 21) -> int:
     """Into how many hash parts the items of all texts go, so that a part holds about
     ``items`` whatever the size of the corpus. One scan of the text column."""

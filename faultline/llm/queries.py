@@ -8,10 +8,12 @@ from .common import cut_lineage, scratch_path, table
 from .context_tree import tree_scores
 from .decontaminate import contained_items
 from .html_text import main_text
+from .importance import resample
 from .jaccard_join import jaccard_components
 from .packing import pack_documents
 from .pii import KINDS, personal_spans
 from .quality_rules import quality_verdicts
+from .record_files import read_records, write_records
 from .registry import query
 from .rule_ensemble import quality_scores
 from .suffix_dedup import remove_repeats
@@ -156,3 +158,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         book.commit("3-revise", revisions(foreign, second.join(toxic, "doc_id", "left_anti")))
     return book.totals()
+
+
+@query("op11_importance_resampling")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20, seed=42)
+
+
+@query("op13_token_records")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "token-records")
+    write_records(table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"), end_id=0)
+    return read_records(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

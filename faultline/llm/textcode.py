@@ -77,6 +77,16 @@ def pieces(data: np.ndarray, offs: np.ndarray, limit: int = CHUNK_BYTES
         at = end
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z in lower case."""
+    return _LOWER[data]
+
+
+def ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... (count[i] of them) for every i, one after the other."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     h = np.empty(len(data) + 1, U64)
     h[0] = 0
@@ -90,9 +100,10 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(U64))
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs without ASCII white space) and the row of each."""
-    inside = ~_SPACE[data]
+def word_spans(data: np.ndarray, offs: np.ndarray, outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of bytes that are not ``outside``: ASCII white
+    space by default) and the row of each."""
+    inside = ~outside[data]
     before = np.empty_like(inside)
     before[:1] = False
     before[1:] = inside[:-1]
