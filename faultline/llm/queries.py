@@ -11,6 +11,7 @@ from .html_text import main_text
 from .importance import resample
 from .jaccard_join import jaccard_components
 from .packing import pack_documents
+from .phrases import collocations
 from .pii import KINDS, personal_spans
 from .quality_rules import quality_verdicts
 from .record_files import read_records, write_records
@@ -170,3 +171,35 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-records")
     write_records(table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"), end_id=0)
     return read_records(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang,
+             unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+           FROM documents WHERE text IS NOT NULL),
+p AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+w AS (SELECT id, lang, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS w FROM p),
+s AS (SELECT lang, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY id ORDER BY pos)),
+g AS (SELECT lang, 1 AS k, w AS phrase FROM s UNION ALL SELECT lang, 2, w || ' ' || w2 FROM s WHERE w2 IS NOT NULL
+      UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3 FROM s WHERE w3 IS NOT NULL),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+x AS (SELECT c.lang, c.phrase, c.a, j, l.a AS l, r.a AS r, (1000000::HUGEINT * c.a * c.a) // (l.a * r.a) AS score
+      FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+      JOIN f l ON l.lang = c.lang AND l.k = j AND l.phrase = array_to_string(w[1:j], ' ')
+      JOIN f r ON r.lang = c.lang AND r.k = c.k - j AND r.phrase = array_to_string(w[j + 1:c.k], ' ')),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+i AS (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE k = 3
+      UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE k = 3),
+m AS (SELECT lang, phrase, max(a) AS longer FROM i GROUP BY ALL),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+      FROM b LEFT JOIN m ON m.lang = b.lang AND m.phrase = b.phrase WHERE 100 * coalesce(longer, 0) < 50 * a)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op12_phrase_collocations", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=10, cover_percent=50, top=2000)
