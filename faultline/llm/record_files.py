@@ -5,7 +5,8 @@ that is written last:
 
 * ``part-N.rec``: one record per document, each number little-endian: payload length
   (8 bytes), masked CRC-32C of these (4), payload, masked CRC-32C of the payload (4). A
-  payload is 1 or, for a null id, 0 (4 bytes), the id (8) and the token ids (4 each).
+  payload is flags (4), the id (8) and the token ids, 4 bytes each, or 2 if the vocabulary
+  fits. Flags: 1 the id is not null, 2 narrow token ids, 4 two bytes of padding follow them.
   Readers of the common framed-record format can read the files.
 * ``part-N.idx``: for every record, and once more at the end, its byte offset and the
   tokens of the part before it (8 bytes each), so any record is one seek away.
@@ -41,6 +42,7 @@ from .token_ids import encoder
 U32 = np.uint32
 HEAD = 3  # words before a payload: length, its checksum
 ID = 3  # words of a payload before the token ids
+KNOWN, NARROW, PADDED = 1, 2, 4  # flags
 MASK_DELTA = 0xA282EAD8
 POLYNOMIAL = 0x82F63B78
 
@@ -101,9 +103,19 @@ def masked(crc: np.ndarray) -> np.ndarray:
 
 # ---- frames ---------------------------------------------------------------------------
 
-def frames(doc: np.ndarray, known: np.ndarray, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _narrowed(ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of two bytes in words, and the words of each record."""
+    half = (count + 1) // 2
+    out = np.zeros(2 * int(half.sum()), "<u2")
+    out[ragged(2 * (np.cumsum(half) - half), count)] = ids
+    return out.view("<u4"), half
+
+
+def frames(doc: np.ndarray, known: np.ndarray, ids: np.ndarray, count: np.ndarray, narrow: bool) -> tuple[np.ndarray, np.ndarray]:
     """The words of all records, and how many each has."""
-    payload = count + ID
+    flags = known * KNOWN + (narrow * (NARROW + (count & 1) * PADDED))
+    body, inside = _narrowed(ids, count) if narrow else (ids, count)
+    payload = inside + ID
     size = payload + HEAD + 1
     at = np.cumsum(size) - size
     out = np.zeros(int(size.sum()), U32)
@@ -111,10 +123,10 @@ def frames(doc: np.ndarray, known: np.ndarray, ids: np.ndarray, count: np.ndarra
     head = np.stack([length.astype(U32), (length >> np.uint64(32)).astype(U32)], 1)
     out[at], out[at + 1] = head[:, 0], head[:, 1]
     out[at + 2] = masked(crc32c(head.reshape(-1), np.full(len(count), 2)))
-    out[at + HEAD] = known
+    out[at + HEAD] = flags
     value = doc.astype(np.int64).view(np.uint64)
     out[at + HEAD + 1], out[at + HEAD + 2] = value.astype(U32), (value >> np.uint64(32)).astype(U32)
-    out[ragged(at + HEAD + ID, count)] = ids
+    out[ragged(at + HEAD + ID, inside)] = body
     out[at + size - 1] = masked(crc32c(out[ragged(at + HEAD, payload)], payload))
     return out, size
 
@@ -131,8 +143,15 @@ def unframed(words: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if not good.all() or (masked(crc32c(words[ragged(at + HEAD, payload)], payload)) != words[at + size - 1]).any():
         raise ValueError("a record is damaged")
     doc = (words[at + HEAD + 1].astype(np.uint64) | words[at + HEAD + 2].astype(np.uint64) << np.uint64(32)).view(np.int64)
-    count = payload - ID
-    return doc, words[at + HEAD].astype(bool), words[ragged(at + HEAD + ID, count)], count
+    flags, inside = words[at + HEAD].astype(np.int64), payload - ID
+    narrow = flags & NARROW > 0
+    if narrow.any() and not narrow.all():
+        raise ValueError("records of two widths in one range")
+    ids, count = words[ragged(at + HEAD + ID, inside)], inside
+    if narrow.any():
+        count = 2 * inside - (flags & PADDED > 0)
+        ids = ids.view("<u2")[ragged(2 * (np.cumsum(inside) - inside), count)].astype(U32)
+    return doc, flags & KNOWN > 0, ids, count
 
 
 # ---- files ----------------------------------------------------------------------------
@@ -154,6 +173,7 @@ def _written(folder: str, tokenizer_path: str, end_id: int | None):
         data = index = None
         records = tokens = offset = 0
         encode = encoder(tokenizer_path)
+        narrow = max(encode.tokenizer.get_vocab_size(), end_id or 0) <= 1 << 16
         for batch in batches:
             doc_all, texts = batch.column(0).cast(pa.int64()), batch.column(1)
             known_all = doc_all.is_valid().to_numpy(zero_copy_only=False)
@@ -162,7 +182,7 @@ def _written(folder: str, tokenizer_path: str, end_id: int | None):
                 if data is None:
                     data, index = (store.open_output_stream(f"{root}/{attempt}.{x}") for x in ("rec", "idx"))
                 b = a + len(count)
-                words, size = frames(doc_all[a:b], known_all[a:b], ids, count)
+                words, size = frames(doc_all[a:b], known_all[a:b], ids, count, narrow)
                 data.write(words.tobytes())
                 places = np.stack([offset + 4 * (np.cumsum(size) - size), tokens + np.cumsum(count) - count], 1)
                 index.write(places.astype("<u8").tobytes())

@@ -1,8 +1,9 @@
 """Token ids of whole texts by the tokenizers library, unit by unit.
 
 The vocabulary is read with its own pre-tokenizer (no normalizer, no prefix space), whose
-pattern always ends a token before a blank that a visible character follows. Texts are cut
-there into units; equal units have equal ids, so that each distinct unit is encoded once.
+pattern always ends a token before a blank that a visible character follows, and between a
+letter and one of ``.,;:!?``. Texts are cut there into units; equal units have equal ids, so
+that each distinct unit is encoded once. The end-of-text mark has none of these places.
 """
 
 from __future__ import annotations
@@ -21,14 +22,17 @@ from .textcode import flat, pieces, ragged
 #: sequences under which there is no white space (not C2, E1, E2, E3)
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[[*range(0x21, 0x7F), *range(0xC3, 0xE0), *range(0xE4, 0xF5)]] = True
+_LETTER, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_STOP[[*b".,;:!?"]] = True
 
 
 def unit_starts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where units start, and how many each row has (an empty row: none)."""
     cut = np.zeros(len(data) + 1, bool)
     cut[:-2][(data[:-1] == 0x20) & _VISIBLE[data[1:]]] = True
-    ends = offs[1:][offs[1:] > 0]
-    cut[ends - 1] = False  # the next byte belongs to another row
+    cut[1:-1] |= _LETTER[data[:-1]] & _STOP[data[1:]]
+    cut[offs[1:][offs[1:] > 0] - 1] &= ~(data[offs[1:][offs[1:] > 0] - 1] == 0x20)  # the next byte belongs to another row
     cut[offs] = True
     cut[len(data)] = False
     starts = np.flatnonzero(cut)
@@ -38,7 +42,7 @@ def unit_starts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Encoder:
     """Ids of texts; ``most`` distinct units are remembered between calls."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
