@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import cut_lineage, numbered, pick, release
+from .common import cut_lineage, numbered, pack, pick, release, unpack
 from .textcode import flat, lowered, word_spans
 
 #: bytes of one language in a shard
@@ -46,8 +46,8 @@ _OUTSIDE[[0x20, 0x09]] = True
 # ---- shards ---------------------------------------------------------------------------
 
 def encode_shard(raw: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct words, their counts, and the text as numbers: a word's place plus one, 0
-    between pieces and at the end."""
+    """Distinct words, most frequent first, their counts, and the text as numbers: a word's
+    place plus one, 0 between pieces and at the end."""
     data = lowered(np.frombuffer(raw, np.uint8))
     start, end, _ = word_spans(data, np.array([0, len(data)]), _OUTSIDE)
     if not len(start):
@@ -60,11 +60,16 @@ def encode_shard(raw: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     is_word[code] = True
     names = both.dictionary.filter(pa.array(is_word)).cast(pa.binary()).cast(pa.string())
     place = (np.cumsum(is_word) - 1)[code]
+    count = np.bincount(place, minlength=len(names))
+    order = np.argsort(-count, kind="stable")
+    turned = np.empty_like(order)
+    turned[order] = np.arange(len(order))
+    names, count, place = names.take(pa.array(order)), count[order], turned[place]
     stops = np.concatenate([[0], np.cumsum(_ENDS[data])])
     ended = np.append(stops[start[1:]] > stops[end[:-1]], True)
     seq = np.zeros(len(code) + int(ended.sum()), np.int32)
     seq[np.arange(len(code)) + np.cumsum(ended) - ended] = place + 1
-    return names, np.bincount(place, minlength=len(names)), seq
+    return names, count, seq
 
 
 def _shards(limit: int):
@@ -80,7 +85,7 @@ def _shards(limit: int):
             made += 1
             return pa.RecordBatch.from_arrays(
                 [pa.array([made - 1]), pa.array([lang]), pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names),
-                 pa.array([count], pa.list_(pa.int64())), pa.array([seq.tobytes()], pa.binary())], names=SHARD_NAMES)
+                 pa.array([count], pa.list_(pa.int64())), pa.array([pack(seq)], pa.binary())], names=SHARD_NAMES)
 
         for batch in batches:
             data, offs = flat(batch.column(1))
@@ -114,6 +119,7 @@ class FMIndex:
             order = np.argsort(key, kind="stable")
         else:
             order = np.lexsort(cols[::-1])
+        del cols
         self.bwt = np.roll(seq, 1)[order]
         # lf[j]: the place whose mapping is j, i.e. the suffix that follows the one at j
         self.lf = np.argsort(self.bwt, kind="stable")
@@ -124,7 +130,7 @@ class FMIndex:
         phrase without its first (left parent) and without its last word (right parent)
         among those of the depth before."""
         owner = np.zeros(len(self.bwt), np.int64)  # the interval each place lies in; -1: none
-        words = np.zeros((1, 0), np.int64)
+        words = np.zeros((1, 0), self.bwt.dtype)
         for _ in range(depth):
             left = owner[self.lf]
             edge = np.flatnonzero(np.r_[True, (self.first[1:] != self.first[:-1]) | (left[1:] != left[:-1])])
@@ -132,30 +138,31 @@ class FMIndex:
             count = np.diff(np.r_[edge, len(left)])
             number = np.where(good, np.cumsum(good) - 1, -1)
             at, parent = edge[good], left[edge[good]]
-            yield_words = np.concatenate([self.first[at][:, None], words[parent]], 1)
-            yield yield_words, count[good], parent, owner[at]
-            owner, words = np.repeat(number, count), yield_words
+            words = np.concatenate([self.first[at][:, None], words[parent]], 1)
+            yield words, count[good], parent, owner[at]
+            owner = np.repeat(number, count)
 
 
 def _phrases(longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f"w{i + 1}" for i in range(longest)] + ["n"]
         for batch in batches:
-            for seq, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seq = np.frombuffer(seq, np.int32)
-                known = sorted((r["place"], r["id"]) for r in known)
-                ids = np.array([0, *[i for _, i in known]], np.int64)
-                own = np.zeros(int(seq.max(initial=0)) + 1, np.int64)
-                own[np.array([p + 1 for p, _ in known], np.int64)] = np.arange(1, len(ids))
+            for i in range(batch.num_rows):
+                seq = unpack(batch.column(0)[i].as_py(), np.int32)[0]
+                place, number = batch.column(1)[i].values.flatten()
+                ids = np.concatenate([[0], number.to_numpy()])
+                own = np.zeros(int(seq.max(initial=0)) + 1, np.int32)
+                own[place.to_numpy() + 1] = np.arange(1, len(ids), dtype=np.int32)
                 seq = own[seq]
                 seq = seq[(seq > 0) | (np.r_[0, seq[:-1]] > 0)]  # separators once
                 if not len(seq):
                     continue
                 for words, count, _, _ in FMIndex(seq, len(ids), longest).levels(longest):
-                    n, k = words.shape
-                    if k > 1 and n:
-                        cols = [ids[words[:, i]] if i < k else np.zeros(n, np.int64) for i in range(longest)]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, count)], names=names)
+                    k = words.shape[1]
+                    for a in range(0, len(words) if k > 1 else 0, 1 << 16):
+                        some = words[a:a + (1 << 16)]
+                        cols = [ids[some[:, j]] if j < k else np.zeros(len(some), np.int64) for j in range(longest)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, count[a:a + (1 << 16)])], names=names)
     return run
 
 
@@ -172,6 +179,7 @@ def phrase_counts(docs: DataFrame, least: int, lang_col: str, text_col: str, sha
     total = vocabulary.groupBy("lang").agg(F.sum("n").alias("n"))
     known = numbered(vocabulary.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "id")
     known = cut_lineage(known.withColumn("id", F.col("id") + 1))
+    release(spark)
     mapped = (vocabulary.join(known.select("lang", "word", "id"), ["lang", "word"])
               .groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("known")))
     found = (shards.select("shard", "seq").join(mapped, "shard").select("seq", "known")
