@@ -23,8 +23,8 @@ def elide(c: str, cap: int) -> str:
             f"' chars elided]…' || chr(10) || right({c}, {cap // 2}) ELSE {c} END)")
 
 
-def rendered(cap: int = V.MAX_STEP_CHARS) -> str:
-    return f"({HEAD} || {elide('content', cap)} || chr(10))"
+def rendered(cap: int | None = None) -> str:
+    return f"({HEAD} || {elide('content', cap) if cap else 'content'} || chr(10))"
 
 
 SHORT = (f"({HEAD} || substr(replace({strip('content')}, chr(10), ' '), 1, 120) || '… [' || greatest(length(content) - 120, 0) || "
@@ -212,6 +212,27 @@ gr AS (SELECT {KEY}, 0 AS r, CAST(used AS BIGINT) AS used, 0 AS kept, CAST(other
   FROM gr g JOIN rk k ON k.subset = g.subset AND k.file_id = g.file_id AND k.r = g.r + 1)"""
 
 
+HEAD_TEXT = "'[task]' || chr(10) || 'task ' || file_id || chr(10)"
+
+
+def _chosen_sql(budget: int, window: int | None = None) -> str:
+    """For every step t the greedy choice among the steps up to t (the last ``window`` of
+    them): ch has its length and the steps kept, tx its text."""
+    near = "s.subset = t.subset AND s.file_id = t.file_id AND s.step_idx <= t.step_idx" + (f" AND s.step_idx > t.step_idx - {window}" if window else "")
+    return f"""ln AS (SELECT {KEY}, step_idx, type_norm IN ('plan', 'delegate') AS coord, {rendered()} AS lt, {SHORT} AS st, {HEAD_TEXT} AS head FROM st),
+fl AS (SELECT t.subset, t.file_id, t.step_idx AS t, length(any_value(t.head)) + sum(length(CASE WHEN s.coord THEN s.lt ELSE s.st END)) AS used,
+    count(*) FILTER (NOT s.coord) AS others FROM ln t JOIN ln s ON {near} GROUP BY 1, 2, 3),
+rk AS (SELECT t.subset, t.file_id, t.step_idx AS t, s.step_idx, length(s.lt) - length(s.st) AS cost,
+    row_number() OVER (PARTITION BY t.subset, t.file_id, t.step_idx ORDER BY s.step_idx DESC) AS r FROM ln t JOIN ln s ON {near} WHERE NOT s.coord),
+gr AS (SELECT {KEY}, t, 0 AS r, CAST(used AS BIGINT) AS used, CAST([] AS INTEGER[]) AS keep, CAST(others AS BIGINT) AS others FROM fl
+  UNION ALL SELECT g.subset, g.file_id, g.t, CAST(k.r AS INTEGER), g.used + CASE WHEN g.used + k.cost <= {budget} THEN k.cost ELSE 0 END,
+    CASE WHEN g.used + k.cost <= {budget} THEN list_append(g.keep, CAST(k.step_idx AS INTEGER)) ELSE g.keep END, g.others
+  FROM gr g JOIN rk k ON k.subset = g.subset AND k.file_id = g.file_id AND k.t = g.t AND k.r = g.r + 1),
+ch AS (SELECT {KEY}, t AS step_idx, used, keep, others - len(keep) AS n_demoted FROM gr WHERE r = others),
+tx AS (SELECT t.subset, t.file_id, t.step_idx, any_value(s.head) || string_agg(CASE WHEN s.coord OR list_contains(t.keep, s.step_idx) THEN s.lt ELSE s.st END,
+    '' ORDER BY s.step_idx) AS text, any_value(t.used) AS used, any_value(t.n_demoted) AS n_demoted FROM ch t JOIN ln s ON {near} GROUP BY 1, 2, 3)"""
+
+
 def _heads(s):
     return _records(s).select(*K, E.render_preamble("query", "ground_truth").alias("head"))
 
@@ -221,16 +242,37 @@ def _heads(s):
        "RECURSIVE " + TYPED + ",\n" + _retention_sql(2000))
 def _(spark, sf):
     s = _cv(spark, sf)
-    r = E.retained_context(s, _heads(s), 2000)
-    return r.select(*K, "used", F.size("kept").alias("n_kept"), F.size("demoted").alias("n_demoted"))
+    return E.retained_context(s, _heads(s), 2000).select(*K, "used", "n_kept", "n_demoted")
 
 
-@query("hindsight", STEP + "n_chars:i n_demoted:i",
-       f"SELECT s.subset, s.file_id, s.step_idx, used AS n_chars, others - kept AS n_demoted FROM st s JOIN gr USING (subset, file_id) WHERE r = others",
-       "RECURSIVE " + TYPED + ",\n" + _retention_sql(2000))
+_LAST = f"(SELECT {KEY}, max(step_idx) AS step_idx FROM st GROUP BY {KEY})"
+
+
+@query("retained_text", "subset:s file_id:s n_steps:i used:i n_demoted:i text_sha:s",
+       f"SELECT {KEY}, step_idx + 1 AS n_steps, used, n_demoted, sha256(text) AS text_sha FROM tx JOIN {_LAST} USING (subset, file_id, step_idx)",
+       "RECURSIVE " + TYPED + ",\n" + _chosen_sql(2000))
+def _(spark, sf):
+    s = _cv(spark, sf)
+    return E.retained_context(s, _heads(s), 2000, with_text=True).select(*K, "n_steps", "used", "n_demoted", F.sha2("text", 256).alias("text_sha"))
+
+
+@query("hindsight", STEP + "context_sha:s n_chars:i n_demoted:i",
+       f"""SELECT s.subset, s.file_id, s.step_idx, sha256(shown) AS context_sha, used AS n_chars, n_demoted
+       FROM st s JOIN (SELECT {KEY}, text AS shown, used, n_demoted FROM tx JOIN {_LAST} USING (subset, file_id, step_idx)) USING (subset, file_id)""",
+       "RECURSIVE " + TYPED + ",\n" + _chosen_sql(2000))
+def _(spark, sf):
+    s = _cv(spark, sf)
+    return E.hindsight(s, _heads(s), 2000).withColumns({"n_chars": F.length("context"), "context_sha": F.sha2("context", 256)})
+
+
+@query("score_steps_window_budget", STEP + "context_sha:s prefix_tokens:i n_demoted:i",
+       f"SELECT {KEY}, step_idx, sha256(text) AS context_sha, length(text) // 4 AS prefix_tokens, n_demoted FROM tx",
+       "RECURSIVE " + TYPED + ",\n" + _chosen_sql(600, 5))
 def _(spark, sf):
+    """The last five steps under a budget that most windows pass."""
     s = _cv(spark, sf)
-    return E.hindsight(s, _heads(s), 2000).withColumn("n_chars", F.length("context"))
+    prompts = S.build_prompts(s, _records(s), prefix_steps=5, budget=600)
+    return S.score_steps(prompts, _sha_batch, judge="hash").withColumn("context_sha", F.col("raw_text"))
 
 
 def _prefix_sql(budget: int) -> str:
@@ -264,6 +306,26 @@ def _(spark, sf):
     return S.stream_prefixes(s, _heads(s), 700)
 
 
+@query("score_steps_budget", STEP + "context_sha:s n_demoted:i",
+       f"""SELECT w.subset, w.file_id, w.step_idx, sha256(coalesce(any_value(x.text), any_value(s0.head)) || coalesce(string_agg(s.lt, '' ORDER BY s.step_idx), '')) AS context_sha,
+         any_value(w.n_demoted) AS n_demoted
+       FROM (SELECT *, max(CASE WHEN rebuilt THEN step_idx END) OVER (PARTITION BY {KEY} ORDER BY step_idx) AS at FROM wk WHERE step_idx >= 0) w
+       JOIN ln s0 ON s0.subset = w.subset AND s0.file_id = w.file_id AND s0.step_idx = w.step_idx
+       LEFT JOIN tx x ON x.subset = w.subset AND x.file_id = w.file_id AND x.step_idx = w.at
+       LEFT JOIN ln s ON s.subset = w.subset AND s.file_id = w.file_id AND s.step_idx > coalesce(w.at, -1) AND s.step_idx <= w.step_idx GROUP BY 1, 2, 3""",
+       "RECURSIVE " + TYPED + ",\n" + _chosen_sql(int(700 * V.RETAIN_TARGET)) + f""",
+wk AS (SELECT DISTINCT {KEY}, -1 AS step_idx, CAST(length(head) AS BIGINT) AS used, CAST(0 AS BIGINT) AS n_demoted, FALSE AS rebuilt FROM ln
+  UNION ALL SELECT w.subset, w.file_id, n.step_idx, CASE WHEN w.used + length(n.lt) <= 700 THEN w.used + length(n.lt) ELSE b.used END,
+    CASE WHEN w.used + length(n.lt) <= 700 THEN w.n_demoted ELSE b.n_demoted END, w.used + length(n.lt) > 700
+  FROM wk w JOIN ln n ON n.subset = w.subset AND n.file_id = w.file_id AND n.step_idx = w.step_idx + 1
+  JOIN ch b ON b.subset = n.subset AND b.file_id = n.file_id AND b.step_idx = n.step_idx)""")
+def _(spark, sf):
+    """The whole text of the growing prefix under a budget, replayed in blocks of four."""
+    s = _cv(spark, sf)
+    prompts = S.build_prompts(s, _records(s), budget=700, block=4)
+    return S.score_steps(prompts, _sha_batch, judge="hash").withColumn("context_sha", F.col("raw_text"))
+
+
 CLEAN = f"('[step ' || step_idx || ' | agent=' || agent || ']' || chr(10) || {elide('content', 2000)} || chr(10))"
 BLANK = f"('[step ' || step_idx || ' | agent=' || agent || ']' || chr(10) || {quote(V.OMITTED)} || chr(10))"
 
@@ -276,7 +338,21 @@ BLANK = f"('[step ' || step_idx || ' | agent=' || agent || ']' || chr(10) || {qu
 ws AS (SELECT {KEY}, step_idx, sum(length({CLEAN})) OVER w AS total, sum(length({CLEAN}) - length({BLANK})) OVER w AS saved FROM st
   WINDOW w AS (PARTITION BY {KEY} ORDER BY step_idx))""")
 def _(spark, sf):
-    return E.oldest_first_blanking(_cv(spark, sf), cap=1200)
+    return E.oldest_first_blanking(_cv(spark, sf), cap=1200, step_chars=2000)
+
+
+@query("oldest_first_text", STEP + "n_blanked:i context_sha:s",
+       f"""SELECT t.subset, t.file_id, t.step_idx, any_value(t.n_blanked) AS n_blanked,
+         sha256(string_agg(CASE WHEN s.step_idx < t.n_blanked THEN s.blank ELSE s.clean END, '' ORDER BY s.step_idx)) AS context_sha
+       FROM (SELECT t.subset, t.file_id, t.step_idx, CASE WHEN t.total <= 1200 THEN 0 ELSE coalesce(min(p.step_idx) FILTER (
+               t.total - p.saved <= 1200), t.step_idx - 1) + 1 END AS n_blanked
+             FROM ws t LEFT JOIN ws p ON p.subset = t.subset AND p.file_id = t.file_id AND p.step_idx < t.step_idx GROUP BY t.subset, t.file_id, t.step_idx, t.total) t
+       JOIN ws s ON s.subset = t.subset AND s.file_id = t.file_id AND s.step_idx <= t.step_idx GROUP BY 1, 2, 3""",
+       TYPED + f""",
+ws AS (SELECT {KEY}, step_idx, {CLEAN} AS clean, {BLANK} AS blank, sum(length({CLEAN})) OVER w AS total, sum(length({CLEAN}) - length({BLANK})) OVER w AS saved FROM st
+  WINDOW w AS (PARTITION BY {KEY} ORDER BY step_idx))""")
+def _(spark, sf):
+    return E.oldest_first_text(_cv(spark, sf), cap=1200, step_chars=2000).withColumn("context_sha", F.sha2("context", 256))
 
 
 # --- scoring ----------------------------------------------------------------

@@ -6,15 +6,20 @@ prefix texts are one string per step by definition and are built only on
 request; their budget decisions run on lengths, not on text.
 """
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .. import fixed_values as V
 from ..functions.text import _col, strip
 from ..functions.typing import is_coordination, is_near_empty
 from ..schema import K
 from ..session import cut_lineage
+from .prefix import FIXED, BlankedPrefix, CostTree, SlidingPrefix
 from .sequence import (
-    AUTO, BLK, block_keys, block_window, join_files, resolve, running_max, running_sums,
+    AUTO, BLK, BLOCK_STEPS, block_keys, block_window, join_files, resolve, running_max, running_sums,
     running_total, spread, with_block, with_halo,
 )
 
@@ -36,7 +41,10 @@ def render_preamble(query, ground_truth, with_gt: bool = False) -> Column:
     return F.concat(F.concat_ws("\n", *parts), F.lit("\n"))
 
 
-def _elide(content: Column, cap: int) -> Column:
+def _elide(content: Column, cap: int | None) -> Column:
+    """The middle goes where a text passes ``cap`` characters (None: whole)."""
+    if cap is None:
+        return content
     half = cap // 2
     n = F.length(content)
     return F.when(n > cap, F.concat(
@@ -50,7 +58,7 @@ def step_header(idx="step_idx", agent="agent", kind="type_norm") -> Column:
 
 
 def render_step(idx="step_idx", agent="agent", kind="type_norm", content="content",
-                max_chars: int = V.MAX_STEP_CHARS) -> Column:
+                max_chars: int | None = None) -> Column:
     return F.concat(step_header(idx, agent, kind), _elide(_text(content), max_chars), F.lit("\n"))
 
 
@@ -273,23 +281,24 @@ def next_own_step(steps: DataFrame, block: int | None = AUTO) -> DataFrame:
     )
 
 
-def render_lookahead(window="window") -> Column:
+def render_lookahead(window="window", max_chars: int | None = None) -> Column:
     """Heading and the fully rendered window; empty for an empty window."""
     body = F.array_join(F.transform(_col(window), lambda x: render_step(
-        x["step_idx"], x["agent"], x["type_norm"], x["content"])), "")
+        x["step_idx"], x["agent"], x["type_norm"], x["content"], max_chars)), "")
     return F.when(F.size(_col(window)) > 0, F.concat(
         F.lit("\n[what happened next — realized response]\n"), body)).otherwise(F.lit(""))
 
 
 # --- context text -----------------------------------------------------------
 
-def prefix_window(steps: DataFrame, n: int, block: int | None = AUTO) -> DataFrame:
+def prefix_window(steps: DataFrame, n: int, block: int | None = AUTO,
+                  max_chars: int | None = None) -> DataFrame:
     """``context``: the last n rendered steps up to and including this one."""
     block = resolve(steps, block)
     frame = block_window(block).rowsBetween(-(n - 1), 0)
     return (
         with_halo(steps, before=n - 1, block=block)
-        .withColumn("context", F.array_join(F.collect_list(render_step()).over(frame), ""))
+        .withColumn("context", F.array_join(F.collect_list(render_step(max_chars=max_chars)).over(frame), ""))
         .filter("_core").drop("_core", BLK)
     )
 
@@ -314,67 +323,226 @@ def contradiction_pairs(steps: DataFrame, premise_steps: int = V.PREMISE_STEPS,
     )
 
 
-def retention_plan(items: Column, head_chars: Column, budget: int) -> Column:
-    """Which steps stay verbatim under a budget: ``struct(used, kept, demoted)``.
+#: characters of context held for one output batch
+CONTEXT_BATCH_CHARS = 1 << 23
 
-    ``items``: array of (step_idx, full, short, coord) lengths in step order.
-    Coordination is verbatim; the rest start as headers and are upgraded newest
-    first, *skipping* any that does not fit (so a running sum would be wrong).
-    """
-    used0 = F.aggregate(items, head_chars.cast("long"), lambda acc, x: acc + F.when(
-        x["coord"], x["full"]).otherwise(x["short"]))
-    start = F.struct(used0.alias("used"), F.array().cast("array<int>").alias("kept"))
-
-    def upgrade(acc, x):
-        cost = x["full"] - x["short"]
-        fits = (~x["coord"]) & (acc["used"] + cost <= budget)
-        return F.struct(
-            F.when(fits, acc["used"] + cost).otherwise(acc["used"]).alias("used"),
-            F.when(fits, F.array_append(acc["kept"], x["step_idx"])).otherwise(acc["kept"])
-            .alias("kept"))
-
-    done = F.aggregate(F.reverse(items), start, upgrade)
-    others = F.transform(F.filter(items, lambda x: ~x["coord"]), lambda x: x["step_idx"])
-    return F.struct(done["used"].alias("used"), F.array_sort(done["kept"]).alias("kept"),
-                    F.array_except(others, done["kept"]).alias("demoted"))
-
-
-def retained_context(steps: DataFrame, heads: DataFrame, budget: int = V.PREFIX_BUDGET_CHARS,
-                     with_text: bool = False) -> DataFrame:
-    """Whole trajectory under the retention policy (the hindsight evidence).
-
-    One row per trajectory: lengths only, 16 bytes a step, unless the text itself
-    is asked for.
+
+def bounded(pdf: pd.DataFrame, results: Iterator[tuple[int, str, int]], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows of ``pdf`` with (row, context, n_demoted), in batches of bounded text."""
+    at, contexts, demoted, held = [], [], [], 0
+
+    def out() -> pd.DataFrame:
+        return pdf.iloc[at].assign(context=contexts, n_demoted=np.int32(demoted))[names]
+
+    for i, context, n in results:
+        at.append(i)
+        contexts.append(context)
+        demoted.append(n)
+        held += len(context)
+        if held >= CONTEXT_BATCH_CHARS:
+            yield out()
+            at, contexts, demoted, held = [], [], [], 0
+    if at:
+        yield out()
+
+
+def with_context(schema: T.StructType, *gone: str) -> T.StructType:
+    kept = [f for f in schema.fields if f.name not in gone]
+    return T.StructType([*kept, T.StructField("context", T.StringType()), T.StructField("n_demoted", T.IntegerType())])
+
+
+def windowed_contexts(rows: DataFrame, n: int, budget: int, block: int | None = AUTO) -> DataFrame:
+    """``context`` and ``n_demoted`` of rows that carry ``head``, ``_full``, ``_short`` and
+    ``_coord``, which go: the last n steps under the retention policy. Blocks are walked
+    in parallel, each with the n - 1 steps before it; n steps of text are held."""
+    block = resolve(rows, block)
+    by = block_keys(block)
+    work = with_halo(rows, before=n - 1, block=block)
+    schema = with_context(rows.schema, "head", "_full", "_short", "_coord")
+    names, keys = schema.fieldNames(), by
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+
+        def results(pdf: pd.DataFrame) -> Iterator[tuple[int, str, int]]:
+            nonlocal key, state
+            cols = [pdf[c] for c in ("head", "_full", "_short", "_coord", "_core")]
+            for i, (own, (head, full, short, coord, core)) in enumerate(zip(zip(*[pdf[k] for k in keys]), zip(*cols))):
+                if own != key:
+                    key, state = own, SlidingPrefix(n, budget, head)
+                if core:
+                    yield i, *state.add(full, short, bool(coord))
+                else:
+                    state.enter(full, short, bool(coord))
+
+        for pdf in batches:
+            yield from bounded(pdf, results(pdf), names)
+
+    return work.repartition(*by).sortWithinPartitions(*by, "step_idx").mapInPandas(walk, schema)
+
+
+def joined_pieces(steps: DataFrame, spec: DataFrame, piece: Column, by: list[str], block: int | None) -> DataFrame:
+    """``by``, ``text``: the pieces of each spec row's steps below its ``upto``, in order.
+    ``piece`` may use columns of both. A trajectory's steps meet a spec row block by block,
+    so that no task takes a whole trajectory."""
+    wide = block or BLOCK_STEPS
+    parts = spec.where(F.col("upto") > 0).withColumn(
+        BLK, F.explode(F.sequence(F.lit(0), F.floor((F.col("upto") - 1) / F.lit(wide)).cast("int"))))
+    met = with_block(steps, wide).join(parts, [*K, BLK]).where(F.col("step_idx") < F.col("upto"))
+
+    def glued(order: str, text: Column) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text.alias("t")))), lambda x: x["t"]), "")
+
+    return (met.groupBy(*by, BLK).agg(glued("step_idx", piece).alias("_part"))
+            .groupBy(*by).agg(glued(BLK, F.col("_part")).alias("text")))
+
+
+def retained_steps(steps: DataFrame, heads: DataFrame, budget: int | None = None) -> DataFrame:
+    """(K, step_idx, full, short, coord, verbatim): which steps of a whole trajectory stay
+    verbatim under a budget (None: all).
+
+    Coordination is verbatim; the rest are upgraded newest first, skipping any that does
+    not fit (so a running sum would be wrong). What one step hands to the next is the room
+    that is left: lengths stream through a task, newest first, and a batch is decided by a
+    search for the next cost that fits.
     """
-    full, short = render_step(), render_demoted()
-    items = steps.groupBy(*K).agg(F.array_sort(F.collect_list(F.struct(
-        "step_idx", F.length(full).cast("long").alias("full"),
-        F.length(short).cast("long").alias("short"),
-        is_coordination("type_norm").alias("coord")))).alias("items"))
-    plan = items.join(heads.select(*K, "head"), K).withColumn(
-        "plan", retention_plan(F.col("items"), F.length("head"), budget))
-    out = plan.select(*K, "head", F.size("items").alias("n_steps"), "plan.*")
+    sized = steps.select(*K, "step_idx", F.length(render_step()).cast("long").alias("full"),
+                         F.length(render_demoted()).cast("long").alias("short"), is_coordination("type_norm").alias("coord"))
+    if budget is None:
+        return sized.withColumn("verbatim", F.lit(True))
+    least = sized.groupBy(*K).agg((F.max("step_idx") + 1).alias("n_steps"),
+                                  F.sum(F.when(F.col("coord"), F.col("full")).otherwise(F.col("short"))).alias("_least"))
+    room = least.join(heads.select(*K, F.length("head").alias("_head")), K).select(
+        *K, "n_steps", (F.lit(budget) - F.col("_least") - F.col("_head")).alias("_room"))
+    rows = join_files(sized, room).drop("n_steps")
+    schema = T.StructType([*sized.schema.fields, T.StructField("verbatim", T.BooleanType())])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, left = None, 0
+        for pdf in batches:
+            keys = list(zip(pdf["subset"], pdf["file_id"]))
+            edges = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            coord = pdf["coord"].to_numpy(bool)
+            cost, keep = np.where(coord, FIXED, (pdf["full"] - pdf["short"]).to_numpy(np.int64)), coord.copy()
+            for a, b in zip(edges, [*edges[1:], len(keys)]):
+                if keys[a] != key:
+                    key, left = keys[a], int(pdf["_room"].iat[a])
+                taken, left = CostTree.of(cost[a:b][::-1]).upgrade(left)
+                keep[b - 1 - np.array(taken, int)] = True
+            yield pdf.drop(columns="_room").assign(verbatim=keep)
+
+    return rows.repartition(*K).sortWithinPartitions(*K, F.desc("step_idx")).mapInPandas(walk, schema)
+
+
+def retained_context(steps: DataFrame, heads: DataFrame, budget: int | None = None,
+                     with_text: bool = False, block: int | None = AUTO) -> DataFrame:
+    """Whole trajectory under the retention policy (the hindsight evidence): n_steps, used,
+    n_kept (upgraded ones), n_demoted and, if asked for, the text, one string a trajectory."""
+    plan = retained_steps(steps, heads, budget)
+    plan = cut_lineage(plan) if with_text else plan
+    used = F.sum(F.when(F.col("verbatim"), F.col("full")).otherwise(F.col("short")))
+    out = plan.groupBy(*K).agg(
+        F.count(F.lit(1)).alias("n_steps"), used.alias("_body"), F.count_if(F.col("verbatim") & ~F.col("coord")).alias("n_kept"),
+        F.count_if(~F.col("verbatim")).alias("n_demoted")).join(heads.select(*K, "head"), K)
+    out = out.withColumn("used", F.col("_body") + F.length("head")).drop("_body")
     if not with_text:
         return out.drop("head")
-    rows = join_files(steps, out.select(*K, "n_steps", "kept"))
-    piece = F.when(is_coordination("type_norm") | F.array_contains("kept", F.col("step_idx")), full
-                   ).otherwise(short)
-    text = rows.groupBy(*K).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
-        "step_idx", piece.alias("t")))), lambda x: x["t"]), "").alias("_body"))
-    return out.join(text, K).withColumn("text", F.concat("head", "_body")).drop("head", "_body")
-
-
-def hindsight(steps: DataFrame, heads: DataFrame, budget: int = V.PREFIX_BUDGET_CHARS) -> DataFrame:
-    """Every step beside the one whole-trajectory evidence text of its file."""
-    ctx = retained_context(steps, heads, budget, with_text=True)
-    return join_files(steps, ctx.select(*K, "n_steps", F.col("text").alias("context"),
-                                        F.size("demoted").alias("n_demoted")))
+    pieces = steps.join(plan.select(*K, "step_idx", "verbatim"), [*K, "step_idx"]).select(
+        *K, "step_idx", F.when(F.col("verbatim"), render_step()).otherwise(render_demoted()).alias("_piece"))
+    text = joined_pieces(pieces, out.select(*K, F.col("n_steps").alias("upto")), F.col("_piece"), K, resolve(steps, block))
+    return out.join(text, K).withColumn("text", F.concat("head", "text")).drop("head")
 
 
-def oldest_first_blanking(steps: DataFrame, cap: int = V.PTRUE_PREFIX_CHARS,
-                          step_chars: int = V.PTRUE_STEP_CHARS,
+def hindsight(steps: DataFrame, heads: DataFrame, budget: int | None = None, block: int | None = AUTO) -> DataFrame:
+    """Every step beside the one whole-trajectory evidence text of its file. The text is
+    sent once to each block of the trajectory and handed to the steps as they stream by."""
+    block = resolve(steps, block)
+    by = block_keys(block)
+    text = retained_context(steps, heads, budget, True, block).select(*K, "n_steps", "n_demoted", F.col("text").alias("_text"))
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in steps.schema if f.name not in (*K, "step_idx")]
+    first = spread(text, block).select(*by, F.lit(-1).alias("step_idx"), *blank, "n_steps", "_text", F.col("n_demoted").cast("int").alias("_gone"))
+    rows = with_block(steps, block).select(
+        *by, "step_idx", *[f.name for f in steps.schema if f.name not in (*K, "step_idx")], F.lit(None).cast("long").alias("n_steps"),
+        F.lit(None).cast("string").alias("_text"), F.lit(None).cast("int").alias("_gone"))
+    schema = with_context(T.StructType([*steps.schema.fields, T.StructField("n_steps", T.LongType())]))
+    names = schema.fieldNames()
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        text, gone, n = "", 0, 0
+        for pdf in batches:
+            def results():
+                nonlocal text, gone, n
+                for i, (at, own, m, k) in enumerate(zip(pdf["step_idx"], pdf["_text"], pdf["_gone"], pdf["n_steps"])):
+                    if at < 0:
+                        text, gone, n = own, int(m), int(k)
+                    else:
+                        counts.append(n)
+                        yield i, text, gone
+
+            counts: list[int] = []
+            done = 0
+            for out in bounded(pdf, results(), [c for c in names if c != "n_steps"]):
+                out["n_steps"] = np.int64(counts[done:done + len(out)])
+                done += len(out)
+                yield out[names]
+
+    return rows.unionByName(first).repartition(*by).sortWithinPartitions(*by, "step_idx").mapInPandas(walk, schema)
+
+
+def oldest_first_text(steps: DataFrame, cap: int | None = None, step_chars: int | None = None,
+                      block: int | None = AUTO, heads: DataFrame | None = None) -> DataFrame:
+    """(K, step_idx, context, n_blanked): each step's own prefix with its oldest steps blanked,
+    after ``head`` if given.
+
+    The blank mark only moves on, so a block is walked alone from the mark at its start:
+    it gets the text before the mark as one piece and the open steps after it, at most
+    what ``cap`` leaves unblanked. A step costs its new text and what it prints.
+    """
+    block = resolve(steps, block)
+    by = block_keys(block)
+    marks = cut_lineage(oldest_first_blanking(steps, cap, step_chars, block).select(*K, "step_idx", "n_blanked"))
+    rows = (steps.select(*K, "step_idx", render_clean_step(step_chars=step_chars).alias("_full"), render_blanked_step().alias("_blank"))
+            .join(marks, [*K, "step_idx"]))
+    core = with_block(rows, block).select(*by, "step_idx", "_full", "_blank", "n_blanked", F.lit(True).alias("_core"))
+    at_start = F.col("step_idx") % F.lit(block or BLOCK_STEPS) == 0 if block else F.col("step_idx") == 0
+    starts = with_block(marks.where(at_start), block).select(*by, F.col("step_idx").alias("_from"), F.col("n_blanked").alias("upto"))
+    work = core
+    if block:
+        halo = (starts.withColumnRenamed(BLK, "_to").where("_from > 0")
+                .withColumn(BLK, F.explode(F.sequence(F.floor(F.col("upto") / block).cast("int"), F.col("_to") - 1))))
+        work = core.unionByName(
+            with_block(rows, block).join(halo, [*K, BLK]).where((F.col("step_idx") >= F.col("upto")) & (F.col("step_idx") < F.col("_from")))
+            .select(*K, F.col("_to").alias(BLK), "step_idx", "_full", "_blank", "n_blanked", F.lit(False).alias("_core")))
+    opened = starts.join(joined_pieces(rows.select(*K, "step_idx", "_blank"), starts.withColumnRenamed(BLK, "_own") if block else starts,
+                                       F.col("_blank"), [*K, "_own"] if block else K, block).withColumnsRenamed({"_own": BLK}), by, "left")
+    if heads is not None:
+        opened = opened.join(heads.select(*K, "head"), K, "left").withColumn("text", F.concat("head", F.coalesce("text", F.lit(""))))
+    first = opened.select(*by, F.lit(-1).alias("step_idx"), F.coalesce("text", F.lit("")).alias("_full"), F.lit("").alias("_blank"),
+                          F.col("upto").cast("int").alias("n_blanked"), F.lit(False).alias("_core"))
+    schema = "subset string, file_id string, step_idx int, n_blanked int, context string"
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = None
+        for pdf in batches:
+            def results():
+                nonlocal state
+                for i, (at, full, blank, n, core) in enumerate(zip(*[pdf[c] for c in ("step_idx", "_full", "_blank", "n_blanked", "_core")])):
+                    if at < 0:
+                        state = BlankedPrefix(full, int(n))
+                    else:
+                        state.push(full, blank)
+                        if core:
+                            yield i, state.move(int(n)), 0
+
+            yield from bounded(pdf, results(), ["subset", "file_id", "step_idx", "n_blanked", "context"])
+
+    return work.unionByName(first).repartition(*by).sortWithinPartitions(*by, "step_idx").mapInPandas(walk, schema)
+
+
+def oldest_first_blanking(steps: DataFrame, cap: int | None = None, step_chars: int | None = None,
                           block: int | None = AUTO) -> DataFrame:
-    """How many of the oldest steps are blanked in each step's own prefix.
+    """How many of the oldest steps are blanked in each step's own prefix (no ``cap``: none;
+    the published runs use PTRUE_PREFIX_CHARS and PTRUE_STEP_CHARS).
 
     The prefix of step t is blanked from the oldest on until it fits, never the
     judged step. With F = running full length and S = running saving, the count
@@ -385,6 +553,8 @@ def oldest_first_blanking(steps: DataFrame, cap: int = V.PTRUE_PREFIX_CHARS,
     saving = full - F.length(render_blanked_step()).cast("long")
     block = resolve(steps, block)
     s = steps.select(*K, "step_idx", full.alias("_full"), saving.alias("_save"))
+    if cap is None:
+        return running_sums(s, {"total": F.col("_full")}, block=block).select(*K, "step_idx", "total", F.lit(0).alias("n_blanked"))
     s = running_sums(s, {"total": F.col("_full"), "_saved": F.col("_save")}, block=block)
     # savings may be negative for a short step, so the target is the first prefix
     # of savings that reaches the excess: a running maximum makes them monotone
@@ -405,7 +575,7 @@ def oldest_first_blanking(steps: DataFrame, cap: int = V.PTRUE_PREFIX_CHARS,
 
 
 def render_clean_step(idx="step_idx", agent="agent", content="content",
-                      step_chars: int = V.PTRUE_STEP_CHARS) -> Column:
+                      step_chars: int | None = None) -> Column:
     return F.concat(F.lit("[step "), _col(idx).cast("string"), F.lit(" | agent="), _col(agent),
                     F.lit("]\n"), _elide(_text(content), step_chars), F.lit("\n"))
 

@@ -14,8 +14,8 @@ from ..functions.typing import is_coordination, is_near_empty
 from ..schema import K
 from ..session import cut_lineage
 from .evidence import (
-    augmentation, hindsight, lookahead_window, prefix_window, render_demoted, render_lookahead,
-    render_preamble, render_question, render_step, strip_types,
+    augmentation, bounded, hindsight, joined_pieces, lookahead_window, prefix_window, render_demoted,
+    render_lookahead, render_preamble, render_question, render_step, strip_types, windowed_contexts, with_context,
 )
 from .prefix import GrowingPrefix
 from .sequence import AUTO, BLK, block_keys, join_files, resolve, with_block
@@ -33,24 +33,24 @@ def build_prompts(steps: DataFrame, records: DataFrame, *, readout: str = "ptrue
                   policy: str = "typed", with_gt: bool = False, use_types: bool = True,
                   subtask_pointer: bool = True, peer_corroboration: bool = True,
                   prefix_steps: int | None = None, lookahead: str = "none",
-                  budget: int | None = None, block: int | None = AUTO) -> DataFrame:
+                  budget: int | None = None, block: int | None = AUTO,
+                  max_chars: int | None = None) -> DataFrame:
     """One row per step with ``context`` and ``prompt`` text.
 
     ``context`` is the whole growing prefix up to and including the step; with
     ``prefix_steps`` the last so many steps; with ``budget`` the prefix is rebuilt by
-    the retention policy whenever it would pass so many characters. The hindsight policy
-    shows the whole trajectory (under the budget, the published one unless given). The
-    growing prefix is made as rows stream to the scorer, so its quadratic text is in no
-    table and no shuffle.
+    the retention policy whenever it would pass so many characters (a window: at each
+    step). The hindsight policy shows the whole trajectory, under the budget if given.
+    Steps are shown whole; with ``max_chars`` the middle of longer ones goes (the published
+    runs use MAX_STEP_CHARS). The growing prefix is made as rows stream to the scorer, so
+    its quadratic text is in no table.
     """
-    if prefix_steps is not None and budget is not None:
-        raise ScoringError("a window of steps and a budget exclude each other")
     if policy not in ("typed", "plain", "hindsight"):
         raise ScoringError(f"unknown policy {policy!r}")
     s = steps if use_types else strip_types(steps)
     heads = records.select(*K, render_preamble("query", "ground_truth", with_gt).alias("head"))
     look = lookahead_window(s, lookahead, block)
-    base = look.withColumn("_look", render_lookahead("window")).withColumn(
+    base = look.withColumn("_look", render_lookahead("window", max_chars)).withColumn(
         "n_lookahead", F.size("window")).drop("window")
     if policy == "typed" and (subtask_pointer or peer_corroboration):
         extra = augmentation(s, subtask_pointer, peer_corroboration, block)
@@ -58,9 +58,9 @@ def build_prompts(steps: DataFrame, records: DataFrame, *, readout: str = "ptrue
     else:
         base = base.withColumn("augment", F.lit(None).cast("string"))
     if policy == "hindsight":
-        base = hindsight(base, heads, V.PREFIX_BUDGET_CHARS if budget is None else budget)
-    elif prefix_steps is not None:
-        base = prefix_window(base, prefix_steps, block)
+        base = hindsight(base, heads, budget, block)
+    elif prefix_steps is not None and budget is None:
+        base = prefix_window(base, prefix_steps, block, max_chars)
         base = join_files(base, base.groupBy(*K).agg((F.max("step_idx") + 1).alias("n_steps"))
                           .join(heads, K), "inner", block)
         base = base.withColumn("context", F.concat("head", "context")).withColumn(
@@ -71,44 +71,110 @@ def build_prompts(steps: DataFrame, records: DataFrame, *, readout: str = "ptrue
     shown = [*K, "step_idx", "agent", "type_norm", "type_source"]
     asked = [F.col("augment").isNotNull().alias("augmented"),
              F.concat(F.coalesce("augment", F.lit("")), "_look", render_question(readout=readout)).alias("prompt")]
-    if policy == "hindsight" or prefix_steps is not None:
+    if policy == "hindsight" or (prefix_steps is not None and budget is None):
         return base.select(*shown, "context", "n_lookahead", "n_demoted", *asked)
-    rows = base.select(*shown, "n_lookahead", *asked, "head", render_step().alias("_full"),
+    rows = base.select(*shown, "n_lookahead", *asked, "head", render_step(max_chars=max_chars).alias("_full"),
                        render_demoted().alias("_short"), is_coordination("type_norm").alias("_coord"))
-    return growing_contexts(rows, budget).select(*shown, "context", "n_lookahead", "n_demoted", "augmented", "prompt")
+    made = (growing_contexts(rows, budget, block=block) if prefix_steps is None
+            else windowed_contexts(rows, prefix_steps, budget, block))
+    return made.select(*shown, "context", "n_lookahead", "n_demoted", "augmented", "prompt")
 
 
-#: characters of context held for one output batch of growing prefixes
-CONTEXT_BATCH_CHARS = 1 << 23
-
-
-def growing_contexts(rows: DataFrame, budget: int | None = None, target: float = V.RETAIN_TARGET) -> DataFrame:
+def growing_contexts(rows: DataFrame, budget: int | None = None, target: float = V.RETAIN_TARGET,
+                     block: int | None = AUTO) -> DataFrame:
     """Adds ``context`` and ``n_demoted`` to rows that carry ``head``, ``_full``,
-    ``_short`` and ``_coord``, which go. Rows of a trajectory stream in step order
-    through one task, which holds one prefix and a bounded batch of output."""
-    kept = rows.drop("head", "_full", "_short", "_coord")
-    schema = T.StructType([*kept.schema.fields, T.StructField("context", T.StringType()), T.StructField("n_demoted", T.IntegerType())])
-    names, plain = schema.fieldNames(), kept.columns
-    goal = int((budget or 0) * target)
+    ``_short`` and ``_coord``, which go. Without blocks, the rows of a trajectory stream in
+    step order through one task, which holds one prefix and a bounded batch of output.
+
+    With blocks, lengths are walked first (:func:`stream_lengths`); the walk stores its
+    state wherever a block starts or the prefix is rebuilt. Each such stretch is then
+    replayed on its own from the text that its state opens with.
+    """
+    block = resolve(rows, block)
+    schema = with_context(rows.schema, "head", "_full", "_short", "_coord")
+    names, goal = schema.fieldNames(), int((budget or 0) * target)
+    if block:
+        return _replayed(rows, budget, goal, block, schema)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, key = None, None
-        for pdf in batches:
-            contexts, demoted, first, held = [], [], 0, 0
-            for i, r in enumerate(zip(pdf["subset"], pdf["file_id"], pdf["head"], pdf["_full"], pdf["_short"], pdf["_coord"])):
+
+        def results(pdf: pd.DataFrame) -> Iterator[tuple[int, str, int]]:
+            nonlocal state, key
+            for i, r in enumerate(zip(*[pdf[c] for c in ("subset", "file_id", "head", "_full", "_short", "_coord")])):
                 if r[:2] != key:
                     key, state = r[:2], GrowingPrefix(len(r[2]), budget, goal, r[2])
                 state.add(len(r[3]), len(r[4]), bool(r[5]), r[3:5])
-                contexts.append(state.text)
-                demoted.append(state.demoted)
-                held += len(state.text)
-                if held >= CONTEXT_BATCH_CHARS or i == len(pdf) - 1:
-                    yield pdf[plain].iloc[first:i + 1].assign(context=contexts, n_demoted=np.int32(demoted))[names]
-                    contexts, demoted, first, held = [], [], i + 1, 0
+                yield i, state.text, state.demoted
+
+        for pdf in batches:
+            yield from bounded(pdf, results(pdf), names)
 
     return rows.repartition(*K).sortWithinPartitions(*K, "step_idx").mapInPandas(walk, schema)
 
 
+def _replayed(rows: DataFrame, budget: int | None, goal: int, block: int, schema: T.StructType) -> DataFrame:
+    by, names = [*K, "_seg"], schema.fieldNames()
+    lengths = rows.select(*K, "step_idx", F.length("head").alias("head"), F.length("_full").alias("full"),
+                          F.length("_short").alias("short"), F.col("_coord").alias("coord"))
+    walked = cut_lineage(stream_lengths(lengths, budget, goal, block))
+    starts = walked.where("upto IS NOT NULL").select(*by, "upto", "planned", "kept")
+    piece = F.when((F.col("step_idx") >= F.col("planned")) | F.col("_coord") | F.array_contains("kept", F.col("step_idx")),
+                   F.col("_full")).otherwise(F.col("_short"))
+    opening = joined_pieces(rows.select(*K, "step_idx", "_full", "_short", "_coord"), starts, piece, by, block)
+    work = rows.join(walked.select(*by, "step_idx", "n_demoted", "rebuilt", "upto"), [*K, "step_idx"])
+    first = work.where("upto IS NOT NULL").select(*by, "head").join(opening, by, "left")
+    others = [f.name for f in rows.schema if f.name not in (*K, "step_idx", "head", "_full", "_short", "_coord")]
+    work = (work.select(*by, "step_idx", *others, "_full", F.col("n_demoted").alias("_gone"), "rebuilt")
+            .unionByName(first.select(*by, F.lit(-1).alias("step_idx"), F.concat("head", F.coalesce("text", F.lit(""))).alias("_full"),
+                                      F.lit(0).alias("_gone"), F.lit(False).alias("rebuilt")), allowMissingColumns=True))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        text = ""
+
+        def results(pdf: pd.DataFrame) -> Iterator[tuple[int, str, int]]:
+            nonlocal text
+            for i, (at, full, gone, rebuilt) in enumerate(zip(*[pdf[c] for c in ("step_idx", "_full", "_gone", "rebuilt")])):
+                if at < 0:
+                    text = full
+                else:
+                    text += "" if rebuilt else full  # a rebuilt prefix holds its step already
+                    yield i, text, int(gone)
+
+        for pdf in batches:
+            yield from bounded(pdf, results(pdf), names)
+
+    return work.repartition(*by).sortWithinPartitions(*by, "step_idx").mapInPandas(walk, schema)
+
+
+def stream_lengths(sized: DataFrame, budget: int | None, goal: int, block: int | None) -> DataFrame:
+    """The growing prefix of each step in lengths: used, rebuilds, n_demoted, rebuilt, and
+    the number of its stretch ``_seg``. A stretch starts with a block or a rebuild; its first
+    row has the state that a replay needs: the steps ``upto`` which its opening text
+    holds, those of them ``planned`` by the last rebuild, and which of these were ``kept``."""
+    schema = ("subset string, file_id string, step_idx int, used long, rebuilds int, n_demoted int, rebuilt boolean, "
+              "_seg int, upto int, planned int, kept array<int>")
+    wide = block or 1 << 31
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, key, seg, planned = None, None, 0, 0
+        for pdf in batches:
+            out = []
+            for s, f, t, head, full, short, coord in zip(*[pdf[c] for c in ("subset", "file_id", "step_idx", "head", "full", "short", "coord")]):
+                if (s, f) != key:
+                    key, seg, planned = (s, f), -1, 0
+                    state = GrowingPrefix(int(head), budget, goal)
+                row = state.add(int(full), int(short), bool(coord))
+                planned = t + 1 if row[3] else planned
+                starts = row[3] or t % wide == 0
+                seg += starts
+                out.append((s, f, t, *row, seg, *((t + row[3], planned, state.kept) if starts else (None, None, None))))
+            yield pd.DataFrame(out, columns=names).astype({"upto": "Int32", "planned": "Int32"})
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    return sized.repartition(*K).sortWithinPartitions(*K, "step_idx").mapInPandas(walk, schema)
+
+
 def score_steps(prompts: DataFrame, scorer: BatchScorer | Callable[[], BatchScorer], *,
                 judge: str = "", readout: str = "ptrue", load_per_worker: bool = False,
                 **provenance) -> DataFrame:
@@ -150,7 +216,7 @@ def score_steps(prompts: DataFrame, scorer: BatchScorer | Callable[[], BatchScor
     return scored.withColumn("p_norm", F.lit(None).cast("double"))
 
 
-def stream_prefixes(steps: DataFrame, heads: DataFrame, budget: int = V.PREFIX_BUDGET_CHARS,
+def stream_prefixes(steps: DataFrame, heads: DataFrame, budget: int | None = None,
                     target: float = V.RETAIN_TARGET) -> DataFrame:
     """The growing shared prefix of each step, as lengths: ``used``, ``rebuilds``,
     ``n_demoted``.
@@ -158,33 +224,17 @@ def stream_prefixes(steps: DataFrame, heads: DataFrame, budget: int = V.PREFIX_B
     Appends each rendered step; when that would pass the budget, the prefix is
     rebuilt to ``target`` of it by the retention policy. The recurrence is
     sequential within a trajectory, so rows arrive sorted and are streamed in
-    Arrow batches; only lengths travel (no text) and only the open trajectory's
-    lengths are held.
+    Arrow batches; only lengths travel (no text), and a rebuild searches for the steps it
+    keeps instead of reading all of them.
     """
     sized = steps.select(
         *K, "step_idx", F.length(render_step()).cast("int").alias("full"),
         F.length(render_demoted()).cast("int").alias("short"),
         is_coordination("type_norm").alias("coord"))
     n = sized.groupBy(*K).agg((F.max("step_idx") + 1).alias("n_steps"))
-    rows = join_files(sized, n.join(heads.select(*K, F.length("head").alias("head")), K)).drop(
-        "n_steps").repartition(*K).sortWithinPartitions(*K, "step_idx")
-    schema = ("subset string, file_id string, step_idx int, used long, rebuilds int, "
-              "n_demoted int, rebuilt boolean")
-    goal = int(budget * target)
-
-    def walk(batches):
-        state, key = None, None
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if (r.subset, r.file_id) != key:
-                    key, state = (r.subset, r.file_id), GrowingPrefix(int(r.head), budget, goal)
-                out.append((r.subset, r.file_id, r.step_idx,
-                            *state.add(int(r.full), int(r.short), bool(r.coord))))
-            yield pd.DataFrame(out, columns=["subset", "file_id", "step_idx", "used", "rebuilds",
-                                             "n_demoted", "rebuilt"])
-
-    return rows.mapInPandas(walk, schema)
+    rows = join_files(sized, n.join(heads.select(*K, F.length("head").alias("head")), K)).drop("n_steps")
+    return stream_lengths(rows, budget, int((budget or 0) * target), None).select(
+        *K, "step_idx", "used", "rebuilds", "n_demoted", "rebuilt")
 
 
 # --- E2, E3, E4, E8, E9 -----------------------------------------------------

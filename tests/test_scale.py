@@ -1,16 +1,34 @@
 """Splitting a long trajectory or a hot key must not change any answer."""
 
 import random
+import time
 
+import numpy as np
 import pytest
-from steps import as_set
+from steps import SCHEMA, as_set
 from pyspark.sql import functions as F
 
 from faultline.operators import baselines as B, evidence as E, metrics as M, rules as R, scoring as S
 from faultline.operators import normalize as N, sequence as Q, typing as TY
+from faultline.operators.prefix import FIXED, CostTree
 from faultline.schema import K
 
+def asked(s):
+    return s.select(*K).distinct().withColumn("query", F.lit("q")).withColumn("ground_truth", F.lit("g"))
+
+
+def shown(s, block, **options):
+    return S.build_prompts(s, asked(s), policy=options.pop("policy", "plain"), block=block, **options).select(
+        *K, "step_idx", "context", "n_demoted")
+
+
 STEPWISE = {
+    "growing_text": lambda s, lab, b: shown(s, b),
+    "growing_text_under_budget": lambda s, lab, b: shown(s, b, budget=400),
+    "window_under_budget": lambda s, lab, b: shown(s, b, prefix_steps=6, budget=300),
+    "hindsight_text": lambda s, lab, b: shown(s, b, policy="hindsight", budget=500),
+    "oldest_first_text": lambda s, lab, b: E.oldest_first_text(s, 300, 60, b),
+    "oldest_first_whole": lambda s, lab, b: E.oldest_first_text(s, None, None, b),
     "attribute": lambda s, lab, b: R.attribute(s, block=b).select(*K, "method", "pred_step", "pred_agent", "reason"),
     "two_stage": lambda s, lab, b: R.two_stage(s, block=b),
     "majority_agent": lambda s, lab, b: B.majority_agent(s, block=b),
@@ -154,5 +172,79 @@ def test_contexts_have_the_lengths_of_the_walk(spark, steps):
     whole = {(r.subset, r.file_id, r.step_idx): r.context for r in S.build_prompts(steps, heads, policy="plain").collect()}
     for (s, f, i), text in whole.items():
         assert i == 0 or text.startswith(whole[s, f, i - 1])
-    with pytest.raises(S.ScoringError):
-        S.build_prompts(steps, heads, budget=400, prefix_steps=2)
+
+
+def pieces(steps):
+    out = {}
+    rows = steps.select(*K, "step_idx", E.render_step().alias("full"), E.render_demoted().alias("short"),
+                        E.render_clean_step(step_chars=60).alias("clean"), E.render_blanked_step().alias("blank"),
+                        F.col("type_norm").isin("plan", "delegate").alias("coord"))
+    for r in sorted(rows.collect(), key=lambda r: (r.subset, r.file_id, r.step_idx)):
+        out.setdefault((r.subset, r.file_id), []).append(r)
+    return out
+
+
+def greedy(head, rows, budget):
+    """Text of rows under the retention policy, and how many were demoted."""
+    verbatim = [r.coord for r in rows]
+    used = len(head) + sum(len(r.full if v else r.short) for r, v in zip(rows, verbatim))
+    for i in reversed(range(len(rows))):
+        more = len(rows[i].full) - len(rows[i].short)
+        if not verbatim[i] and used + more <= budget:
+            used, verbatim[i] = used + more, True
+    return head + "".join(r.full if v else r.short for r, v in zip(rows, verbatim)), verbatim.count(False)
+
+
+def test_windows_and_whole_trajectories_under_a_budget(steps):
+    head, files = "[task]\nq\n", pieces(steps)
+    window = {tuple(r[:3]): (r.context, r.n_demoted) for r in shown(steps, 4, prefix_steps=5, budget=300).collect()}
+    whole = {tuple(r[:3]): (r.context, r.n_demoted) for r in shown(steps, 4, policy="hindsight", budget=700).collect()}
+    for key, rows in files.items():
+        for t in range(len(rows)):
+            assert window[(*key, t)] == greedy(head, rows[max(0, t - 4):t + 1], 300)
+            assert whole[(*key, t)] == greedy(head, rows, 700)
+    assert any(n for _, n in window.values()) and any(n for _, n in whole.values())
+
+
+def test_oldest_first_text(steps):
+    got = {tuple(r[:3]): r.context for r in E.oldest_first_text(steps, 300, 60, 4).select(*K, "step_idx", "context").collect()}
+    blanked = 0
+    for key, rows in pieces(steps).items():
+        for t in range(len(rows)):
+            body, i = [r.clean for r in rows[:t + 1]], 0
+            while sum(map(len, body)) > 300 and i < t:
+                body[i] = rows[i].blank
+                i += 1
+            blanked += i
+            assert got[(*key, t)] == "".join(body)
+    assert blanked
+
+
+def test_long_steps_are_shown_whole_unless_asked(spark):
+    rows = [("alg", "f", 0, "A", "A", "x" * 9000, "execute", "parsed", 0.5, True)]
+    s = spark.createDataFrame(rows, SCHEMA)
+    whole, cut = (S.build_prompts(s, asked(s), policy="plain", max_chars=c).first().context for c in (None, 4000))
+    assert "x" * 9000 in whole and "x" * 2001 not in cut and "5000 chars elided" in cut
+
+
+def test_cost_tree_is_greedy():
+    rng = random.Random(8)
+    for n in [1, 2, 63, 64, 65, 200, 4097] * 4:
+        costs = [rng.choice([FIXED, rng.randrange(-5, 60), rng.randrange(400)]) for _ in range(n)]
+        grown, made = CostTree(), CostTree.of(np.array(costs))
+        for c in costs:
+            grown.append(c)
+        room, first = rng.randrange(-20, 3000), rng.randrange(n)
+        want, left = [], room
+        for i in reversed(range(first, n)):
+            if costs[i] <= left:
+                want.append(i)
+                left -= costs[i]
+        assert grown.upgrade(room, first) == made.upgrade(room, first) == (want, left)
+
+
+def test_a_million_steps_are_decided_at_once():
+    costs = np.arange(1_000_000) * 7919 % 1000
+    start = time.perf_counter()
+    taken, left = CostTree.of(costs).upgrade(50_000_000)
+    assert 0 <= left < 1000 and len(taken) > 90_000 and time.perf_counter() - start < 10
