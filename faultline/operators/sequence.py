@@ -10,7 +10,7 @@ here sorts an unbounded key inside one task:
   :func:`resolve`) skip the blocks: one shuffle on the trajectory key serves
   every window and join.
 * rows ordered by something other than a step index go through
-  :func:`running_total`, which splits the keys that are measured to be hot.
+  :func:`running_total`, a prefix scan over range partitions that no key can fill.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -20,8 +20,6 @@ from ..session import cut_lineage
 
 AUTO = -1
 BLOCK_STEPS = 65_536
-HOT_ROWS = 4_000_000
-SEGMENTS = 256
 BLK = "_blk"
 
 
@@ -186,69 +184,55 @@ def file_frame(scores: DataFrame, value: str = "p", keys=K, block: int | None =
 
 
 def running_total(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str],
-                  hot_rows: int = HOT_ROWS, segments: int = SEGMENTS) -> DataFrame:
-    """Inclusive running sums of columns over ``order`` within ``keys``.
-
-    ``order[0]`` must be numeric or a timestamp. One aggregation measures whether
-    any key is above ``hot_rows``; if none is, this is a plain window. Otherwise
-    hot keys are cut into value segments at approximate quantiles of ``order[0]``
-    and each segment is windowed on its own; equal values never straddle a cut.
-
-    Cuts and carries are joined by (key) and (key, segment) with ordinary joins: the
-    adaptive planner sends a side to all tasks only if its measured size is small, and
-    splits the hot key's rows otherwise.
+                  parts: int | None = None) -> DataFrame:
+    """Inclusive running sums of columns over ``order`` within ``keys``: a prefix scan over
+    range partitions, the same plan for keys of any size.
+
+    Rows are range-partitioned and sorted by (keys, order) and written with their place.
+    Inside a partition a key's rows are summed in that order; one total per partition and
+    key is scanned over the partitions, and what came before is added. A key of any size is
+    thus spread over as many partitions as its rows need (``parts`` of them in all, else as
+    many as the session plans). Rows that agree in all of keys and order stay together, so
+    callers count equal values first. Null keys are a key.
     """
-    hot = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > hot_rows).select(*keys)
-    )
-    if hot.isEmpty():
-        inside = (
-            Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        )
-        return df.select("*", *[F.sum(c).over(inside).alias(o) for o, c in sums.items()])
-    lead = F.col(order[0])
-    if dict(df.dtypes)[order[0]].startswith("timestamp"):
-        lead = lead.cast("timestamp")
-    lead = lead.cast("double")
-    quantiles = [i / segments for i in range(1, segments)]
-    cuts = cut_lineage(
-        df.join(hot, keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx(lead, quantiles, 10_000).alias("_cuts"))
-    )
-    work = df.join(cuts, keys, "left").withColumn(
-        "_seg",
-        F.when(F.col("_cuts").isNull(), F.lit(0))
-        .otherwise(F.size(F.filter("_cuts", lambda c: c < lead))),
-    )
+    place = cut_lineage(
+        (df.repartitionByRange(parts, *keys, *order) if parts else df.repartitionByRange(*keys, *order))
+        .sortWithinPartitions(*keys, *order).withColumn("_scan_pos", F.monotonically_increasing_id())
+    ).withColumn("_scan_part", F.shiftright("_scan_pos", 33))
     inside = (
-        Window.partitionBy(*keys, "_seg").orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy("_scan_part", *keys).orderBy("_scan_pos").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    own = [F.col(k).alias(f"_scan_k{i}") for i, k in enumerate(keys)]
+    earlier = (
+        Window.partitionBy(*[f"_scan_k{i}" for i in range(len(keys))]).orderBy("_scan_from")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    earlier = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    # only keys that go on from one partition into the next have something to carry
     carry = (
-        work.filter(F.col("_cuts").isNotNull())
-        .groupBy(*keys, "_seg").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
-        .select(*keys, "_seg", *[F.sum(f"_t_{o}").over(earlier).alias(f"_c_{o}") for o in sums])
+        place.groupBy(F.col("_scan_part").alias("_scan_from"), *own).agg(*[F.sum(c).alias(f"_scan_t_{o}") for o, c in sums.items()], F.count(F.lit(1)).alias("_scan_n"))
+        .select("*", F.sum("_scan_n").over(earlier).alias("_scan_before"), *[F.sum(f"_scan_t_{o}").over(earlier).alias(f"_scan_c_{o}") for o in sums])
+        .where("_scan_before IS NOT NULL").select("_scan_from", *[f"_scan_k{i}" for i in range(len(keys))], *[f"_scan_c_{o}" for o in sums])
     )
-    out = work.select("*", *[F.sum(c).over(inside).alias(o) for o, c in sums.items()])
-    out = out.join(carry, [*keys, "_seg"], "left")
+    same = F.col("_scan_part") == F.col("_scan_from")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_scan_k{i}"))
+    out = place.select("*", *[F.sum(c).over(inside).alias(o) for o, c in sums.items()]).join(carry, same, "left")
     for o in sums:
-        out = out.withColumn(o, F.col(o) + F.coalesce(F.col(f"_c_{o}"), F.lit(0)))
-    return out.drop("_cuts", "_seg", *[f"_c_{o}" for o in sums])
+        out = out.withColumn(o, F.when(F.col(f"_scan_c_{o}").isNull(), F.col(o)).otherwise(
+            F.coalesce(F.col(o), F.lit(0)) + F.col(f"_scan_c_{o}")))
+    return out.select(*df.columns, *sums)
 
 
 def dense_position(df: DataFrame, keys: list[str], order: list[str], out: str = "step_idx",
-                   hot_rows: int = HOT_ROWS, segments: int = SEGMENTS) -> DataFrame:
+                   parts: int | None = None) -> DataFrame:
     """0-based rank of each row in ``order`` within ``keys`` (order must be total)."""
     one = df.withColumn("_one", F.lit(1))
-    got = running_total(one, keys, order, {out: "_one"}, hot_rows, segments)
+    got = running_total(one, keys, order, {out: "_one"}, parts)
     return got.withColumn(out, (F.col(out) - 1).cast("bigint")).drop("_one")
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float],
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
+                    parts: int | None = None) -> DataFrame:
     """Linear-interpolation quantiles per key, exact for groups of any size.
 
     Meant for report cells (a handful of keys with very many rows each): equal
@@ -258,7 +242,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, fractions: dict[
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("_w")
     )
-    run = running_total(counted, keys, [value], {"_upto": "_w"}, hot_rows)
+    run = running_total(counted, keys, [value], {"_upto": "_w"}, parts)
     sizes = counted.groupBy(*keys).agg(F.sum("_w").alias("_n"))
     asked = sizes.select(*keys, F.array(*[
         F.struct(F.lit(name).alias("name"), ((F.col("_n") - 1) * F.lit(q)).alias("at"))

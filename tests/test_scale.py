@@ -6,7 +6,7 @@ import time
 import numpy as np
 import pytest
 from steps import SCHEMA, as_set
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from faultline.operators import baselines as B, evidence as E, metrics as M, rules as R, scoring as S
 from faultline.operators import normalize as N, sequence as Q, typing as TY
@@ -73,14 +73,25 @@ def test_embed_divergence_in_blocks(spark):
 
 def test_hot_keys_are_split_exactly(spark):
     rng = random.Random(2)
-    rows = [("hot" if i % 3 else f"k{i % 30}", rng.choice([1.0, 2.0, rng.random()]), i) for i in range(900)]
+    rows = [("hot" if i % 3 else [None, f"k{i % 30}"][i % 2], rng.choice([1.0, 2.0, None, rng.random()]), i) for i in range(900)]
     df = spark.createDataFrame(rows, "k string, v double, id int")
-    plain = Q.dense_position(df, ["k"], ["v", "id"], "pos")
-    split = Q.dense_position(df, ["k"], ["v", "id"], "pos", hot_rows=50, segments=8)
-    assert as_set(split) == as_set(plain)
+    inside = Window.partitionBy("k").orderBy("v", "id").rowsBetween(Window.unboundedPreceding, 0)
+    want = as_set(df.withColumn("pos", F.count(F.lit(1)).over(inside) - 1).withColumn("t", F.sum("v").over(inside)))
+    for parts in (None, 1, 7, 40):
+        got = Q.running_total(Q.dense_position(df, ["k"], ["v", "id"], "pos", parts), ["k"], ["v", "id"], {"t": "v"}, parts)
+        assert as_set(got) == want
     q = {"a": 0.05, "m": 0.5, "z": 0.95}
     want = df.groupBy("k").agg(*[F.percentile("v", f).alias(n) for n, f in q.items()])
-    assert as_set(Q.exact_quantiles(df, ["k"], "v", q, hot_rows=20)) == as_set(want)
+    assert as_set(Q.exact_quantiles(df, ["k"], "v", q, parts=9).na.drop(subset=["k"])) == as_set(want.na.drop(subset=["k"]))
+
+
+def test_one_key_of_equal_values(spark):
+    """One key holds all rows, one value most of them."""
+    df = spark.range(3000).select(F.lit("k").alias("k"), F.when(F.col("id") < 2500, 0.5).otherwise(F.col("id") / 3000).alias("v"), "id")
+    got = Q.dense_position(df, ["k"], ["v", "id"], "pos", parts=16)
+    assert [r.pos for r in got.orderBy("v", "id").collect()] == list(range(3000))
+    counted = df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("w"))
+    assert Q.running_total(counted, ["k"], ["v"], {"upto": "w"}, 16).agg(F.max("upto"), F.min("upto")).first() == (3000, 2500)
 
 
 def test_auroc_counts_pairs(spark):
