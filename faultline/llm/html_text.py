@@ -60,7 +60,11 @@ TAG_GROUPS = ["article main", "p", "h1 h2 h3 h4 h5 h6", "div", "section", "ul ol
               "blockquote pre figure figcaption", "html body"]
 TAG_GROUP = {t: i for i, g in enumerate(TAG_GROUPS) for t in g.split()}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+# a quote that is never closed does not open a value: such a tag ends at the next >
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+'|\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>])|[\"'])*+)>", re.S)
+#: what may stand in a head; any other start tag begins the body
+_IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title head html".split())
+_FOREIGN = frozenset(["svg", "math"])
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _MAY_HIDE = re.compile("hidden|style", re.I)
 _NAMED = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>\"'][^\s>]*)))?")
@@ -143,6 +147,9 @@ class Page:
                             pop()
                         break
                 continue
+            if tag not in _IN_HEAD and any(t == "head" for t, *_ in stack[:4]):  # its end tag is omitted
+                while any(t == "head" for t, *_ in stack):
+                    pop()
             closes = SELF_CLOSING.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
             if closes:
                 for i in range(len(stack) - 1, 0, -1):
@@ -159,7 +166,7 @@ class Page:
                 continue
             if tag in BLOCK:
                 self.runs.append((node, None))
-            if tag in VOID:
+            if tag in VOID or (tag in _FOREIGN and m[3].rstrip().endswith("/")):
                 continue
             unseen = unseen or tag in UNSEEN or hides(m[3])
             if tag in RAW:

@@ -29,7 +29,7 @@ def texts(spark):
 
 def test_one_query_for_each_operator():
     names = sorted(int(n.split("_")[0][2:]) for n in llm.all_queries())
-    assert names == list(range(1, 11))
+    assert names == list(range(1, 14))
     assert set(llm.all_oracles()) <= set(llm.all_queries())
 
 
@@ -131,6 +131,26 @@ def test_suffix_dedup(ask, texts):
     assert got == X.removed(texts)
 
 
+def test_resampling(ask, texts, spark):
+    from test_corpus import resampled
+
+    target = [r[0] for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("text").collect()]
+    got = {r.doc_id: [r.n_features, r.weight, r.score, r["rank"]] for r in ask("op11_importance_resampling")}
+    assert got == resampled(texts, target)
+
+
+def test_token_records(ask, texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    bpe, at, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, {}
+    for i, t in sorted(texts):
+        ids = np.array(bpe.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+        want[i] = (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in ask("op13_token_records")} == want
+
+
 def test_pipeline(spark, texts):
     """Each stage keeps to its input and its decisions take effect."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

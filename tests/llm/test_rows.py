@@ -317,3 +317,21 @@ def test_trees_and_lasso():
     z = np.column_stack([y, rng.integers(0, 2, 600)])
     b, w = lasso_logistic(z, y, 0.01)
     assert w[0] > 1 and abs(w[1]) < 0.2 and re.match("-", str(b))
+
+
+def test_pages_with_omitted_and_broken_tags():
+    """Valid pages without end tags, self-closed drawings, quotes that never close."""
+    art = "<article><p>one two three.</p><p>four five six.</p></article>"
+    cases = {
+        "<html><head><title>t</title><body>" + art: "one two three.\n\nfour five six.",
+        "<title>t</title>" + art: "one two three.\n\nfour five six.",
+        "<head><meta charset=x><link rel=a><article><p>a</p></article>": "a",
+        '<article><svg class="i"/><math/><p>one</p></article>': "one",
+        "<article><svg><path d='x'/><text>no</text></svg><p>one</p></article>": "one",
+        '<p title="abc>t</p><p>next "quoted" one</p>': 't\n\nnext "quoted" one',
+        "<p title='abc>t</p><p>it's fine</p>": "t\n\nit's fine",
+        '<p title="a > b">t</p><p title="a <b> c">u</p>': "t\n\nu",
+    }
+    for source, want in cases.items():
+        page = H.Page(source)
+        assert page.text(np.ones(len(page.tag), bool)) == want
