@@ -36,7 +36,7 @@ from .common import cut_lineage, numbered, pack, pick, release, unpack
 from .textcode import flat, lowered, word_spans
 
 #: bytes of one language in a shard
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 21
 _ENDS = np.zeros(256, bool)
 _ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _OUTSIDE = _ENDS.copy()
