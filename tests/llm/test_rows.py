@@ -192,18 +192,26 @@ def test_only_hiding_attributes_hide(spark):
 def test_unigram(docs, plain, spark, none):
     train = lambda i: zlib.crc32(str(i).encode()) % 10 != 0
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"), (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) != 0).alias("train"))
-    got = {r["doc_id"]: r for r in rows.join(unigram_scores(rows), "uid").collect()}
     count, ends = {}, sum(train(i) for i, _ in plain)
     for i, t in plain:
         for w in X.words(t) if train(i) else ():
             count[w] = count.get(w, 0) + 1
     n, v = sum(count.values()) + ends, len(count) + 1
-    for i, t in plain:
-        log = lambda c: math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-        want = sum(log(count.get(w, 0)) for w in X.words(t)) + log(ends)
-        r = got[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(X.words(t)) + 1, sum(w in count for w in X.words(t)) + 1, n)
-        assert abs(r["base_score"] - want) < 1e-6 * max(1, abs(want))
+    log = lambda c: math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+    # all words broadcast, some of them, none; a row that occurs twice
+    for hot, frame in ((1 << 20, rows), (40, rows.union(rows.limit(5))), (1, rows)):
+        scores = unigram_scores(frame, hot=hot)
+        assert scores.count() == rows.count()
+        if frame is not rows:
+            continue
+        got = {r["doc_id"]: r for r in rows.join(scores, "uid").collect()}
+        for i, t in plain:
+            want = sum(log(count.get(w, 0)) for w in X.words(t)) + log(ends)
+            r = got[i]
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(X.words(t)) + 1, sum(w in count for w in X.words(t)) + 1, n)
+            assert abs(r["base_score"] - want) < 1e-6 * max(1, abs(want))
+    some = {r["doc_id"]: r for r in rows.join(unigram_scores(rows, hot=40), "uid").collect()}
+    assert all(some[i]["n_known"] == got[i]["n_known"] and abs(some[i]["base_score"] - got[i]["base_score"]) < 1e-6 * abs(got[i]["base_score"]) for i, _ in plain)
     assert unigram_scores(rows.limit(0)).count() == 0
 
 
