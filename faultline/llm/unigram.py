@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import cut_lineage, pack, parts_of, release, unpack
 from .postings import deal, rows_of
-from .textcode import U64, flat, pieces, words
+from .textcode import U64, flat, mix, pieces, words
 
 #: bound on the words that are broadcast, 16 bytes each
 HOT = 1 << 20
@@ -98,19 +98,33 @@ def _scored(parts: int, shared, known_from: float):
     return run
 
 
-def _answered(smooth: float, entries: pa.Table, counts: pa.Table) -> pa.Table:
-    """Log counts and known tokens of a part's rarer words, summed by row."""
-    blobs = entries.column("blob").to_pylist()
-    if not blobs:
-        return pa.table({"uid": pa.array([], pa.int64()), "logs": pa.array([], pa.float64()), "known": pa.array([], pa.int64())})
-    uid, size, word = (np.concatenate(x) for x in zip(*(unpack(b, U64, np.int32, U64) for b in blobs)))
-    name, n = counts.column("word").to_numpy().view(U64), counts.column("n").to_numpy()
-    order = np.argsort(name)
-    total = n[order][np.searchsorted(name[order], word)]
+def _answered(parts: int, smooth: float):
+    """Log counts and known tokens of a part's rarer words, summed by row, dealt by row."""
+    def run(entries: pa.Table, counts: pa.Table) -> pa.Table:
+        blobs = entries.column("blob").to_pylist()
+        if not blobs:
+            return pa.Table.from_batches([rows_of([], [])])
+        uid, size, word = (np.concatenate(x) for x in zip(*(unpack(b, U64, np.int32, U64) for b in blobs)))
+        name, n = counts.column("word").to_numpy().view(U64), counts.column("n").to_numpy()
+        order = np.argsort(name)
+        total = n[order][np.searchsorted(name[order], word)]
+        names, at = np.unique(uid, return_inverse=True)
+        entry = np.repeat(at, size)
+        logs = np.bincount(entry, np.log10(total + smooth), len(names))
+        known = np.bincount(entry, total > 0, len(names)).astype(np.int64)
+        keys, out = [], []
+        for part, _, _, place in deal(mix(names), np.zeros(len(names), np.int64), parts):
+            keys.append(part)
+            out.append(pack(names[place], logs[place], known[place]))
+        return pa.Table.from_batches([rows_of(keys, out)])
+    return run
+
+
+def _by_row(group: pa.Table) -> pa.Table:
+    uid, logs, known = (np.concatenate(x) for x in zip(*(unpack(b, U64, np.float64, np.int64) for b in group.column("blob").to_pylist())))
     names, at = np.unique(uid, return_inverse=True)
-    entry = np.repeat(at, size)
-    return pa.table({"uid": names.view(np.int64), "logs": np.bincount(entry, np.log10(total + smooth), len(names)),
-                     "known": np.bincount(entry, total > 0, len(names)).astype(np.int64)})
+    return pa.table({"uid": names.view(np.int64), "logs": np.bincount(at, logs, len(names)),
+                     "known": np.bincount(at, known, len(names)).astype(np.int64)})
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +157,8 @@ def unigram_scores(rows: DataFrame, smooth: float = 0.1, hot: int = HOT) -> Data
     own = stored.where("key < 0").select("blob").mapInArrow(_rows, "uid long, n_words long, logs double, known long")
     rare = (stored.where("key >= 0").groupBy("key")
             .cogroup(counts.where(F.col("seen") < least).groupBy("key"))
-            .applyInArrow(_pair(smooth), "uid long, logs double, known long"))
+            .applyInArrow(_answered(parts, smooth), "key long, blob binary")
+            .groupBy("key").applyInArrow(_by_row, "uid long, logs double, known long"))
     both = own.withColumn("times", F.lit(1)).unionByName(
         rare.select("uid", F.lit(None).cast("long").alias("n_words"), "logs", "known", F.lit(0).alias("times")))
     per_row = both.groupBy("uid").agg(F.sum("times").alias("times"), F.max("n_words").alias("n_words"),
@@ -154,9 +169,3 @@ def unigram_scores(rows: DataFrame, smooth: float = 0.1, hot: int = HOT) -> Data
         ((F.col("known") / F.col("times")).cast("long") + int(ends > 0)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("logs") / F.col("times") + float(np.log10(ends + smooth)) - (F.col("n_words") + 1) * scale).alias("base_score"))
-
-
-def _pair(smooth: float):
-    def run(entries: pa.Table, counts: pa.Table) -> pa.Table:
-        return _answered(smooth, entries, counts)
-    return run
