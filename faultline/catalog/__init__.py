@@ -4,7 +4,7 @@ from .base import ORACLES, QUERIES
 
 
 def _load() -> None:
-    from . import evidence, metrics, normalize, quality, rules  # noqa: F401
+    from . import evidence, metrics, normalize, quality, rules, stores  # noqa: F401
 
 
 def all_queries():

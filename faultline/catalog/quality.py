@@ -77,6 +77,18 @@ def _(spark, sf):
     return c.select("conv_id", "turn", TR.variant_as_text(F.parse_json(json)).alias("as_text"))
 
 
+@query("content_as_text_deep", "conv_id:i turn:i as_text:s",
+       """SELECT conv_id, turn, repeat('a]b"[c' || chr(10) || role || chr(10), CAST(conv_id % 23 + 1 AS INTEGER)) || 't' AS as_text
+       FROM conversations""")
+def _(spark, sf):
+    """Lists nested up to 23 deep, with brackets and quotes inside their strings."""
+    c = T.table(spark, sf, "conversations")
+    depth = (F.col("conv_id") % 23 + 1).cast("int")
+    opened = F.concat(F.lit('["a]b\\"[c", [], "'), F.col("role"), F.lit('", null, '))
+    json = F.concat(F.repeat(opened, depth), F.lit('{"text": "t"}'), F.repeat(F.lit("]"), depth))
+    return c.select("conv_id", "turn", TR.variant_as_text(F.parse_json(json)).alias("as_text"))
+
+
 @query("enrich_levels", "subset:s file_id:s level:s level_scale:s",
        f"""SELECT l.{KEY.replace(', ', ', l.')}, coalesce(CAST(b.item_id % 3 + 1 AS VARCHAR), '') AS level,
          CASE WHEN b.item_id IS NULL THEN 'absent' ELSE 'numeric' END AS level_scale

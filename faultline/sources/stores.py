@@ -1,5 +1,8 @@
 """Stored tables: records, scores, predictions, folds, result text."""
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as V
@@ -7,6 +10,8 @@ from ..functions.text import icase
 from ..operators.normalize import NormalizationError, apply_folds
 from ..schema import GRID_ROW, K, STEP_SCORE
 
+MANIFEST = "version long, folder string, hashes map<string, string>"
+
 
 def write_records(trajectories: DataFrame, path: str, fmt: str = "parquet") -> None:
     trajectories.write.mode("overwrite").partitionBy("subset").format(fmt).save(path)
@@ -130,21 +135,55 @@ def fingerprint(df: DataFrame) -> DataFrame:
         F.coalesce("b", F.lit(0)).cast("string")), 256), 1, 16).alias("content_hash"))
 
 
+def _manifest(spark: SparkSession, path: str) -> list:
+    """Committed snapshots, oldest first; none where nothing was committed."""
+    try:
+        rows = spark.read.schema(MANIFEST).json(f"{path}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return sorted(rows.collect(), key=lambda r: (r["version"], r["folder"]))  # one row per commit
+
+
+def save_snapshot(spark: SparkSession, path: str, **tables: DataFrame) -> int:
+    """Commit tables that belong together and return their version.
+
+    Every commit writes a folder of its own; a row in the manifest, written last as one
+    file, names it with the content hash of each table. Readers follow the manifest, so a
+    commit that stopped half way is never seen and an older snapshot stays readable. Of
+    two commits that take the same version at once every reader sees the same one.
+    """
+    folder, hashes = uuid.uuid4().hex, {}
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{folder}/{name}")
+        back = spark.read.schema(df.schema).parquet(f"{path}/{folder}/{name}")
+        hashes[name] = fingerprint(back).first()["content_hash"]
+    version = max((r["version"] for r in _manifest(spark, path)), default=0) + 1
+    spark.createDataFrame([(version, folder, hashes)], MANIFEST).coalesce(1).write.mode("append").json(
+        f"{path}/manifest")
+    return version
+
+
+def load_snapshot(spark: SparkSession, path: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The tables of the latest (or the given) version; edited tables are refused."""
+    rows = [r for r in _manifest(spark, path) if version in (None, r["version"])]
+    if not rows:
+        raise NormalizationError(f"{path}: no committed snapshot")
+    out = {}
+    for name, want in rows[-1]["hashes"].items():
+        out[name] = spark.read.parquet(f"{path}/{rows[-1]['folder']}/{name}")
+        if fingerprint(out[name]).first()["content_hash"] != want:
+            raise NormalizationError(f"{path}: {name}: content hash mismatch")
+    return out
+
+
 def save_folds(stats: DataFrame, thresholds: DataFrame, path: str) -> None:
-    """Fold statistics and thresholds with a content hash beside each."""
-    for name, df in (("stats", stats), ("thresholds", thresholds)):
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        back = df.sparkSession.read.parquet(f"{path}/{name}")
-        fingerprint(back).write.mode("overwrite").parquet(f"{path}/{name}_hash")
+    """Fold statistics and thresholds, committed together."""
+    save_snapshot(stats.sparkSession, path, stats=stats, thresholds=thresholds)
 
 
 def load_folds(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Refuses tables edited after they were fitted."""
-    out = []
-    for name in ("stats", "thresholds"):
-        df = spark.read.parquet(f"{path}/{name}")
-        want = spark.read.parquet(f"{path}/{name}_hash").first()["content_hash"]
-        if fingerprint(df).first()["content_hash"] != want:
-            raise NormalizationError(f"{path}/{name}: content hash mismatch")
-        out.append(df)
-    return out[0], out[1]
+    got = load_snapshot(spark, path)
+    return got["stats"], got["thresholds"]

@@ -36,41 +36,62 @@ def require(df: DataFrame, names: list[str], where: str = "source") -> Column:
     raise SourceError(f"{where}: none of {names} present; saw {sorted(df.columns)[:12]}")
 
 
-def variant_as_text(v: Column, depth: int = 8) -> Column:
+def list_depth(v: Column) -> Column:
+    """How deep lists are nested in a value, at least 1. Brackets inside strings do not
+    count; lists inside objects do."""
+    bare = F.regexp_replace(F.regexp_replace(F.to_json(v), r"\\.", ""), '"[^"]*"', "")
+    opens = lambda x: F.when(x == "[", F.lit(1)).otherwise(F.lit(0))
+    depth = F.aggregate(
+        F.split(F.regexp_replace(bare, r"[^\[\]]", ""), ""),
+        F.struct(F.lit(0).alias("now"), F.lit(1).alias("most")),
+        lambda d, x: F.struct(
+            (d["now"] + opens(x) - F.when(x == "]", F.lit(1)).otherwise(F.lit(0))).alias("now"),
+            F.greatest(d["most"], d["now"] + opens(x)).alias("most")))
+    return depth["most"]
+
+
+def _kind(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+
+
+def flat_items(v: Column) -> Column:
+    """The items of a list and of all lists in it, in order: one level is opened per round,
+    as many rounds as the value is deep."""
+    return F.aggregate(
+        F.sequence(F.lit(1), list_depth(v)), F.array(v),
+        lambda items, _: F.flatten(F.transform(items, lambda x: F.when(
+            _kind(x).startswith("ARRAY"), F.try_variant_get(x, F.lit("$"), "array<variant>"))
+            .otherwise(F.array(x)))))
+
+
+def variant_as_text(v: Column) -> Column:
     """Text of a value of any JSON type without discarding structure.
 
-    Lists join their non-empty parts by newline (an object counts as its
-    ``text``); objects give the first string of text, content, output, message,
-    and otherwise their JSON. The expression grows by one level per ``depth``; lists nested
-    deeper stay JSON.
+    Lists of any depth join their non-empty parts by newline (an object counts as its
+    ``text``); objects give the first string of text, content, output, message, and
+    otherwise their JSON.
     """
-    kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
-
-    def string_of(path):
-        s = F.try_variant_get(v, F.lit(path), "variant")
-        return F.when(F.schema_of_variant(s) == "STRING", F.try_variant_get(s, F.lit("$"), "string"))
-
-    scalar = F.try_variant_get(v, F.lit("$"), "string")
-    obj = F.coalesce(*[string_of(f"$.{k}") for k in V.TEXT_KEYS], F.to_json(v))
-    out = (
-        F.when(v.isNull() | (kind == "VOID"), F.lit(""))
-        .when(kind == "STRING", scalar)
-        .when(kind == "BOOLEAN", F.initcap(scalar))
-        .when(kind.startswith("OBJECT"), obj)
-    )
-    if depth > 0:
-        def part(item):
-            inner = F.try_variant_get(item, F.lit("$.text"), "variant")
-            keyed = F.schema_of_variant(item).startswith("OBJECT") & inner.isNotNull()
-            return F.when(keyed, F.try_variant_get(inner, F.lit("$"), "string")).otherwise(
-                variant_as_text(item, depth - 1))
-
-        items = F.try_variant_get(v, F.lit("$"), "array<variant>")
-        joined = F.array_join(F.filter(F.transform(items, part), lambda t: t != ""), "\n")
-        out = out.when(kind.startswith("ARRAY"), joined)
-    else:
-        out = out.when(kind.startswith("ARRAY"), F.to_json(v))
-    return out.otherwise(scalar)
+    def plain(x: Column) -> Column:
+        def string_of(path):
+            s = F.try_variant_get(x, F.lit(path), "variant")
+            return F.when(F.schema_of_variant(s) == "STRING", F.try_variant_get(s, F.lit("$"), "string"))
+
+        kind, scalar = _kind(x), F.try_variant_get(x, F.lit("$"), "string")
+        return (
+            F.when(x.isNull() | (kind == "VOID"), F.lit(""))
+            .when(kind == "STRING", scalar)
+            .when(kind == "BOOLEAN", F.initcap(scalar))
+            .when(kind.startswith("OBJECT"), F.coalesce(*[string_of(f"$.{k}") for k in V.TEXT_KEYS], F.to_json(x)))
+            .otherwise(scalar)
+        )
+
+    def part(item: Column) -> Column:
+        inner = F.try_variant_get(item, F.lit("$.text"), "variant")
+        keyed = F.schema_of_variant(item).startswith("OBJECT") & inner.isNotNull()
+        return F.when(keyed, F.try_variant_get(inner, F.lit("$"), "string")).otherwise(plain(item))
+
+    joined = F.array_join(F.filter(F.transform(flat_items(v), part), lambda t: t != ""), "\n")
+    return F.when(_kind(v).startswith("ARRAY"), joined).otherwise(plain(v))
 
 
 # --- A1, A2: readers --------------------------------------------------------

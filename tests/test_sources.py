@@ -158,8 +158,16 @@ def test_folds_refuse_edits(spark, steps, labels, tmp_path):
     stores.save_folds(stats, thr, path)
     a, b = stores.load_folds(spark, path)
     assert a.count() == stats.count() and b.count() == thr.count()
-    b.withColumn("threshold", F.lit(99.0)).write.mode("overwrite").parquet(path + "/edited")
-    spark.read.parquet(path + "/edited").write.mode("overwrite").parquet(path + "/thresholds")
+    with pytest.raises(N.NormalizationError, match="no committed"):
+        stores.load_folds(spark, str(tmp_path / "nothing"))
+    # a commit that stopped before its manifest row is not seen; an older version stays
+    thr.limit(1).write.parquet(path + "/unfinished/thresholds")
+    stores.save_folds(stats, thr.limit(2), path)
+    assert stores.load_folds(spark, path)[1].count() == 2
+    assert stores.load_snapshot(spark, path, version=1)["thresholds"].count() == thr.count()
+    stores.save_folds(stats, thr, path)
+    last = max(stores._manifest(spark, path), key=lambda r: r["version"])
+    b.withColumn("threshold", F.lit(99.0)).write.mode("overwrite").parquet(f"{path}/{last['folder']}/thresholds")
     with pytest.raises(N.NormalizationError, match="mismatch"):
         stores.load_folds(spark, path)
 
