@@ -5,22 +5,16 @@ Means and variances come from the subset totals minus the file's own moments, so
 all folds cost one aggregation instead of one refit per file.
 """
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as V
 from ..functions.stats import coefficient_of_variation, z_score
 from ..functions.text import half_even
 from ..schema import K
-from ..session import cut_lineage
+from .fold_index import BLOCKS, FOLDS_PER_TASK, POOLED, best_cuts, objective_of
 from .metrics import auroc
 from .sequence import AUTO, exact_quantiles, join_files, resolve
 
-POOLED = ""
-CHUNKS = 64
-HIST_ROWS = 500_000
-
 
 class NormalizationError(RuntimeError):
     """Statistics that cannot be fitted or applied."""
@@ -137,10 +131,7 @@ def _best_cut(cells: DataFrame, keys: list[str], objective: str) -> DataFrame:
         .withColumn("n_bad", F.sum("bad").over(whole)).withColumn("n_ok", F.sum("ok").over(whole))
     )
     tp, fp = F.col("tp"), F.col("fp")
-    if objective == "f1":
-        v = (2 * tp) / (2 * tp + fp + (F.col("n_bad") - tp))
-    else:
-        v = tp / F.col("n_bad") - fp / F.col("n_ok")
+    v = objective_of(tp, fp, F.col("n_ok"), F.col("n_bad"), objective)
     both = (F.col("n_bad") > 0) & (F.col("n_ok") > 0)
     best = c.groupBy(*keys).agg(
         F.max(F.when(both, F.struct(v.alias("v"), (-F.col("k")).alias("nk")))).alias("b"))
@@ -166,108 +157,19 @@ def choose_threshold(rows: DataFrame, keys: list[str], z: str = "z", correct: st
 
 
 def fit_loo_thresholds(labelled: DataFrame, stats: DataFrame, objective: str = "f1",
-                       bins: int | None = None, hist_rows: int = HIST_ROWS,
-                       chunks: int = CHUNKS) -> DataFrame:
+                       bins: int | None = None, blocks: int = BLOCKS,
+                       folds_per_task: int = FOLDS_PER_TASK) -> DataFrame:
     """Thresholds of every fold: cell '' over all types, plus one per typed cell.
 
-    The training z of a row depends on the fold, so the exact answer visits
-    folds x distinct scores. Equal scores of a type are counted as one row first,
-    and the fold's own rows enter with negative counts. While that histogram is
-    small (its size is checked against ``hist_rows``) it is broadcast and folds
-    are scanned in place, with no shuffle of the product; beyond it, the product
-    is a join spread over ``chunks`` parts and reduced to z cells on the map side.
-
-    ``bins`` rounds scores to that many steps of the unit interval, which bounds
-    the histogram whatever the corpus.
+    The training z of a row depends on the fold. All folds ask one index of the scores
+    (:mod:`.fold_index`) that skips most of it by bounds; one plan at every size, and exact.
+    Rows without a score are left out. ``bins`` rounds scores to that many steps of the unit
+    interval, which bounds the index whatever the corpus.
     """
     rows = labelled
     if bins:
         rows = rows.withColumn("p_raw", F.rint(F.col("p_raw") * bins) / F.lit(float(bins)))
-    counts = [F.count_if("correct").alias("ok"), F.count_if(~F.col("correct")).alias("bad")]
-    own = cut_lineage(rows.groupBy(*K, "type_norm", "p_raw").agg(*counts))
-    hist = cut_lineage(own.groupBy("subset", "type_norm", "p_raw").agg(
-        F.sum("ok").alias("ok"), F.sum("bad").alias("bad")))
-    folds = fold_map(stats)
-    if hist.limit(hist_rows + 1).count() <= hist_rows:
-        return _scan_folds(folds, own, hist, objective)
-    # spread the two subset keys over many partitions on both sides
-    part = F.pmod(F.xxhash64("p_raw", "type_norm"), F.lit(chunks)).cast("int")
-    train = folds.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).join(
-        hist.withColumn("_c", part), ["subset", "_c"]).drop("_c")
-    minus = own.withColumn("ok", -F.col("ok")).withColumn("bad", -F.col("bad"))
-    both = train.unionByName(folds.join(minus, K))
-    typed = F.try_element_at("stats", F.col("type_norm")).isNotNull()
-    scopes = F.when(typed, F.array(F.lit(POOLED), F.col("type_norm"))).otherwise(
-        F.array(F.lit(POOLED)))
-    c = _cell_stats(True)
-    scored = both.select(*K, F.explode(scopes).alias("cell"),
-                         z_score("p_raw", c["mean"], c["sd"]).alias("z"), "ok", "bad")
-    return _best_cut(_cells(scored, [*K, "cell"]), [*K, "cell"], objective)
-
-
-def _scan_folds(folds: DataFrame, own: DataFrame, hist: DataFrame, objective: str) -> DataFrame:
-    """Every fold against the broadcast training histogram of its subset."""
-    tables = {
-        subset: {"type": part["type_norm"].to_numpy(), "p": part["p_raw"].to_numpy(),
-                 "ok": part["ok"].to_numpy(), "bad": part["bad"].to_numpy()}
-        for subset, part in hist.toPandas().groupby("subset")}
-    shared = folds.sparkSession.sparkContext.broadcast(tables)
-    mine = own.groupBy(*K).agg(F.collect_list(F.struct("type_norm", "p_raw", "ok", "bad")).alias("own"))
-    cells = F.transform(F.map_entries("stats"), lambda e: F.struct(
-        e["key"].alias("cell"), e["value"]["mean"].alias("mean"), e["value"]["sd"].alias("sd")))
-    # few rows, much work per row: keep AQE from folding them into one task
-    parts = int(folds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = folds.join(mine, K, "left").select(*K, cells.alias("cells"), "own").repartition(parts, *K)
-
-    def scan(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                for cell, cut in fold_cuts(shared.value[r.subset], r.cells, r.own, objective):
-                    out.append((r.subset, r.file_id, cell, cut))
-            yield pd.DataFrame(out, columns=["subset", "file_id", "cell", "threshold"])
-
-    return rows.mapInPandas(scan, "subset string, file_id string, cell string, threshold double")
-
-
-def fold_cuts(table: dict, cells, own, objective: str = "f1"):
-    """(cell, threshold) of one fold from its subset's histogram minus its own."""
-    own = [] if own is None else list(own)
-    kinds = np.concatenate([table["type"], np.array([o["type_norm"] for o in own], dtype=object)])
-    p = np.concatenate([table["p"], np.array([o["p_raw"] for o in own], dtype=float)])
-    ok = np.concatenate([table["ok"], -np.array([o["ok"] for o in own], dtype="int64")])
-    bad = np.concatenate([table["bad"], -np.array([o["bad"] for o in own], dtype="int64")])
-    fit = {c["cell"]: (c["mean"], max(c["sd"], V.MIN_SD)) for c in cells}
-    z = (p - fit[POOLED][0]) / fit[POOLED][1]
-    masks = {POOLED: slice(None)}
-    for cell, (mean, sd) in fit.items():
-        if cell != POOLED:
-            masks[cell] = kinds == cell
-            z[masks[cell]] = (p[masks[cell]] - mean) / sd
-    for cell, m in masks.items():
-        yield cell, _scan_cut(z[m], ok[m], bad[m], objective)
-
-
-def _scan_cut(z, ok, bad, objective: str) -> float:
-    rounded = np.rint(z * 1000.0)
-    below = z < rounded / 1000.0
-    k, at = np.unique(rounded.astype("int64"), return_inverse=True)
-
-    def total(w):
-        return np.rint(np.bincount(at, weights=w, minlength=len(k)))
-
-    n_ok, n_bad = total(ok), total(bad)
-    tp = np.cumsum(n_bad) - n_bad + total(np.where(below, bad, 0))
-    fp = np.cumsum(n_ok) - n_ok + total(np.where(below, ok, 0))
-    all_ok, all_bad = n_ok.sum(), n_bad.sum()
-    if all_ok <= 0 or all_bad <= 0:
-        return 0.0
-    if objective == "f1":
-        v = 2 * tp / (2 * tp + fp + (all_bad - tp))
-    else:
-        v = tp / all_bad - fp / all_ok
-    v[(n_ok + n_bad) <= 0] = -np.inf
-    return float(k[int(np.argmax(v))]) / 1000.0
+    return best_cuts(rows, fold_map(stats), objective, blocks, folds_per_task)
 
 
 def thresholds_for(thresholds: DataFrame, typed: bool = True) -> DataFrame:

@@ -122,9 +122,9 @@ def test_fold_thresholds_match_a_refit(spark, steps, labels, objective):
         for cell in cells:
             part = [(x, y) for t, x, y in z if cell in ("", t)]
             want[(*key, cell)] = refit(part, objective)
-    for hist_rows in (10**6, 1):  # broadcast scan, spread join
+    for blocks, per_task in ((10**6, 512), (7, 2), (2, 1), (1, 3)):  # a block per score, opened blocks
         got = {(r.subset, r.file_id, r.cell): r.threshold
-               for r in N.fit_loo_thresholds(lab, stats, objective, hist_rows=hist_rows, chunks=3).collect()}
+               for r in N.fit_loo_thresholds(lab, stats, objective, blocks=blocks, folds_per_task=per_task).collect()}
         assert got == pytest.approx(want)
 
 
