@@ -161,11 +161,13 @@ class _Line:
 
 def _frame(parts: list[dict]) -> pd.DataFrame:
     """One frame of parts whose columns are arrays, or one value for all rows of the part."""
+    if not parts:  # no fold of the subset fell to this task
+        return pd.DataFrame(columns=NAMES)
     sizes = [len(p["zone"]) for p in parts]
     blank = dict.fromkeys(NAMES, 0) | {"kind": "", "mean": 0.0, "sd": 0.0}
     return pd.DataFrame({name: np.concatenate([
         v if isinstance(v := p.get(name, blank[name]), np.ndarray) else np.full(n, v, object if isinstance(v, str) else None)
-        for p, n in zip(parts, sizes)]) if parts else [] for name in NAMES})
+        for p, n in zip(parts, sizes)]) for name in NAMES})
 
 
 def _before(counts):
