@@ -400,7 +400,8 @@ def embed_divergence(vectors: DataFrame, vector: str = "vector",
     prefix and is not a candidate.
 
     Vector sums are taken per (trajectory, block): each block starts from the sum
-    of the blocks before it, so a long trajectory is many independent tasks.
+    of the blocks before it, so a long trajectory is many independent tasks. Inside a
+    block, sorted Arrow batches stream past the running sum: a task holds one batch.
     """
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     unit = F.transform(vector, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
@@ -426,23 +427,28 @@ def embed_divergence(vectors: DataFrame, vector: str = "vector",
             "_cn", F.lit(0).cast("long"))
     out = "subset string, file_id string, step_idx int, embed_divergence double, candidate boolean"
 
-    def cosines(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step_idx")
-        m = np.stack(pdf[vector].to_numpy()).astype("float64")
-        first = pdf["_carry"].iloc[0]
-        start = np.zeros(m.shape[1]) if first is None else np.asarray(first, dtype="float64")
-        n0 = 0 if first is None else int(pdf["_cn"].iloc[0])
-        before = start + np.cumsum(m, axis=0) - m
-        count = n0 + np.arange(len(m))
-        norm = np.linalg.norm(before, axis=1) * np.linalg.norm(m, axis=1)
-        dot = np.einsum("ij,ij->i", before, m)
-        cos = np.divide(dot, norm, out=np.zeros(len(m)), where=norm > 0)
-        p = np.where(count > 0, (1.0 + cos) / 2.0, np.nan)
-        return pd.DataFrame({
-            "subset": pdf["subset"], "file_id": pdf["file_id"], "step_idx": pdf["step_idx"],
-            "embed_divergence": p, "candidate": count > 0})
-
-    got = rows.groupBy(*block_keys(block)).applyInPandas(cosines, out)
+    keys = block_keys(block)
+
+    def cosines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # the sum and count before the next row of the block that the last batch ended in
+        now, total, count = None, None, 0
+        for pdf in batches:
+            for key, part in pdf.groupby(keys, sort=False, dropna=False):
+                m = np.stack(part[vector].to_numpy()).astype("float64")
+                if key != now:
+                    first = part["_carry"].iloc[0]
+                    total = np.zeros(m.shape[1]) if first is None else np.asarray(first, dtype="float64")
+                    now, count = key, 0 if first is None else int(part["_cn"].iloc[0])
+                upto = np.cumsum(np.vstack([total, m]), axis=0)
+                before, total = upto[:-1], upto[-1]
+                seen, count = count + np.arange(len(m)), count + len(m)
+                norm = np.linalg.norm(before, axis=1) * np.linalg.norm(m, axis=1)
+                cos = np.divide(np.einsum("ij,ij->i", before, m), norm, out=np.zeros(len(m)), where=norm > 0)
+                yield pd.DataFrame({
+                    "subset": part["subset"], "file_id": part["file_id"], "step_idx": part["step_idx"],
+                    "embed_divergence": np.where(seen > 0, (1.0 + cos) / 2.0, np.nan), "candidate": seen > 0})
+
+    got = rows.repartition(*keys).sortWithinPartitions(*keys, "step_idx").mapInPandas(cosines, out)
     return got.withColumn("embed_divergence", F.when(F.col("candidate"), F.col("embed_divergence")))
 
 

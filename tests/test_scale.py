@@ -69,6 +69,13 @@ def test_embed_divergence_in_blocks(spark):
     whole = as_set(S.embed_divergence(v, block=None), 8)
     assert as_set(S.embed_divergence(v, block=3), 8) == whole
     assert sum(1 for r in whole if r[0] is False) == 3
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)  # blocks over many batches
+    try:
+        assert as_set(S.embed_divergence(v, block=None), 8) == whole
+        assert as_set(S.embed_divergence(v, block=3), 8) == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def test_hot_keys_are_split_exactly(spark):
