@@ -274,18 +274,16 @@ def two_stage(scores: DataFrame, thresholds: list[str] | None = None,
     picked = s.groupBy(*K).agg(
         F.min(F.struct("p", "step_idx", "agent_raw", "agent")).alias("low"),
         (F.max("step_idx") + 1).alias("n_steps"))
-    mine = join_files(s, picked, "inner", block).filter(F.col("agent") == F.col("low.agent"))
-    stats = mine.groupBy(*K).agg(
-        F.avg("p").alias("mu"), F.stddev_pop("p").alias("sd"),
-        F.first("low").alias("low"), (F.max("step_idx") + 1).alias("n_steps"))
+    mine = join_files(s, picked, "inner", block).filter(F.col("agent") == F.col("low.agent")).drop("n_steps")
+    # sums in step order: a step that equals the mean of its agent falls on the same side of
+    # it however the rows are dealt
+    rows = file_frame(mine, "p", block=block).withColumnsRenamed({"mean": "mu"})
     if "median" in names:
-        stats = stats.join(exact_median(mine, K, "p", "med"), K)
+        rows = (rows.withColumn("med", F.median("p").over(Window.partitionBy(*K))) if not block else
+                join_files(rows, exact_median(mine, K, "p", "med").join(picked.select(*K, "n_steps"), K), "inner", block))
     cut = {"mean": lambda: F.col("mu"), "median": lambda: F.col("med"),
            "mean-0.5sd": lambda: F.col("mu") - F.lit(0.5) * F.col("sd"),
            "mean-1sd": lambda: F.col("mu") - F.col("sd")}
-    extra = ["med"] if "median" in names else []
-    rows = join_files(mine.drop("low", "n_steps"),
-                      stats.select(*K, "mu", "sd", "low", "n_steps", *extra), "inner", block)
     wide = rows.groupBy(*K).agg(
         F.first("low").alias("low"),
         *[F.min(F.when(F.col("p") < cut[n](), F.col("step_idx"))).alias(f"h{i}")

@@ -277,3 +277,21 @@ def test_transcripts_past_the_first_fit(spark):
     for resume, want in ((False, [gone, *full[1:]]), (True, [gone, full[1], gone, full[3]])):
         got = S.transcripts(s, asked(s), cap=90, resume=resume).first()
         assert got.transcript == "\n".join(want)
+
+
+def test_two_stage_sums_in_step_order(spark):
+    """A step that equals its agent's mean is on the same side of it in any order of the rows."""
+    values = [0.3, 0.1, 0.2, 0.1, 0.5, 0.3, 0.6, 0.3]
+    rows = [("alg", f"f{f}", i, "A", "A", "t", "plan", "parsed", v / 491, True)
+            for f in range(40) for i, v in enumerate([sum(values) / len(values), *values])]
+    want = {}
+    for f in range(40):
+        ps = [r[8] for r in rows if r[1] == f"f{f}"]
+        mu = 0.0
+        for p in ps:
+            mu += p
+        want[f"f{f}"] = next(i for i, p in enumerate(ps) if p < mu / len(ps))
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        got = R.two_stage(spark.createDataFrame(rows, SCHEMA).repartition(7), ["mean"])
+        assert {r.file_id: r.pred_step for r in got.collect()} == want
