@@ -24,7 +24,8 @@ from .sequence import running_total
 
 POOLED = ""
 BLOCKS = 16_384
-FOLDS_PER_TASK = 64
+FOLDS_PER_TASK = 128
+RUNS = 256
 
 FOUND = ("subset string, file_id string, cell string, asks boolean, zone long, last long, k long, ok long, "
          "bad long, lo_ok long, lo_bad long, n_ok long, n_bad long, kind string, block long, mean double, sd double")
@@ -73,7 +74,7 @@ def best_cuts(labelled: DataFrame, folds: DataFrame, objective: str = "f1",
         F.transform(fits, lambda e: e["value"]["sd"]).alias("sds"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        lines = {r.kind: (r.p_lo, r.p_hi, r.ok, r.bad) for r in right.itertuples()}
+        lines = {r.kind: _Kind(r.p_lo, r.p_hi, r.ok, r.bad) for r in right.itertuples()}
         return _frame([part for fold in left.itertuples() for part in fold_zones(fold, lines, objective)])
 
     # few bytes, much work: partitions by number, which are not merged for their small size
@@ -131,32 +132,75 @@ def objective_of(tp, fp, n_ok, n_bad, objective: str):
     return tp / n_bad - fp / n_ok
 
 
+class _Kind:
+    """The blocks of one type over all files, and runs of neighbouring blocks."""
+
+    def __init__(self, p_lo, p_hi, ok, bad):
+        self.p_lo, self.p_hi = np.asarray(p_lo, float), np.asarray(p_hi, float)
+        self.ok, self.bad = (_before(np.asarray(c, "int64")) for c in (ok, bad))
+        size = -(-len(self.p_lo) // RUNS)
+        self.starts = np.arange(0, len(self.p_lo), size)
+        self.ends = np.append(self.starts[1:], len(self.p_lo))
+
+
 class _Line:
-    """The blocks of one type under one fold's fit, with the fold's own counts taken out."""
-
-    def __init__(self, p_lo, p_hi, ok, bad, at, own_ok, own_bad, mean, sd):
-        ok, bad = np.array(ok, "int64"), np.array(bad, "int64")
-        np.subtract.at(ok, at, own_ok)
-        np.subtract.at(bad, at, own_bad)
-        touched = np.zeros(len(ok), bool)
-        touched[at] = True
-        self.block = np.flatnonzero(ok + bad > 0)
-        ok, bad, touched = ok[self.block], bad[self.block], touched[self.block]
-        self.mean, self.sd = mean, sd
-        self.z_lo = (np.asarray(p_lo)[self.block] - mean) / max(sd, V.MIN_SD)
-        self.z_hi = (np.asarray(p_hi)[self.block] - mean) / max(sd, V.MIN_SD)
+    """One type under one fold's fit, with the fold's own counts taken out."""
+
+    def __init__(self, table: _Kind, at, own_ok, own_bad, mean, sd):
+        self.table, self.at, self.mean, self.sd = table, at, mean, sd
+        self.own = {"ok": _before(own_ok), "bad": _before(own_bad)}
+        self.n_ok, self.n_bad = (int(self._rows(side, np.array([len(table.p_lo)]))[0]) for side in ("ok", "bad"))
+        self.runs = _Blocks(self, table.starts, table.ends)
+
+    def _rows(self, side: str, blocks):
+        """Rows of the other files before each block."""
+        return getattr(self.table, side)[blocks] - self.own[side][np.searchsorted(self.at, blocks)]
+
+    def _z(self, p):
+        return (p - self.mean) / max(self.sd, V.MIN_SD)
+
+    def blocks(self, spans) -> "_Blocks":
+        """The blocks that reach into the spans of candidates, and the next block on either
+        side: the counts before any candidate of a span are then those of all blocks."""
+        t, runs = self.table, self.runs
+        take = np.zeros(len(t.p_lo), bool)
+        for a, c in zip(np.maximum(np.searchsorted(runs.k_hi, spans[0]) - 1, 0).tolist(),
+                        np.minimum(np.searchsorted(runs.k_lo, spans[1], "right"), len(t.starts) - 1).tolist()):
+            take[t.starts[min(a, len(t.starts) - 1)]:t.ends[c]] = True
+        return _Blocks(self, *(lambda i: (i, i + 1))(np.flatnonzero(take)))
+
+
+class _Blocks:
+    """Edges and counts of blocks, or of runs of them, from ``starts`` up to ``ends``."""
+
+    def __init__(self, line: _Line, starts, ends):
+        t, at = line.table, line.at
+        self.block = starts
+        self.z_lo, self.z_hi = line._z(t.p_lo[starts]), line._z(t.p_hi[ends - 1])
         self.k_lo = np.rint(self.z_lo * 1000.0).astype("int64")
         self.k_hi = np.rint(self.z_hi * 1000.0).astype("int64")
-        self.ok, self.bad = _before(ok), _before(bad)
-        # a block of one candidate, all on one side of it, need not be opened
+        after = ends[-1:]
+        self.ok = line._rows("ok", np.concatenate([starts, after]))
+        self.bad = line._rows("bad", np.concatenate([starts, after]))
+        ok, bad = line._rows("ok", ends) - self.ok[:-1], line._rows("bad", ends) - self.bad[:-1]
+        self.counts, self.some = (ok, bad), ok + bad > 0
         one = self.k_lo == self.k_hi
+        # the ends of a block that the fold's file has no row in are rows of other files
+        lo, hi = (self.some & (one | ~_among(at, edge)) for edge in (starts, ends - 1))
+        self.sure = np.concatenate([self.k_lo[lo], self.k_hi[hi]])
+
+    def sides(self):
+        """Counts of blocks of one candidate, all on one side of it, which need not be opened:
+        under it and over it, and the blocks left to open."""
+        (ok, bad), one = self.counts, self.k_lo == self.k_hi
         under = one & (self.z_hi < self.k_lo / 1000.0)
         over = one & (self.z_lo >= self.k_lo / 1000.0)
-        self.under_ok, self.under_bad = _before(ok * under), _before(bad * under)
-        self.over_ok, self.over_bad = _before(ok * over), _before(bad * over)
-        self.open = np.flatnonzero(~(under | over))
-        # the ends of a block that the fold's file has no row in are rows of other files
-        self.sure = np.concatenate([self.k_lo[one | ~touched], self.k_hi[one | ~touched]])
+        return (_before(ok * under), _before(bad * under), _before(ok * over), _before(bad * over),
+                np.flatnonzero(self.some & ~(under | over)))
+
+
+def _among(at, blocks):
+    return np.searchsorted(at, blocks, "right") > np.searchsorted(at, blocks)
 
 
 def _frame(parts: list[dict]) -> pd.DataFrame:
@@ -164,10 +208,15 @@ def _frame(parts: list[dict]) -> pd.DataFrame:
     if not parts:  # no fold of the subset fell to this task
         return pd.DataFrame(columns=NAMES)
     sizes = [len(p["zone"]) for p in parts]
-    blank = dict.fromkeys(NAMES, 0) | {"kind": "", "mean": 0.0, "sd": 0.0}
-    return pd.DataFrame({name: np.concatenate([
-        v if isinstance(v := p.get(name, blank[name]), np.ndarray) else np.full(n, v, object if isinstance(v, str) else None)
-        for p, n in zip(parts, sizes)]) for name in NAMES})
+    blank = dict.fromkeys(NAMES, 0) | {"subset": "", "file_id": "", "cell": "", "kind": "", "mean": 0.0, "sd": 0.0}
+    columns = {}
+    for name in NAMES:
+        values = [p.get(name, blank[name]) for p in parts]
+        if any(isinstance(v, np.ndarray) for v in values):
+            columns[name] = np.concatenate([v if isinstance(v, np.ndarray) else np.full(n, v) for v, n in zip(values, sizes)])
+        else:
+            columns[name] = np.repeat(np.array(values, object if isinstance(blank[name], str) else None), sizes)
+    return pd.DataFrame(columns)
 
 
 def _before(counts):
@@ -184,47 +233,72 @@ def fold_zones(fold, lines: dict, objective: str):
     fitted = {}
     for kind, table in lines.items():
         mine = kinds == kind
-        fitted[kind] = _Line(*table, at[mine], own_ok[mine], own_bad[mine], *fit.get(kind, fit[POOLED]))
+        fitted[kind] = _Line(table, at[mine], own_ok[mine], own_bad[mine], *fit.get(kind, fit[POOLED]))
     for cell in fit:
         parts = fitted if cell == POOLED else {cell: fitted[cell]} if cell in fitted else {}
         for part in _cell_zones(parts, objective):
             yield part | {"subset": fold.subset, "file_id": fold.file_id, "cell": cell}
 
 
-def _cell_zones(parts: dict, objective: str):
-    n_ok, n_bad = (sum(int(getattr(p, side)[-1]) for p in parts.values()) for side in ("ok", "bad"))
+def _cell_zones(lines: dict, objective: str):
+    n_ok, n_bad = sum(p.n_ok for p in lines.values()), sum(p.n_bad for p in lines.values())
     if n_ok <= 0 or n_bad <= 0:  # one class: no cut
         yield dict(asks=False, zone=np.zeros(1, "int64"), last=0, k=-1, ok=n_ok, bad=n_bad, n_ok=n_ok, n_bad=n_bad)
         return
-    points = np.unique(np.concatenate([e for p in parts.values() for e in (p.k_lo, p.k_hi)]))
-    gap = np.flatnonzero(np.diff(points) > 1)
+    # runs of blocks first: only where one of them may win are the blocks looked at
+    a, c, keep, _, least = _bounded({kind: p.runs for kind, p in lines.items()}, None, -np.inf, n_ok, n_bad, objective)
+    a, c = a[keep], c[keep]
+    order = np.argsort(a)
+    a, c = a[order], c[order]
+    apart = np.flatnonzero(a[1:] > c[:-1] + 1)
+    spans = a[np.concatenate([[0], apart + 1])], c[np.concatenate([apart, [len(c) - 1]])]
+    parts = {kind: p.blocks(spans) for kind, p in lines.items()}
+    a, c, keep, reach, _ = _bounded(parts, spans, least, n_ok, n_bad, objective)
+    zone, last = a[keep], c[keep]
+    base_ok, base_bad = (sum(getattr(p, side)[reach[kind][0][keep]] for kind, p in parts.items()) for side in ("ok", "bad"))
+    yield dict(asks=False, zone=zone, last=last, k=zone - 1, ok=base_ok, bad=base_bad, n_ok=n_ok, n_bad=n_bad)
+    for kind, p in parts.items():
+        first, end = reach[kind][0][keep], reach[kind][1][keep]
+        *sums, to_open = p.sides()
+        lo_ok, lo_bad, over_ok, over_bad = (s[end] - s[first] for s in sums)
+        ok, bad = lo_ok + over_ok, lo_bad + over_bad
+        some = ok + bad > 0
+        if some.any():
+            yield dict(asks=False, zone=zone[some], last=last[some], k=zone[some], ok=ok[some], bad=bad[some],
+                       lo_ok=lo_ok[some], lo_bad=lo_bad[some])
+        start, stop = np.searchsorted(to_open, first), np.searchsorted(to_open, end)
+        n = stop - start
+        if not n.any():
+            continue
+        which = np.repeat(np.arange(len(keep)), n)
+        step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        yield dict(asks=True, zone=zone[which], last=last[which], kind=kind,
+                   block=p.block[to_open[start[which] + step]], mean=lines[kind].mean, sd=lines[kind].sd)
+
+
+def _bounded(parts: dict, spans, least: float, n_ok: int, n_bad: int, objective: str):
+    """Zones between the edges of ``parts`` (inside ``spans`` of candidates), which of them may
+    hold the best cut, the blocks of each part that reach into them, and a value that some
+    candidate surely attains."""
+    points = np.sort(np.concatenate([*(e for p in parts.values() for e in (p.k_lo, p.k_hi)), *(spans or ())]))
+    points = points[np.concatenate([[True], points[1:] != points[:-1]])]
+    part_of = np.zeros(len(points), "int64")
+    if spans:
+        part_of = np.searchsorted(spans[0], points, "right") - 1
+        inside = (part_of >= 0) & (points <= spans[1][part_of])
+        points, part_of = points[inside], part_of[inside]
+    gap = np.flatnonzero((np.diff(points) > 1) & (part_of[1:] == part_of[:-1]))
     a = np.concatenate([points, points[gap] + 1])
     c = np.concatenate([points, points[gap + 1] - 1])
-    t_lo, t_hi, f_lo, f_hi, base_ok, base_bad = np.zeros((6, len(a)), "int64")
-    reached, spans = np.zeros(len(a), bool), {}
+    t_lo, t_hi, f_lo, f_hi = np.zeros((4, len(a)), "int64")
+    reached, reach = np.zeros(len(a), bool), {}
     for kind, p in parts.items():
         below, begun = np.searchsorted(p.z_hi, a / 1000.0), np.searchsorted(p.z_lo, c / 1000.0)
         t_lo, f_lo = t_lo + p.bad[below], f_lo + p.ok[below]
         t_hi, f_hi = t_hi + p.bad[begun], f_hi + p.ok[begun]
-        first, end = np.searchsorted(p.k_hi, a), np.searchsorted(p.k_lo, c, "right")
+        reach[kind] = first, end = np.searchsorted(p.k_hi, a), np.searchsorted(p.k_lo, c, "right")
         reached |= end > first
-        base_ok, base_bad = base_ok + p.ok[first], base_bad + p.bad[first]
-        spans[kind] = first, end
     low, high = (objective_of(t, f, n_ok, n_bad, objective) for t, f in ((t_lo, f_hi), (t_hi, f_lo)))
-    sure = (a == c) & np.isin(a, np.concatenate([p.sure for p in parts.values()]))
-    keep = np.flatnonzero(reached & (high >= (low[sure].max() if sure.any() else -np.inf)))
-    zone, last = a[keep], c[keep]
-    yield dict(asks=False, zone=zone, last=last, k=zone - 1, ok=base_ok[keep], bad=base_bad[keep], n_ok=n_ok, n_bad=n_bad)
-    for kind, p in parts.items():
-        first, end = spans[kind][0][keep], spans[kind][1][keep]
-        lo_ok, lo_bad = p.under_ok[end] - p.under_ok[first], p.under_bad[end] - p.under_bad[first]
-        ok, bad = lo_ok + p.over_ok[end] - p.over_ok[first], lo_bad + p.over_bad[end] - p.over_bad[first]
-        some = ok + bad > 0
-        yield dict(asks=False, zone=zone[some], last=last[some], k=zone[some], ok=ok[some], bad=bad[some],
-                   lo_ok=lo_ok[some], lo_bad=lo_bad[some])
-        start, stop = np.searchsorted(p.open, first), np.searchsorted(p.open, end)
-        n = stop - start
-        which = np.repeat(np.arange(len(keep)), n)
-        step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        yield dict(asks=True, zone=zone[which], last=last[which], kind=kind,
-                   block=p.block[p.open[start[which] + step]], mean=p.mean, sd=p.sd)
+    sure = (a == c) & _among(np.sort(np.concatenate([p.sure for p in parts.values()])), a)
+    least = max(least, low[sure].max() if sure.any() else -np.inf)
+    return a, c, np.flatnonzero(reached & (high >= least)), reach, least

@@ -295,3 +295,31 @@ def test_two_stage_sums_in_step_order(spark):
         random.Random(seed).shuffle(rows)
         got = R.two_stage(spark.createDataFrame(rows, SCHEMA).repartition(7), ["mean"])
         assert {r.file_id: r.pred_step for r in got.collect()} == want
+
+
+def test_fold_search_looks_at_few_blocks():
+    """Runs of blocks are bounded first: most blocks of an index are never laid out for a fold."""
+    import types
+
+    from faultline.operators import fold_index as FI
+
+    rng = np.random.default_rng(5)
+    p = np.unique(rng.random(16_000))
+    bad = (rng.random(len(p)) < np.where(p < 0.3, 0.6, 0.05)).astype(int)
+    table, seen = FI._Kind(p, p, 1 - bad, bad), []
+    fold = types.SimpleNamespace(subset="s", file_id="f", kind=np.array(["a"], object), block=np.array([7]),
+                                 ok=1 - bad[[7]], bad=bad[[7]], cells=["a", ""], means=[0.5, 0.5], sds=[0.29, 0.29])
+    blocks = FI._Line.blocks
+    try:
+        FI._Line.blocks = lambda self, spans: seen.append(blocks(self, spans)) or seen[-1]
+        found = FI._frame(list(FI.fold_zones(fold, {"a": table}, "f1")))
+    finally:
+        FI._Line.blocks = blocks
+    assert len(seen) == 2 and max(len(b.block) for b in seen) < len(p) / 5
+    own = np.arange(len(p)) != 7
+    z = ((p - 0.5) / 0.29)[own]
+    k = np.unique(np.rint(z * 1000))
+    tp, fp = (np.concatenate([[0], np.cumsum(x[own])])[np.searchsorted(z, k / 1000)] for x in (bad, 1 - bad))
+    best = int(k[np.argmax(2 * tp / (2 * tp + fp + bad[own].sum() - tp))])
+    kept = found[(found.cell == "a") & ~found.asks.astype(bool)]
+    assert ((kept.zone <= best) & (best <= kept["last"])).any()
