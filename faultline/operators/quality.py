@@ -20,11 +20,13 @@ def in_range(step="mistake_step", n="n_steps") -> Column:
 
 
 def anomaly_flags(steps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels with the schema anomalies they carry in ``flags``."""
+    """Labels with the schema anomalies they carry in ``flags``. Steps without a content
+    column have no empty content."""
+    ranged = F.when(~in_range(), F.lit(V.FLAG_OUT_OF_RANGE))
+    if "content" not in steps.columns:
+        return labels.withColumn("flags", F.array_compact(F.array(ranged)))
     blanks = steps.groupBy(*K).agg(F.max(_blank()).alias("_blank"))
-    flags = F.array_compact(F.array(
-        F.when(F.col("_blank"), F.lit(V.FLAG_EMPTY)),
-        F.when(~in_range(), F.lit(V.FLAG_OUT_OF_RANGE))))
+    flags = F.array_compact(F.array(F.when(F.col("_blank"), F.lit(V.FLAG_EMPTY)), ranged))
     return labels.join(blanks, K, "left").withColumn("flags", flags).drop("_blank")
 
 

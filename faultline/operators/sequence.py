@@ -13,6 +13,9 @@ here sorts an unbounded key inside one task:
   :func:`running_total`, a prefix scan over range partitions that no key can fill.
 """
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import K
@@ -202,21 +205,23 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], sums: dict[s
     inside = (
         Window.partitionBy("_scan_part", *keys).orderBy("_scan_pos").rowsBetween(Window.unboundedPreceding, 0)
     )
-    own = [F.col(k).alias(f"_scan_k{i}") for i, k in enumerate(keys)]
-    earlier = (
-        Window.partitionBy(*[f"_scan_k{i}" for i in range(len(keys))]).orderBy("_scan_from")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    # only keys that go on from one partition into the next have something to carry
+    names = [f"_scan_k{i}" for i in range(len(keys))]
+    own = [F.col(k).alias(n) for k, n in zip(keys, names)]
+    earlier = Window.partitionBy(*names).orderBy("_scan_from").rowsBetween(Window.unboundedPreceding, -1)
+    # only the first key of a partition goes on from one before it: one row per partition
+    first = place.groupBy("_scan_part").agg(F.min_by(F.struct(*own), "_scan_pos").alias("_k")).select("_k.*").distinct()
+    held = place.withColumnsRenamed({"_scan_part": "_scan_from"}).select("_scan_from", *own, *[F.col(c).alias(f"_scan_t_{o}") for o, c in sums.items()])
+    again = first.select(*[F.col(n).alias(f"{n}_") for n in names])
+    held = held.join(F.broadcast(again), reduce(and_, [held[n].eqNullSafe(again[f"{n}_"]) for n in names]), "left_semi")
     carry = (
-        place.groupBy(F.col("_scan_part").alias("_scan_from"), *own).agg(*[F.sum(c).alias(f"_scan_t_{o}") for o, c in sums.items()], F.count(F.lit(1)).alias("_scan_n"))
+        held.groupBy("_scan_from", *names).agg(*[F.sum(f"_scan_t_{o}").alias(f"_scan_t_{o}") for o in sums], F.count(F.lit(1)).alias("_scan_n"))
         .select("*", F.sum("_scan_n").over(earlier).alias("_scan_before"), *[F.sum(f"_scan_t_{o}").over(earlier).alias(f"_scan_c_{o}") for o in sums])
-        .where("_scan_before IS NOT NULL").select("_scan_from", *[f"_scan_k{i}" for i in range(len(keys))], *[f"_scan_c_{o}" for o in sums])
+        .where("_scan_before IS NOT NULL").select("_scan_from", *names, *[f"_scan_c_{o}" for o in sums])
     )
     same = F.col("_scan_part") == F.col("_scan_from")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_scan_k{i}"))
-    out = place.select("*", *[F.sum(c).over(inside).alias(o) for o, c in sums.items()]).join(carry, same, "left")
+    out = place.select("*", *[F.sum(c).over(inside).alias(o) for o, c in sums.items()]).join(F.broadcast(carry), same, "left")
     for o in sums:
         out = out.withColumn(o, F.when(F.col(f"_scan_c_{o}").isNull(), F.col(o)).otherwise(
             F.coalesce(F.col(o), F.lit(0)) + F.col(f"_scan_c_{o}")))
@@ -225,7 +230,11 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], sums: dict[s
 
 def dense_position(df: DataFrame, keys: list[str], order: list[str], out: str = "step_idx",
                    parts: int | None = None) -> DataFrame:
-    """0-based rank of each row in ``order`` within ``keys`` (order must be total)."""
+    """0-based rank of each row in ``order`` within ``keys`` (order must be total). Where no key
+    fills a block (checked), one shuffle on the keys; else a prefix scan (``parts``: always)."""
+    if parts is None and df.groupBy(*keys).count().filter(F.col("count") > BLOCK_STEPS).isEmpty():
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn(out, (place - 1).cast("bigint"))
     one = df.withColumn("_one", F.lit(1))
     got = running_total(one, keys, order, {out: "_one"}, parts)
     return got.withColumn(out, (F.col(out) - 1).cast("bigint")).drop("_one")

@@ -4,11 +4,11 @@
 scores, so both are derived by formulas any SQL engine can repeat.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import hash_fraction
 from ..functions.typing import parse_compound_role
-from ..operators.sequence import dense_position
+from ..operators.sequence import AUTO, dense_position, join_files, resolve
 from ..schema import K
 from ..session import cut_lineage
 
@@ -78,25 +78,31 @@ def conversation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def labels_for(steps: DataFrame) -> DataFrame:
-    """Derived gold per trajectory; needs ``key`` (the numeric id) on the steps.
+def labelled_steps(steps: DataFrame, block: int | None = AUTO) -> DataFrame:
+    """Derived gold per trajectory with the step it was taken from (``step_idx``, ``agent``);
+    needs ``key`` (the numeric id) on the steps.
 
     key mod 23 = 0: out of range; key mod 17 = 0: an agent that never acts.
     """
-    sizes = steps.groupBy(*K, "key").agg((F.max("step_idx") + 1).alias("n_steps"))
+    block = resolve(steps, block)
+    last = F.max("step_idx")
+    if block:
+        sizes = steps.groupBy(*K).agg((last + 1).alias("n_steps"))
+        s = join_files(steps.select(*K, "key", "step_idx", "agent"), sizes, "inner", block)
+    else:
+        s = steps.select(*K, "key", "step_idx", "agent", (last.over(Window.partitionBy(*K)) + 1).alias("n_steps"))
     out_of_range = F.col("key") % 23 == 0
-    gold = sizes.withColumn(
-        "mistake_step",
-        F.when(out_of_range, F.col("n_steps") + 5)
-        .otherwise((F.col("key") % F.col("n_steps"))).cast("int"),
-    ).withColumn("_at", F.when(out_of_range, F.lit(0)).otherwise(F.col("mistake_step")))
-    owners = steps.select(*K, F.col("step_idx").alias("_at"), F.col("agent").alias("_owner"))
-    return gold.join(owners, [*K, "_at"]).select(
-        *K, F.col("n_steps").cast("int").alias("n_steps"), "mistake_step",
-        F.when(F.col("key") % 17 == 0, F.lit("ghost")).otherwise(F.col("_owner"))
-        .alias("mistake_agent"),
-        F.col("key"),
-    )
+    at = F.when(out_of_range, F.lit(0)).otherwise(F.col("key") % F.col("n_steps"))
+    return s.filter(F.col("step_idx") == at).select(
+        *K, F.col("n_steps").cast("int").alias("n_steps"),
+        F.when(out_of_range, F.col("n_steps") + 5).otherwise(at).cast("int").alias("mistake_step"),
+        F.when(F.col("key") % 17 == 0, F.lit("ghost")).otherwise(F.col("agent")).alias("mistake_agent"),
+        "key", "step_idx", "agent")
+
+
+def labels_for(steps: DataFrame) -> DataFrame:
+    """Derived gold per trajectory, without the step it was taken from."""
+    return labelled_steps(steps).drop("step_idx", "agent")
 
 
 def conversation_scores(spark: SparkSession, sf_dir: str, suffix: str = "") -> DataFrame:

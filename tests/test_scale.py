@@ -323,3 +323,20 @@ def test_fold_search_looks_at_few_blocks():
     best = int(k[np.argmax(2 * tp / (2 * tp + fp + bad[own].sum() - tp))])
     kept = found[(found.cell == "a") & ~found.asks.astype(bool)]
     assert ((kept.zone <= best) & (best <= kept["last"])).any()
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_positions_and_labels_in_one_shuffle(spark, steps):
+    """Where no key fills a block: one shuffle for the position, one for the labels."""
+    from faultline.sources.views import labelled_steps
+
+    placed = Q.dense_position(steps.select(*K, "p_raw", "step_idx"), K, ["p_raw", "step_idx"], "pos")
+    assert _shuffles(placed) == 1 and "Scan parquet" not in placed._jdf.queryExecution().executedPlan().toString()
+    assert as_set(placed) == as_set(Q.dense_position(steps.select(*K, "p_raw", "step_idx"), K, ["p_raw", "step_idx"], "pos", 7))
+    keyed = steps.withColumn("key", F.substring("file_id", 2, 9).cast("long") * 17 + 6)
+    got = labelled_steps(keyed)
+    assert _shuffles(got) == 1
+    assert as_set(got) == as_set(labelled_steps(keyed, block=4))
