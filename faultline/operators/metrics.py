@@ -8,11 +8,13 @@ from .. import fixed_values as V
 from ..functions.stats import hypergeometric_hit
 from ..functions.text import collapse_agent, hash_fraction, loose_agent_match, strip
 from ..schema import K
+from ..session import cut_lineage
 from .quality import in_range, slices
 from .rules import effective_score, rank_steps
 from .sequence import AUTO, dense_position, exact_quantiles, join_files, running_total
 
 SCORERS = ["exact", "tol1", "tol2", "substring"]
+DRAWS_PER_TASK = 2_000_000
 
 
 # --- H1, H2 -----------------------------------------------------------------
@@ -133,25 +135,26 @@ def bootstrap_ci(units: DataFrame, keys: list[str], value: str, n_boot: int = V.
     """Percentile bootstrap of a mean over units, by explicit hash draws.
 
     Replicate b draws unit floor(h(seed|b|j) * n) for each of its n places, so any
-    engine can repeat it. Draws are counted per unit before they meet the values:
-    a shuffle of at most n_boot x n narrow rows per key, on (key, unit). For 0/1
-    values use :func:`with_rate_ci`, which needs none.
+    engine can repeat it. The ``n_boot x n`` narrow rows stream to the drawn values and are
+    summed by replicate before any shuffle; a task makes about ``DRAWS_PER_TASK`` of them. For
+    0/1 values use :func:`with_rate_ci`, which needs none.
     """
     u = units.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, value)
-    # equal values are interchangeable, so any order among them gives the same draws
-    u = dense_position(u, keys, [value], "_j")
+    # equal values are interchangeable, so any order among them gives the same draws; written,
+    # so that the planner sees its size
+    u = cut_lineage(dense_position(u, keys, [value], "_j"))
     sizes = u.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("point"))
     n = F.col("n")
-    places = u.select(*keys, "_j").join(sizes.select(*keys, "n"), keys).filter(n >= 2)
+    parts = max(-(-u.count() * n_boot // DRAWS_PER_TASK), u.sparkSession.sparkContext.defaultParallelism)
+    places = u.select(*keys, "_j").join(sizes.select(*keys, "n"), keys).filter(n >= 2).repartition(parts, *keys, "_j")
     key = F.concat_ws("|", F.lit(str(seed)), "_b", "_j")
     drawn = (
         places.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-        .withColumn("_i", F.floor(hash_fraction(key) * n).cast("int"))
-        .groupBy(*keys, "n", "_b", "_i").agg(F.count(F.lit(1)).alias("_w"))
+        .select(*keys, "n", "_b", F.floor(hash_fraction(key) * n).alias("_i"))
     )
     means = (
         drawn.join(u.withColumnRenamed("_j", "_i"), [*keys, "_i"])
-        .groupBy(*keys, "_b").agg((F.sum(F.col(value) * F.col("_w")) / F.first("n")).alias("m"))
+        .groupBy(*keys, "n", "_b").agg((F.sum(value) / n).alias("m"))
     )
     if rule == "package":
         lo, hi = ci_positions(n_boot, level)

@@ -1,5 +1,6 @@
 """Splitting a long trajectory or a hot key must not change any answer."""
 
+import hashlib
 import random
 import time
 
@@ -340,3 +341,28 @@ def test_positions_and_labels_in_one_shuffle(spark, steps):
     got = labelled_steps(keyed)
     assert _shuffles(got) == 1
     assert as_set(got) == as_set(labelled_steps(keyed, block=4))
+
+
+def test_draws_are_not_grouped_in_one_task(spark, steps, labels, monkeypatch):
+    """Bootstrap draws are dealt over tasks and summed by replicate; random steps are counted in
+    the row of their file."""
+    units = spark.range(60).select(F.lit("k").alias("k"), (F.col("id") / 7).alias("v"))
+    monkeypatch.setattr(M, "DRAWS_PER_TASK", 500)
+    got = M.bootstrap_ci(units, ["k"], "v", 100)
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "RepartitionByExpression" in plan and "AS _w#" not in plan
+    values = [i / 7 for i in range(60)]
+    h = lambda t: int(hashlib.sha256(t.encode()).hexdigest()[:8], 16) / 2**32
+    means = sorted(sum(values[int(h(f"0|{b}|{j}") * 60)] for j in range(60)) / 60 for b in range(100))
+    lo, hi = M.ci_positions(100)
+    row = got.first()
+    assert (row.lo, row.hi) == (pytest.approx(means[lo]), pytest.approx(means[hi]))
+    drawn = B.uniform_random_expectation(steps, labels, draws=50)
+    assert "count(1) AS _w" not in drawn._jdf.queryExecution().analyzed().toString()
+    agents = {(r.subset, r.file_id, r.step_idx): r.agent for r in steps.collect()}
+    want = {}
+    for r in labels.collect():
+        at = [int(h(f"0|{r.subset}|{r.file_id}|{d}") * r.n_steps) for d in range(50)]
+        want[r.subset, r.file_id] = (sum(agents[r.subset, r.file_id, i].lower() == r.mistake_agent.lower() for i in at) / 50,
+                                     sum(i == r.mistake_step for i in at) / 50)
+    assert {(r.subset, r.file_id): (r.agent_rate, r.step_rate) for r in drawn.collect()} == want
