@@ -79,12 +79,13 @@ def uniform_random_expectation(steps: DataFrame, labels: DataFrame, draws: int |
                  F.avg((F.col("step_idx") == F.col("mistake_step")).cast("int")).alias("step_rate"))
         )
         return own
-    key = F.concat_ws("|", F.lit(str(seed)), *K, "_d")
-    drawn = (
-        want.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        .withColumn("step_idx", F.floor(hash_fraction(key) * F.col("n_steps")).cast("int"))
-        .groupBy(*K, "step_idx", "_gold", "mistake_step").agg(F.count(F.lit(1)).alias("_w"))
-    )
+    places = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: F.floor(hash_fraction(
+        F.concat_ws("|", F.lit(str(seed)), *K, d.cast("string"))) * F.col("n_steps")).cast("int"))
+    # a file's draws are counted in its own row: no table of draws is held in memory
+    counted = F.transform(F.array_distinct("_at"), lambda x: F.struct(
+        x.alias("step_idx"), F.size(F.filter("_at", lambda y: y == x)).alias("_w")))
+    drawn = want.withColumn("_at", places).select(
+        *K, "_gold", "mistake_step", F.inline(counted))
     hit = drawn.join(s, [*K, "step_idx"])
     w = F.col("_w")
     return hit.groupBy(*K).agg(
