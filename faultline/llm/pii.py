@@ -3,12 +3,14 @@
 1. Generators propose overlapping spans of four kinds. The strict ones (``base_spans``)
    are formats that need no model; the loose ones also take written-out addresses, numbers
    without a plus sign, other separators and bracketed dots.
-2. Boosted trees score loose candidates on their format and context. They learn from a
-   bounded sample for each kind (the documents with the smallest hash among those that hold a
-   strict span of it; a quarter of ``sample_docs`` and of ``sample_windows`` each): strict spans rewritten in loose form are the positives; strings of the same alphabet with
-   another meaning (failed check digits, versions, dates, serial numbers), set in the same
-   places, are the negatives. Loose candidates found as they are have no label and are not
-   learned from.
+2. Boosted trees score loose candidates on their format and context. They learn from every
+   strict span of every document: strict spans rewritten in loose form are the positives;
+   strings of the same alphabet with another meaning (failed check digits, versions, dates,
+   serial numbers), set in the same places, are the negatives. Loose candidates found as they
+   are have no label and are not learned from. The examples stay in their tasks; a job for
+   each level of a tree sums their gradients. A caller who gives ``sample_docs`` or
+   ``sample_windows`` learns from a bounded sample for each kind instead (the documents with
+   the smallest hash among those that hold a strict span of it; a quarter of each bound).
 3. A threshold for each kind is the lowest at which the scores of a held-out third reach
    the asked precision; a kind that never reaches it adds nothing. A kind with too few
    positives to tell takes the threshold of all kinds together. Candidates over a strict span
@@ -23,13 +25,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .boosting import Boosted, fit
+from ..operators.sequence import running_total
+from .boosting import Boosted, cuts_of, fit, fit_spread
 from .common import cut_lineage, pick
 from .textcode import flat, pieces
 
@@ -168,10 +173,10 @@ def decoy(s: str, kind: str, rng: np.random.Generator) -> str:
             f"{num(2)} {num(2)} {num(2)} {num(2)}", f"{num(4)}/{num(2)}/{num(2)}"][rng.integers(5)]
 
 
-def examples(texts: list[str], spans: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def examples(texts: list[str], spans: list | None = None, seed=7, forms: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features, labels and kinds of training candidates, from the texts' strict spans or
-    those given for each text."""
-    rng = np.random.default_rng(7)
+    those given for each text; ``forms`` rewritten spans and as many decoys for each."""
+    rng = np.random.default_rng(seed)
     rows, labels, kinds = [], [], []
 
     def take(text: str, at: int, size: int, kind: str, label: int) -> None:
@@ -185,7 +190,7 @@ def examples(texts: list[str], spans: list | None = None) -> tuple[np.ndarray, n
     hints = {"email": "mail: ", "ip": "server address ", "card": "card no. ", "phone": "phone "}
     for i, text in enumerate(texts):
         for start, end, kind in base_spans(text) if spans is None else spans[i]:
-            for make, label in ((loosened, 1), (loosened, 1), (decoy, 0), (decoy, 0)):
+            for make, label in [(loosened, 1)] * forms + [(decoy, 0)] * forms:
                 new = make(text[start:end], kind, rng)
                 lead = hints[kind] if label and (kind == "phone" or rng.random() < 0.5) else ""
                 changed = text[max(0, start - 60):start] + lead + new + text[end:end + 60]
@@ -238,7 +243,114 @@ def all_spans(text: str, model: Boosted | None, bounds: dict[str, float]) -> tup
     return base, ordered([*base, *extra])
 
 
-def learn(docs: DataFrame, sample_docs: int, sample_windows: int, id_col: str, text_col: str) -> tuple[Boosted | None, dict[str, float]]:
+def learn(docs: DataFrame, sample_docs: int | None, sample_windows: int | None, id_col: str, text_col: str) -> tuple[Boosted | None, dict[str, float]]:
+    """From all strict spans, or from a sample where a bound is given."""
+    if sample_docs is None and sample_windows is None:
+        return learn_all(docs, id_col, text_col)
+    return learn_sampled(docs, sample_docs or 20_000, sample_windows or 80_000, id_col, text_col)
+
+
+#: examples in a block; a block is what a task holds of them at a time
+BLOCK_ROWS = 1 << 16
+#: rewritten forms, and decoys, that a span teaches: a kind with few spans shows most of its forms
+FORMS = 4
+
+
+def learn_all(docs: DataFrame, id_col: str, text_col: str, precision: float = 0.99, least_hits: int = 10) -> tuple[Boosted | None, dict[str, float]]:
+    """From every strict span of every document. The driver holds the cuts, the trees and a
+    number for each kind; equal examples are one row with a count."""
+    cases = cut_lineage(training_cases(docs, id_col, text_col))
+    # every feature is a count or a share within a bounded window: few distinct values each
+    values: dict[int, list] = {}
+    for r in cases.where("NOT held").select(F.posexplode("x")).groupBy("pos", "col").count().orderBy("pos", "col").collect():
+        values.setdefault(r["pos"], []).append((r["col"], r["count"]))
+    cuts = [cuts_of(*map(np.array, zip(*values[j]))) for j in sorted(values)]
+    if not cuts:
+        return None, {}
+    rows = cut_lineage(cases.mapInArrow(_binned(cuts), "bins binary, kind int, label int, held boolean")
+                       .groupBy("bins", "kind", "label", "held").agg(F.count(F.lit(1)).alias("n")))
+    sizes = {(r["held"], r["label"]): r for r in rows.groupBy("held", "label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}
+    if (False, 0) not in sizes or (False, 1) not in sizes:
+        return None, {}
+    parts = -(-sum(sizes[False, y]["rows"] for y in (0, 1)) // BLOCK_ROWS)
+    taught = rows.where("NOT held").select("bins", "label", "n").repartition(max(4, parts))
+    model = fit_spread(taught.rdd.mapPartitions(lambda rows: _blocks(rows, len(cuts))), cuts, trees=40, depth=4)
+    scored = cut_lineage(rows.where("held").mapInArrow(_margins(model, cuts), "kind int, label int, n long, over double"))
+    return model, kind_bounds(scored, precision, least_hits)
+
+
+def training_cases(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """kind, label, held and features x of the candidates that every strict span teaches. A
+    third of them is held out; which ones follows from the window alone."""
+    src = pick(docs, doc_id=id_col, text=text_col).select(F.xxhash64("doc_id", "text").alias("h"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows = _windows(batch, None)
+            while some := list(islice(windows, 1024)):
+                cols = [[], [], [], []]
+                for kind, h, nth, window, start, end in some:
+                    x, y, kinds = examples([window], [[(start, end, kind)]], [h % (1 << 64), nth, KINDS.index(kind)], FORMS)
+                    held = (np.arange(len(y)) + zlib.crc32(window.encode("utf-8", "replace"))) % 3 == 2
+                    for col, more in zip(cols, (kinds.tolist(), y.astype(int).tolist(), held.tolist(), x.tolist() if len(y) else [])):
+                        col += more
+                types = [pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["kind", "label", "held", "x"])
+
+    return src.mapInArrow(run, "kind int, label int, held boolean, x array<double>")
+
+
+def _binned(cuts: list[np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(3).flatten().to_numpy().reshape(batch.num_rows, len(cuts))
+            bins = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], axis=1).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([b.tobytes() for b in bins], pa.binary()), *batch.columns[:3]], names=["bins", "kind", "label", "held"])
+    return run
+
+
+def _blocks(rows, features: int):
+    rows = iter(rows)
+    while block := list(islice(rows, BLOCK_ROWS)):
+        x = np.frombuffer(b"".join(bytes(r[0]) for r in block), np.uint8).reshape(-1, features)
+        yield x, np.array([r[1] for r in block], float), np.array([r[2] for r in block], float)
+
+
+def _margins(model: Boosted, cuts: list[np.ndarray]):
+    # a bin stands for all its values: the cut over it lies on the same side of every bound
+    tops = [np.append(c, np.inf) for c in cuts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, len(cuts))
+            x = np.stack([t[bins[:, j]] for j, t in enumerate(tops)], axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:3], batch.column(4), pa.array(-model.margin(x))], names=["kind", "label", "n", "over"])
+    return run
+
+
+def kind_bounds(scored: DataFrame, precision: float, least_hits: int) -> dict[str, float]:
+    """:func:`lowest_bound` of each kind and of all together (kind -1) from rows of kind, label,
+    count and negated margin; equal margins are taken together."""
+    each = scored.withColumn("kind", F.explode(F.array("kind", F.lit(-1)))).groupBy("kind", "over").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("hit"))
+    run = cut_lineage(running_total(each, ["kind"], ["over"], {"seen": "n", "hits": "hit"}))
+    positives = {r["kind"]: r["p"] for r in run.groupBy("kind").agg(F.max("hits").alias("p")).collect()}
+    least = {k: max(1, min(least_hits, p)) if k < 0 else least_hits for k, p in positives.items()}
+    if not least:
+        return {}
+    need = F.create_map(*[F.lit(v) for kv in least.items() for v in kv])[F.col("kind")]
+    last = run.where((F.col("hits") / F.col("seen") >= precision) & (F.col("hits") >= need)).groupBy("kind").agg(F.max("over").alias("last"))
+    found = {r["kind"]: max(0.0, -(r["last"] if r["next"] is None else (r["last"] + r["next"]) / 2)) for r in
+             run.join(last, "kind").groupBy("kind", "last").agg(F.min(F.when(F.col("over") > F.col("last"), F.col("over"))).alias("next")).collect()}
+    bounds = {}
+    for i, name in enumerate(KINDS):
+        bound = found.get(-1 if positives.get(i, 0) < least_hits else i)
+        if bound is not None:
+            bounds[name] = bound
+    return bounds
+
+
+def learn_sampled(docs: DataFrame, sample_docs: int, sample_windows: int, id_col: str, text_col: str) -> tuple[Boosted | None, dict[str, float]]:
     """From the documents of each kind with the smallest hash of id and text. Equal ranges of
     the hash are counted first, so that about as many windows as are asked for are sorted."""
     n_docs, n_windows = max(1, sample_docs // len(KINDS)), max(1, sample_windows // len(KINDS))
@@ -261,18 +373,21 @@ def learn(docs: DataFrame, sample_docs: int, sample_windows: int, id_col: str, t
     return train([r["window"] for r in rows], spans=[[(r["start"], r["end"], r["kind"])] for r in rows])
 
 
+def _windows(batch: pa.RecordBatch, most: int | None) -> Iterator[tuple]:
+    """kind, hash, number, window, start and end of every strict span, or of the first ``most``
+    of a kind and document, with all of its surroundings that examples() looks at."""
+    for h, text, plain in zip(batch.column(0).to_pylist(), batch.column(1), _plain(batch.column(1)).tolist()):
+        text, n = "" if plain else text.as_py() or "", dict.fromkeys(KINDS, 0)
+        for s, e, k in base_spans(text):
+            if most is None or n[k] < most:
+                yield k, h, n[k], text[max(0, s - 60):e + 60], min(s, 60), min(s, 60) + e - s
+                n[k] += 1
+
+
 def _strict_windows(most: int):
-    """Every strict span, the first ``most`` of a kind and document, with all of its
-    surroundings that examples() looks at."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for h, text, plain in zip(batch.column(0).to_pylist(), batch.column(1), _plain(batch.column(1)).tolist()):
-                text, n = "" if plain else text.as_py() or "", dict.fromkeys(KINDS, 0)
-                for s, e, k in base_spans(text):
-                    if n[k] < most:
-                        rows.append((k, h, n[k], text[max(0, s - 60):e + 60], min(s, 60), min(s, 60) + e - s))
-                        n[k] += 1
+            rows = list(_windows(batch, most))
             cols = list(zip(*rows)) or [[]] * 6
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["kind", "h", "nth", "window", "start", "end"])
@@ -311,7 +426,7 @@ def _spans(model: Boosted | None, bounds: dict[str, float]):
     return run
 
 
-def personal_spans(docs: DataFrame, sample_docs: int = 20_000, id_col: str = "doc_id", text_col: str = "text", sample_windows: int = 80_000) -> DataFrame:
+def personal_spans(docs: DataFrame, sample_docs: int | None = None, id_col: str = "doc_id", text_col: str = "text", sample_windows: int | None = None) -> DataFrame:
     """doc_id, base and spans: arrays of (kind, start, end) by start, then kind."""
     model, bounds = learn(docs, sample_docs, sample_windows, id_col, text_col)
     src = pick(docs, doc_id=id_col, text=text_col)
@@ -319,7 +434,7 @@ def personal_spans(docs: DataFrame, sample_docs: int = 20_000, id_col: str = "do
     return src.mapInArrow(_spans(model, bounds), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, base {kind}, spans {kind}")
 
 
-def redact(docs: DataFrame, sample_docs: int = 20_000, id_col: str = "doc_id", text_col: str = "text", sample_windows: int = 80_000) -> DataFrame:
+def redact(docs: DataFrame, sample_docs: int | None = None, id_col: str = "doc_id", text_col: str = "text", sample_windows: int | None = None) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans are one."""
     model, bounds = learn(docs, sample_docs, sample_windows, id_col, text_col)
     at = docs.columns.index(text_col)

@@ -139,6 +139,38 @@ def test_rare_kinds_are_learned_and_bounds_hold(spark, monkeypatch):
         assert all((s, e, k) in pii.base_spans(t) for t, s, e, k in taken["cases"])
 
 
+def test_every_strict_span_teaches(spark, monkeypatch):
+    rows = [(i, f"text {i} call +1 (555) 01{i % 10}-{1000 + i} now") for i in range(5300)]  # a sample took 5,000 of them
+    rows += [(9000 + i, f"mail jo{i}@ex{i}.org or 10.0.{i}.7 now") for i in range(60)] + [(9900, "or mail bob[at]site[dot]org"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    took = [pii.training_cases(df.repartition(n), "doc_id", "text").groupBy("kind", "held").count().orderBy("kind", "held").collect() for n in (2, 5)]
+    n = {pii.KINDS[k]: sum(r["count"] for r in took[0] if r["kind"] == k) for k in {r["kind"] for r in took[0]}}
+    assert took[0] == took[1] and n["phone"] > 2.5 * 5300 and n["email"] > 2.5 * 60 and len(n) == 3
+    monkeypatch.setattr(pii, "train", None)  # the sampled way
+    got = {r[0]: r[1] for r in pii.personal_spans(df).select("doc_id", joined_spans("spans")).collect()}
+    assert got[9900] == "email:8:27" and got[9000].startswith("email:5:")
+
+
+def test_trees_of_spread_rows_equal_those_of_arrays(spark):
+    import numpy as np
+    from faultline.llm import boosting as B
+
+    rng = np.random.default_rng(5)
+    x = np.stack([rng.integers(0, 9, 900), rng.integers(0, 90, 900), np.zeros(900)], axis=1).astype(float)
+    y = ((x[:, 0] > 4) ^ (x[:, 1] > 40) ^ (rng.random(900) < 0.1)).astype(float)
+    cuts = [B.cuts_of(*np.unique(x[:, j], return_counts=True)) for j in range(3)]
+    assert all(np.array_equal(c, B._cuts(x[:, j], 32)) for j, c in enumerate(cuts))
+    binned = np.stack([np.searchsorted(c, x[:, j]) for j, c in enumerate(cuts)], axis=1).astype(np.uint8)
+    n = rng.integers(1, 4, 900)
+    want = B.fit(np.repeat(x, n, 0), np.repeat(y, n), trees=8, depth=4)
+    wide = B._cuts(np.repeat(x, n, 0)[:, 1], 32)
+    cuts[1], binned[:, 1] = wide, np.searchsorted(wide, x[:, 1])
+    for parts in (1, 5):
+        blocks = [(binned[i::parts], y[i::parts], n[i::parts].astype(float)) for i in range(parts)]
+        got = B.fit_spread(spark.sparkContext.parallelize(blocks, parts), cuts, trees=8, depth=4)
+        assert np.allclose(got.margin(x), want.margin(x), atol=1e-5)
+
+
 PAGE = """<html><head><title>T</title><script>var t="</p>"</script></head><body><nav><ul><li><a href=/a>Home</a></li></ul></nav>
 <div class="cookie-notice"><p>We use cookies.</p></div><article><h1>Head &amp; more</h1><p>First   para,\n with words. It goes on. <b>bold<br><p>Second &eacute; one, and more.</p>
 <div class="ad">Buy this now.</div></article><div class="comments"><div class="comment"><p>I agree, fine text.</p></div></div><footer>&copy; site</footer></body></html>"""
