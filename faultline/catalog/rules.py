@@ -216,7 +216,7 @@ def _(spark, sf):
          avg(CAST(e.step_idx = l.mistake_step AS INTEGER)) AS step_rate
        FROM li e JOIN lab l USING ({KEY}) GROUP BY 1, 2""", LI_LAB)
 def _(spark, sf):
-    return B.uniform_random_expectation(*T.lines(spark, sf))
+    return B.uniform_random_expectation(*T.lines(spark, sf, scored=False))
 
 
 @query("uniform_random_draws", "subset:s file_id:s agent_rate:d step_rate:d",

@@ -35,15 +35,16 @@ def flag_agent_step_mismatch(steps: DataFrame, labels: DataFrame) -> DataFrame:
     labelled (in range) step."""
     acting = steps.select(*K, F.col("step_idx").alias("mistake_step"),
                           F.col("agent").alias("_acting"))
+    return flag_acting(labels.join(acting, [*K, "mistake_step"], "left"), "_acting").drop("_acting")
+
+
+def flag_acting(labels: DataFrame, acting: str) -> DataFrame:
+    """Adds the mismatch flag where the labelled agent is not the one in column ``acting``
+    (null: unknown)."""
     current = F.col("flags") if "flags" in labels.columns else F.array().cast("array<string>")
-    differs = F.col("_acting").isNotNull() & (
-        collapse_agent("mistake_agent") != collapse_agent("_acting"))
-    return (
-        labels.join(acting, [*K, "mistake_step"], "left")
-        .withColumn("flags", F.when(differs, F.array_union(
-            current, F.array(F.lit(V.FLAG_MISMATCH)))).otherwise(current))
-        .drop("_acting")
-    )
+    differs = F.col(acting).isNotNull() & (collapse_agent("mistake_agent") != collapse_agent(acting))
+    return labels.withColumn("flags", F.when(differs, F.array_union(
+        current, F.array(F.lit(V.FLAG_MISMATCH)))).otherwise(current))
 
 
 def apply_anomaly_policy(labels: DataFrame, policy: str = "fail") -> DataFrame:

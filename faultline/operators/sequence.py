@@ -229,12 +229,15 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], sums: dict[s
 
 
 def dense_position(df: DataFrame, keys: list[str], order: list[str], out: str = "step_idx",
-                   parts: int | None = None) -> DataFrame:
+                   parts: int | None = None, size: str | None = None) -> DataFrame:
     """0-based rank of each row in ``order`` within ``keys`` (order must be total). Where no key
-    fills a block (checked), one shuffle on the keys; else a prefix scan (``parts``: always)."""
+    fills a block (checked), one shuffle on the keys; else a prefix scan (``parts``: always).
+    The one shuffle also counts the rows of the key (column ``size``); the scan does not."""
     if parts is None and df.groupBy(*keys).count().filter(F.col("count") > BLOCK_STEPS).isEmpty():
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        return df.withColumn(out, (place - 1).cast("bigint"))
+        each = Window.partitionBy(*keys).orderBy(*order)
+        whole = each.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        got = df.withColumn(out, (F.row_number().over(each) - 1).cast("bigint"))
+        return got.withColumn(size, F.count(F.lit(1)).over(whole)) if size else got
     one = df.withColumn("_one", F.lit(1))
     got = running_total(one, keys, order, {out: "_one"}, parts)
     return got.withColumn(out, (F.col(out) - 1).cast("bigint")).drop("_one")

@@ -15,6 +15,7 @@ from ..session import cut_lineage
 EVENT_TYPES = {"view": "plan", "click": "delegate", "purchase": "execute",
                "error": "execute", "signup": "final"}
 RETURN_TYPES = {"A": "plan", "N": "execute", "R": "final"}
+SIZE = "_n_steps"
 COMPOUND_ROLES = {"user": "Orchestrator (thought)", "system": "Orchestrator (-> WebSurfer)",
                   "assistant": "WebSurfer"}
 
@@ -82,11 +83,13 @@ def labelled_steps(steps: DataFrame, block: int | None = AUTO) -> DataFrame:
     """Derived gold per trajectory with the step it was taken from (``step_idx``, ``agent``);
     needs ``key`` (the numeric id) on the steps.
 
-    key mod 23 = 0: out of range; key mod 17 = 0: an agent that never acts.
+    key mod 23 = 0: out of range; key mod 17 = 0: an agent that never acts. Steps that carry
+    the length of their trajectory (``SIZE``) need no shuffle.
     """
-    block = resolve(steps, block)
     last = F.max("step_idx")
-    if block:
+    if SIZE in steps.columns:
+        s = steps.select(*K, "key", "step_idx", "agent", F.col(SIZE).alias("n_steps"))
+    elif block := resolve(steps, block):
         sizes = steps.groupBy(*K).agg((last + 1).alias("n_steps"))
         s = join_files(steps.select(*K, "key", "step_idx", "agent"), sizes, "inner", block)
     else:
@@ -111,11 +114,12 @@ def conversation_scores(spark: SparkSession, sf_dir: str, suffix: str = "") -> D
     return s.withColumn("p_raw", hash_fraction(text))
 
 
-def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_steps(spark: SparkSession, sf_dir: str, sized: bool = False) -> DataFrame:
     """Long trajectories: one per user, steps in time order, score in [0, 1). The
-    divisor is prime so that means of scores are never exact decimal ties."""
+    divisor is prime so that means of scores are never exact decimal ties. ``sized``: with the
+    length of the trajectory, where one shuffle gives it."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    e = dense_position(e, ["user_id"], ["ts", "event_id"])
+    e = dense_position(e, ["user_id"], ["ts", "event_id"], size=SIZE if sized else None)
     # the step table is what every later branch reads: written once
     return cut_lineage(e.select(
         _subset(F.col("user_id")).alias("subset"), F.col("user_id").cast("string").alias("file_id"),
@@ -123,20 +127,23 @@ def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         _mapped(F.col("event_type"), EVENT_TYPES).alias("type_norm"),
         F.lit("parsed").alias("type_source"),
         (F.col("value") / F.lit(491.0)).alias("p_raw"),
-        (F.col("event_id") % 50 != 0).alias("parse_ok"), "event_id",
+        (F.col("event_id") % 50 != 0).alias("parse_ok"), "event_id", *[c for c in e.columns if c == SIZE],
     ))
 
 
-def line_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Many short trajectories: one per order."""
+def line_steps(spark: SparkSession, sf_dir: str, scored: bool = True, sized: bool = False) -> DataFrame:
+    """Many short trajectories: one per order; with or without scores and lengths."""
     cols = ["l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", *cols, "l_returnflag", "l_discount")
-    li = dense_position(li, ["l_orderkey"], cols)
+    li = dense_position(li, ["l_orderkey"], cols, size=SIZE if sized else None)
+    scores = [
+        hash_fraction(F.concat_ws("|", "l_orderkey", "step_idx", "l_partkey")).alias("p_raw"),
+        (F.col("l_discount") * 10).alias("p_tied"),
+    ]
     return cut_lineage(li.select(
         _subset(F.col("l_orderkey")).alias("subset"),
         F.col("l_orderkey").cast("string").alias("file_id"), F.col("l_orderkey").alias("key"),
         "step_idx", F.col("l_returnflag").alias("agent"),
         _mapped(F.col("l_returnflag"), RETURN_TYPES).alias("type_norm"),
-        hash_fraction(F.concat_ws("|", "l_orderkey", "step_idx", "l_partkey")).alias("p_raw"),
-        (F.col("l_discount") * 10).alias("p_tied"),
+        *(scores if scored else []), *[c for c in li.columns if c == SIZE],
     ))
