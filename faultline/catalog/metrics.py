@@ -376,7 +376,7 @@ def _(spark, sf):
          FROM (SELECT e.*, l.n_steps, CAST({_SAME} AS INTEGER) AS own FROM li e JOIN lab l USING (subset, file_id)) e GROUP BY 1, 2) GROUP BY 1""",
        LI_LAB)
 def _(spark, sf):
-    return P.position_ownership(*T.lines(spark, sf))
+    return P.position_ownership(*T.lines(spark, sf, scored=False))
 
 
 @query("depth_accuracy", "method:s subset:s depth:s n:i agent_acc:d",

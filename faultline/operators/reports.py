@@ -115,15 +115,20 @@ def tolerance_curve(table: DataFrame, method: str = PRIMARY) -> DataFrame:
         F.max(F.when(F.col("scorer") == s, F.col("step_acc"))).alias(s) for s in ("exact", "tol1", "tol2")])
 
 
-def position_ownership(steps: DataFrame, labels: DataFrame, block: int | None = AUTO) -> DataFrame:
-    """How often step 0, 1, 2 and the last belong to the faulty agent."""
+def position_ownership(steps: DataFrame, labels: DataFrame) -> DataFrame:
+    """How often step 0, 1, 2 and the last (``n_steps`` - 1, the greatest) belong to the faulty
+    agent."""
     own = collapse_agent("agent") == collapse_agent("mistake_agent")
     idx, last = F.col("step_idx"), F.col("n_steps") - 1
-    near = steps.select(*K, "step_idx", "agent")
-    per = join_files(near, labels.select(*K, "n_steps", "mistake_agent"), "inner", block).groupBy(*K).agg(
-        *[F.max(F.when(idx == k, own)).alias(f"o{k}") for k in (0, 1, 2)],
-        F.max(F.when(idx == last, own)).alias("o_last"),
-        F.avg(own.cast("int")).alias("share"))
+    # the steps of an agent are counted where they lie; a name is compared once for all of them
+    cells = steps.groupBy(*K, "agent").agg(
+        F.count(F.lit(1)).alias("n"), F.max("step_idx").alias("_last"),
+        *[F.max(idx == k).alias(f"_at{k}") for k in (0, 1, 2)])
+    n = F.col("n")
+    per = cells.join(labels.select(*K, "n_steps", "mistake_agent"), K).groupBy(*K).agg(
+        *[F.max(F.when(F.col(f"_at{k}"), own)).alias(f"o{k}") for k in (0, 1, 2)],
+        F.max(F.when(F.col("_last") == last, own)).alias("o_last"),
+        (F.sum(F.when(own, n).otherwise(0)) / F.sum(n)).alias("share"))
     return per.groupBy("subset").agg(
         *[F.avg(F.col(f"o{k}").cast("int")).alias(f"step_{k}") for k in (0, 1, 2)],
         F.avg(F.col("o_last").cast("int")).alias("last_step"), F.avg("share").alias("mean_share"))

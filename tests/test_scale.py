@@ -343,6 +343,33 @@ def test_positions_and_labels_in_one_shuffle(spark, steps):
     assert as_set(got) == as_set(labelled_steps(keyed, block=4))
 
 
+def test_lengths_spare_the_shuffle_of_labels(spark, steps):
+    from faultline.sources.views import SIZE, labelled_steps
+
+    keyed = steps.withColumn("key", F.substring("file_id", 2, 9).cast("long") * 17 + 6)
+    sized = Q.dense_position(keyed.withColumnRenamed("step_idx", "at"), K, ["at"], size=SIZE)
+    assert _shuffles(sized) == 1 and _shuffles(labelled_steps(sized.localCheckpoint())) == 0
+    assert as_set(labelled_steps(sized)) == as_set(labelled_steps(keyed))
+
+
+def test_ownership_counts_steps_by_agent(spark, steps, labels):
+    from faultline.operators import reports as P
+
+    want = {}
+    gold = {(r.subset, r.file_id): r for r in labels.collect()}
+    for r in steps.collect():
+        g = gold[r.subset, r.file_id]
+        want.setdefault((r.subset, r.file_id), {})[r.step_idx] = r.agent.lower() == g.mistake_agent.lower()
+    for row in P.position_ownership(steps, labels).collect():
+        files = [w for (s, _), w in want.items() if s == row.subset]
+        mean = lambda xs: sum(xs) / len(xs)
+        assert row.mean_share == pytest.approx(mean([mean(w.values()) for w in files]))
+        assert row.step_1 == pytest.approx(mean([w[1] for w in files if 1 in w]))
+        assert row.last_step == pytest.approx(mean([w[max(w)] for w in files]))
+    plan = P.position_ownership(steps, labels)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("count(1) AS n#")  # counted below the join
+
+
 def test_draws_are_not_grouped_in_one_task(spark, steps, labels, monkeypatch):
     """Bootstrap draws are dealt over tasks and summed by replicate; random steps are counted in
     the row of their file."""
