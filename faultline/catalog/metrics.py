@@ -366,7 +366,7 @@ def _(spark, sf):
        FROM jd WHERE method = 'changepoint_single' GROUP BY 1""", LI_PREDS)
 def _(spark, sf):
     s, lab = T.lines(spark, sf)
-    return P.tolerance_curve(M.score_table(_preds(s), lab))
+    return P.tolerance_curve(M.score_table(_preds(s, [R.PRIMARY]), lab))
 
 
 @query("position_ownership", "subset:s step_0:d step_1:d step_2:d last_step:d mean_share:d",
@@ -392,8 +392,7 @@ def _(spark, sf):
          SELECT subset, coalesce(reason, 'regime_found') AS reason, count(*) AS n, sum(count(*)) OVER (PARTITION BY subset) AS n_files
          FROM pr WHERE method = 'changepoint_single' GROUP BY 1, 2)""", LI_PREDS)
 def _(spark, sf):
-    s, _ = T.lines(spark, sf)
-    return P.fallback_rate(_preds(s))
+    return P.fallback_rate(_preds(T.line_steps(spark, sf), [R.PRIMARY]))
 
 
 @query("fallback_by_length", "length:s n:i fallback:d",
