@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import normalize as N
 from ..schema import K
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, cut_lineage
 from ..sources import stores as ST, trajectories as TR
 from . import tables as T
 from .base import CV_LAB, EV_LAB, query
@@ -59,8 +59,9 @@ def _stored_folds(spark, sf):
     """An older snapshot of one subset lies beside the committed one."""
     s, lab = T.events(spark, sf)
     labelled = N.step_labels(s, lab)
-    stats = N.fit_loo_stats(labelled, lab)
-    thresholds = N.fit_loo_thresholds(labelled, stats)
+    # both snapshots are written from the tables, not fitted again
+    stats = cut_lineage(N.fit_loo_stats(labelled, lab))
+    thresholds = cut_lineage(N.fit_loo_thresholds(labelled, stats))
     path = _folder(spark, "folds")
     ST.save_folds(stats.filter("subset = 'alg'"), thresholds.filter("subset = 'alg'"), path)
     ST.save_folds(stats, thresholds, path)
