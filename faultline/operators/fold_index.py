@@ -203,6 +203,14 @@ def _among(at, blocks):
     return np.searchsorted(at, blocks, "right") > np.searchsorted(at, blocks)
 
 
+def _in_points(values, points):
+    """Which of the ascending points are among the values."""
+    at = np.minimum(points.searchsorted(values), len(points) - 1)
+    out = np.zeros(len(points), bool)
+    out[at[points[at] == values]] = True
+    return out
+
+
 def _frame(parts: list[dict]) -> pd.DataFrame:
     """One frame of parts whose columns are arrays, or one value for all rows of the part."""
     if not parts:  # no fold of the subset fell to this task
@@ -292,13 +300,15 @@ def _bounded(parts: dict, spans, least: float, n_ok: int, n_bad: int, objective:
     c = np.concatenate([points, points[gap + 1] - 1])
     t_lo, t_hi, f_lo, f_hi = np.zeros((4, len(a)), "int64")
     reached, reach = np.zeros(len(a), bool), {}
+    a_z, c_z = a / 1000.0, c / 1000.0
     for kind, p in parts.items():
-        below, begun = np.searchsorted(p.z_hi, a / 1000.0), np.searchsorted(p.z_lo, c / 1000.0)
+        below, begun = p.z_hi.searchsorted(a_z), p.z_lo.searchsorted(c_z)
         t_lo, f_lo = t_lo + p.bad[below], f_lo + p.ok[below]
         t_hi, f_hi = t_hi + p.bad[begun], f_hi + p.ok[begun]
-        reach[kind] = first, end = np.searchsorted(p.k_hi, a), np.searchsorted(p.k_lo, c, "right")
+        reach[kind] = first, end = p.k_hi.searchsorted(a), p.k_lo.searchsorted(c, "right")
         reached |= end > first
     low, high = (objective_of(t, f, n_ok, n_bad, objective) for t, f in ((t_lo, f_hi), (t_hi, f_lo)))
-    sure = (a == c) & _among(np.sort(np.concatenate([p.sure for p in parts.values()])), a)
-    least = max(least, low[sure].max() if sure.any() else -np.inf)
+    # a zone of one candidate that some row surely has: the points come first
+    sure = np.flatnonzero(_in_points(np.concatenate([p.sure for p in parts.values()]), points))
+    least = max(least, low[sure].max() if len(sure) else -np.inf)
     return a, c, np.flatnonzero(reached & (high >= least)), reach, least

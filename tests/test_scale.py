@@ -326,6 +326,25 @@ def test_fold_search_looks_at_few_blocks():
     assert ((kept.zone <= best) & (best <= kept["last"])).any()
 
 
+def test_points_that_rows_surely_have():
+    from faultline.operators import fold_index as FI
+
+    rng = np.random.default_rng(2)
+    points, values = np.unique(rng.integers(0, 90, 40)), rng.integers(-5, 99, 60)
+    assert (FI._in_points(values, points) == np.isin(points, values)).all() and not FI._in_points(values[:0], points).any()
+
+
+def test_stored_folds_are_fitted_once(spark, monkeypatch):
+    from faultline.catalog import stores as C
+
+    plans = []
+    monkeypatch.setattr(C.ST, "save_folds", lambda stats, thresholds, path: plans.extend(
+        df._jdf.queryExecution().optimizedPlan().toString() for df in (stats, thresholds)))
+    monkeypatch.setattr(C.ST, "load_folds", lambda spark, path: None)
+    C._stored_folds(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 4 and not any("Aggregate" in p or "Join" in p for p in plans)
+
+
 def _shuffles(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
