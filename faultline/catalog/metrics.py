@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from .. import fixed_values as V
 from ..functions.stats import p_true_from_logprobs
 from ..functions.text import hash_fraction
 from ..operators import metrics as M, reports as P, rules as R
@@ -157,10 +158,10 @@ def boot_sql(src: str, value: str, n_boot: int) -> str:
         GROUP BY z.subset, b) GROUP BY subset)"""
 
 
-@query("bootstrap_ci", "subset:s n:i point:d lo:d hi:d", boot_sql("pf", "auroc", 400), PF)
+@query("bootstrap_ci", "subset:s n:i point:d lo:d hi:d", boot_sql("pf", "auroc", V.N_BOOT), PF)
 def _(spark, sf):
     per = M.per_file_auroc(*T.events(spark, sf))
-    return M.bootstrap_ci(per.select("subset", "auroc"), ["subset"], "auroc", 400)
+    return M.bootstrap_ci(per.select("subset", "auroc"), ["subset"], "auroc")
 
 
 

@@ -412,3 +412,21 @@ def test_draws_are_not_grouped_in_one_task(spark, steps, labels, monkeypatch):
         want[r.subset, r.file_id] = (sum(agents[r.subset, r.file_id, i].lower() == r.mistake_agent.lower() for i in at) / 50,
                                      sum(i == r.mistake_step for i in at) / 50)
     assert {(r.subset, r.file_id): (r.agent_rate, r.step_rate) for r in drawn.collect()} == want
+
+
+def test_bootstrap_query_draws_the_published_number(spark):
+    """The query's interval is taken from 2,000 resamples, as its SQL's is."""
+    import __spark_entry__ as entry
+    from faultline.catalog import tables as T
+
+    sf = "/root/testdata/sf0.001"
+    values = {}
+    for r in M.per_file_auroc(*T.events(spark, sf)).collect():
+        values.setdefault(r.subset, []).append(r.auroc)
+    h = lambda t: int(hashlib.sha256(t.encode()).hexdigest()[:8], 16) / 2**32
+    lo, hi = M.ci_positions(2000)
+    assert "range(2000)" in entry.oracle_sql()["bootstrap_ci"]
+    for row in entry.queries()["bootstrap_ci"](spark, sf).collect():
+        v = sorted(values[row.subset])
+        means = sorted(sum(v[int(h(f"0|{b}|{j}") * len(v))] for j in range(len(v))) / len(v) for b in range(2000))
+        assert (row.n, row.lo, row.hi) == (len(v), pytest.approx(means[lo], abs=1e-9), pytest.approx(means[hi], abs=1e-9))
