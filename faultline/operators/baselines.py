@@ -81,12 +81,11 @@ def uniform_random_expectation(steps: DataFrame, labels: DataFrame, draws: int |
         return own
     places = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: F.floor(hash_fraction(
         F.concat_ws("|", F.lit(str(seed)), *K, d.cast("string"))) * F.col("n_steps")).cast("int"))
-    # a file's draws are counted in its own row: no table of draws is held in memory
-    counted = F.transform(F.array_distinct("_at"), lambda x: F.struct(
-        x.alias("step_idx"), F.size(F.filter("_at", lambda y: y == x)).alias("_w")))
-    drawn = want.withColumn("_at", places).select(
-        *K, "_gold", "mistake_step", F.inline(counted))
-    hit = drawn.join(s, [*K, "step_idx"])
+    # the draws stay in the row of their file, and each step counts its own among them. Never a
+    # broadcast: the planner takes the size of the labels' file, which says nothing of the draws
+    drawn = want.withColumn("_at", places).hint("merge")
+    hit = join_files(s.withColumn("step_idx", F.col("step_idx").cast("int")), drawn, "inner", block).withColumn(
+        "_w", F.lit(draws) - F.size(F.array_remove("_at", F.col("step_idx")))).filter("_w > 0")
     w = F.col("_w")
     return hit.groupBy(*K).agg(
         (F.sum(F.when(F.col("_agent") == F.col("_gold"), w).otherwise(0)) / F.lit(draws))

@@ -430,3 +430,14 @@ def test_bootstrap_query_draws_the_published_number(spark):
         v = sorted(values[row.subset])
         means = sorted(sum(v[int(h(f"0|{b}|{j}") * len(v))] for j in range(len(v))) / len(v) for b in range(2000))
         assert (row.n, row.lo, row.hi) == (len(v), pytest.approx(means[lo], abs=1e-9), pytest.approx(means[hi], abs=1e-9))
+
+
+def test_draws_are_never_broadcast(spark, steps, labels):
+    """Draws stay in their file's row: what the planner takes for a small table may hold a
+    hundred draws a file. Blocks give the same rates."""
+    whole = B.uniform_random_expectation(steps, labels, draws=50, block=None)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Generate" not in plan
+    blocks = B.uniform_random_expectation(steps, labels, draws=50, block=4)
+    assert "Broadcast" not in blocks._jdf.queryExecution().executedPlan().toString()
+    assert as_set(whole) == as_set(blocks) and whole.count() == labels.count()
