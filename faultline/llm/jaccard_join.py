@@ -12,12 +12,14 @@
    largest part of shared shingles). That is linear in the group and links nearly all
    that can be linked; components follow from those links.
 5. Groups that still hold several components are joined exactly. Overlapping groups form
-   families; a family of bounded size is one group from here on. Sets are stored in
+   families; a family of bounded size is one group from here on, a larger one where that
+   compares fewer pairs than its overlapping groups would. Sets of a small group are stored in
    a prefix tree, a probe walks it once, shares the overlap counted so far between all
    sets below a node, leaves a subtree when the remaining lengths cannot reach the
-   threshold, and skips what is already in its component. The largest component is never
-   probed with itself. Groups with the same members are joined once; large ones are cut
-   into blocks of bounded size, each pair of blocks a task of its own.
+   threshold, and skips what is already in its component. In a larger group the overlaps of
+   all its pairs are one matrix: frequent shingles by a product, rarer ones pair by pair. The
+   largest component is never probed with itself. Groups with the same members are joined
+   once; large ones are cut into blocks of bounded size, each pair of blocks a task of its own.
 
 Results: one row per document with its set size and component. Null or blank texts have
 an empty set and are linked with nothing. A text with fewer than k words is one shingle.
@@ -42,6 +44,9 @@ LOW_BYTES = U64((1 << 56) - 1)
 #: sets and shingles of one side of a block pair
 BLOCK_SETS, BLOCK_TOKENS = 2048, 1 << 21
 KEY = ("whole", "token", "p", "t")
+#: pairs from which a group's overlaps are a matrix; cells of it that a product fills in the
+#: time of one pair; shingles of a product, and pairs counted, at once
+MATRIX_PAIRS, CELLS_A_PAIR, PRODUCT, COUNTED = 1 << 12, 256, 1 << 10, 1 << 20
 
 
 def _shingled(k: int, parts: int):
@@ -202,6 +207,27 @@ class PrefixTree:
             i += 1
 
 
+class Roots:
+    """Components that links have joined."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether x and y were apart."""
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
 def tree_join(sid: np.ndarray, size: np.ndarray, comp: np.ndarray, probe: np.ndarray, target: np.ndarray,
               tokens: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that join different components of one group: enough of them to connect
@@ -213,15 +239,7 @@ def tree_join(sid: np.ndarray, size: np.ndarray, comp: np.ndarray, probe: np.nda
     sequences = [np.sort(c) for c in np.split(by_frequency[code], np.cumsum(counts)[:-1])]
     of_target = np.flatnonzero(target)
     tree = PrefixTree([sequences[i] for i in of_target])
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.get(x, x) != x:
-            parent[x] = parent.get(parent[x], parent[x])
-            x = parent[x]
-        return x
-
-    links, smallest = [], int(size[of_target].min()) if len(of_target) else 0
+    links, roots, smallest = [], Roots(), int(size[of_target].min()) if len(of_target) else 0
     member = np.zeros(len(times), bool)
     names, comps, sizes = sid.tolist(), comp.tolist(), size.tolist()
     for i in np.flatnonzero(probe).tolist():
@@ -230,15 +248,67 @@ def tree_join(sid: np.ndarray, size: np.ndarray, comp: np.ndarray, probe: np.nda
         least = -(-percent * (n + max(smallest, -(-percent * n // 100))) // (100 + percent))
         for j, overlap in tree.walk(member, least):
             j = int(of_target[j])
-            if 100 * overlap >= percent * (n + sizes[j] - overlap):
-                x, y = root(comps[i]), root(comps[j])
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    links.append((names[i], names[j]))
+            if 100 * overlap >= percent * (n + sizes[j] - overlap) and roots.join(comps[i], comps[j]):
+                links.append((names[i], names[j]))
         member[sequences[i]] = False
     return links
 
 
+def overlaps(probes: list[np.ndarray], targets: list[np.ndarray]) -> np.ndarray:
+    """Tokens that each of ``probes`` shares with each of ``targets``."""
+    rows, cols = len(probes), len(targets)
+    _, code = np.unique(np.concatenate([*probes, *targets]), return_inverse=True)
+    kinds = int(code.max()) + 1 if len(code) else 0
+    side = []
+    for sets, codes in ((probes, code[:sum(map(len, probes))]), (targets, code[sum(map(len, probes)):])):
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(codes, kind="stable")
+        times = np.bincount(codes, minlength=kinds)
+        side.append((owner[order], codes[order], times, np.cumsum(times) - times))
+    (p, p_code, p_times, _), (t, t_code, t_times, t_first) = side
+    pairs = p_times * t_times
+    frequent = pairs * CELLS_A_PAIR > rows * cols
+    # exact in floats: an overlap is far below 2^24
+    got = np.zeros((rows, cols), np.float32)
+    column = np.cumsum(frequent) - 1
+    for a in range(0, int(frequent.sum()), PRODUCT):
+        inside = frequent & (column >= a) & (column < a + PRODUCT)
+        sheets = []
+        for owner, codes, height in ((p, p_code, rows), (t, t_code, cols)):
+            here = inside[codes]
+            sheet = np.zeros((height, int(inside.sum())), np.float32)
+            sheet[owner[here], column[codes[here]] - a] = 1
+            sheets.append(sheet)
+        got += sheets[0] @ sheets[1].T
+    rare = np.flatnonzero((~frequent & (pairs > 0))[p_code])
+    repeat = t_times[p_code[rare]]
+    ends = np.cumsum(repeat)
+    flat, at = got.reshape(-1), 0
+    while at < len(rare):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COUNTED, "right")))
+        own, n = rare[at:stop], repeat[at:stop]
+        other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(t_first[p_code[own]], n)
+        np.add.at(flat, np.repeat(p[own], n) * cols + t[other], np.float32(1))
+        at = stop
+    return got
+
+
+def matrix_join(sid: np.ndarray, size: np.ndarray, comp: np.ndarray, probe: np.ndarray, target: np.ndarray,
+                tokens: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """As :func:`tree_join`, by the matrix of overlaps."""
+    of_probe, of_target = np.flatnonzero(probe), np.flatnonzero(target)
+    both = overlaps([tokens[i] for i in of_probe], [tokens[j] for j in of_target])
+    links, roots = [], Roots()
+    for i, row in zip(of_probe.tolist(), both):
+        shared = row.astype(np.int64)
+        hit = of_target[(100 * shared >= percent * (size[i] + size[of_target] - shared)) & (comp[of_target] != comp[i])]
+        # one link to each component is enough
+        for j in hit[np.unique(comp[hit], return_index=True)[1]].tolist():
+            if roots.join(int(comp[i]), int(comp[j])):
+                links.append((int(sid[i]), int(sid[j])))
+    return links
+
+
 def _join_groups(percent: int):
     """Rows sorted by (group, p, t), one task of the join after the other."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +319,8 @@ def _join_groups(percent: int):
             tokens = [np.asarray(x, np.int64) for x in table.column("tokens").combine_chunks().to_numpy(zero_copy_only=False)]
             target = col["t0"] == col["t"]
             probe = col["probe"].astype(bool) & (col["p0"] == col["p"])
-            links = tree_join(col["sid"], col["n"], col["comp"], probe, target, tokens, percent)
+            join = matrix_join if int(probe.sum()) * int(target.sum()) >= MATRIX_PAIRS else tree_join
+            links = join(col["sid"], col["n"], col["comp"], probe, target, tokens, percent)
             a, b = (list(x) for x in zip(*links)) if links else ([], [])
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -305,21 +376,25 @@ def components(sets: DataFrame, percent: int, block_sets: int = BLOCK_SETS) -> D
              .where("comps > 1")
              .groupBy("c", "x", "y").agg(F.min(F.struct("token", "hub")).alias("g")).select("g.token", "g.hub"))
     mixed = cut_lineage(member.join(mixed, "token"))
-    # groups that overlap form a family; one of bounded size is joined as one group
+    # groups that overlap form a family; one of bounded size is joined as one group, a larger one
+    # as one group or as those it is made of, whichever compares fewer pairs
     family = connected(mixed.select(F.col("sid").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct())
     family = family.join(sets.select(F.col("sid").alias("node"), F.col("shared").alias("weight")), "node")
     fits = (family.groupBy("label").agg(F.count(F.lit(1)).alias("c"), F.sum("weight").alias("w"))
             .select(F.col("label").alias("hub"), ((F.col("c") <= block_sets) & (F.col("w") <= BLOCK_TOKENS)).alias("fits")))
-    family = family.join(fits.withColumnRenamed("hub", "label"), "label")
-    whole = comp_of(family.where("fits").select(F.col("node").alias("sid"), F.col("label").alias("token"), "weight"))
-    apart = mixed.join(family.where("not fits").select(F.col("node").alias("sid")), "sid", "left_semi")
-    grouped = whole.select("token", "sid", "comp", "weight", F.lit(True).alias("whole")).union(
-        apart.select("token", "sid", "comp", "weight", F.lit(False)))
+    family = family.join(fits.withColumnRenamed("hub", "label"), "label").withColumnsRenamed({"label": "family", "node": "sid"})
+    whole = comp_of(family.select("family", "sid", "weight"))
+    apart = mixed.join(family.where("not fits").select("family", "sid"), "sid")
+    grouped = cut_lineage(whole.select("family", F.col("family").alias("token"), "sid", "comp", "weight", F.lit(True).alias("whole")).union(
+        apart.select("family", "token", "sid", "comp", "weight", F.lit(False))))
     block = lambda c, w: F.ceil(F.greatest(F.col(c) / block_sets, F.col(w) / BLOCK_TOKENS)).cast("int")
-    blocks = (grouped.groupBy("whole", "token", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("weight").alias("w"))
-              .groupBy("whole", "token").agg(F.sum("c").alias("c"), F.sum("w").alias("w"), F.max(F.struct("c", "w", "comp")).alias("g"))
-              .withColumns({"pc": F.col("c") - F.col("g.c"), "pw": F.col("w") - F.col("g.w")}).where("pc > 0")
-              .select("whole", "token", F.col("g.comp").alias("largest"), block("c", "w").alias("kt"), block("pc", "pw").alias("kp")))
+    of_group = (grouped.groupBy("family", "whole", "token", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("weight").alias("w"))
+                .groupBy("family", "whole", "token").agg(F.sum("c").alias("c"), F.sum("w").alias("w"), F.max(F.struct("c", "w", "comp")).alias("g"))
+                .withColumns({"pc": F.col("c") - F.col("g.c"), "pw": F.col("w") - F.col("g.w")}).where("pc > 0"))
+    fewest = (of_group.groupBy("family", "whole").agg(F.sum(F.col("c") * F.col("pc")).alias("pairs"))
+              .groupBy("family").agg(F.min_by("whole", F.struct("pairs", ~F.col("whole"))).alias("whole")))
+    blocks = of_group.join(fewest, ["family", "whole"]).select(
+        "whole", "token", F.col("g.comp").alias("largest"), block("c", "w").alias("kt"), block("pc", "pw").alias("kp"))
     placed = (grouped.join(blocks, ["whole", "token"])
               .withColumn("probe", F.col("comp") != F.col("largest"))
               .withColumn("p0", F.when(F.col("probe"), F.pmod(F.xxhash64("sid"), "kp")).otherwise(-1).cast("int"))

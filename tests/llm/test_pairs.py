@@ -3,6 +3,7 @@
 import fixtures as X
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from faultline.llm import suffix_dedup
 from faultline.llm.decontaminate import contained_items, drop_contaminated
@@ -114,3 +115,58 @@ def test_remove_repeats_text_and_edges(spark, none):
     got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or -1, r["n_removed"], bytes(r["kept"])) for r in got) == [
         (-1, 0, b"zz"), (1, 0, t.encode()), (1, 140, b""), (2, 140, b"!"), (3, 0, b"")]
+
+
+def test_matrix_join_finds_what_the_tree_finds(monkeypatch):
+    """Frequent and rare shingles, links below and above the threshold, one component given."""
+    from faultline.llm import jaccard_join as J
+
+    rng = np.random.default_rng(3)
+    for seed, counted in ((0, 1 << 20), (1, 7)):
+        base = rng.choice(1 << 40, 120, replace=False)
+        sets = [np.unique(np.concatenate([rng.permutation(base)[:rng.integers(80, 120)], rng.integers(0, 400, rng.integers(0, 30))]))
+                for _ in range(150)]
+        want = [[len(np.intersect1d(a, b)) for b in sets[20:]] for a in sets[:90]]
+        monkeypatch.setattr(J, "COUNTED", counted)
+        monkeypatch.setattr(J, "PRODUCT", 50)
+        assert (J.overlaps(sets[:90], sets[20:]) == np.array(want)).all()
+        sid, size = np.arange(150) + 1000, np.array([len(s) for s in sets])
+        comp = np.where(np.arange(150) % 5 == 0, 1000, sid)
+        probe, target = np.arange(150) % 3 > 0, np.arange(150) > 20
+        found = []
+        for join in (J.tree_join, J.matrix_join):
+            roots = J.Roots()
+            for a, b in join(sid, size, comp, probe, target, sets, 60):
+                roots.join(int(comp[a - 1000]), int(comp[b - 1000]))
+            found.append([roots.root(int(c)) for c in comp])
+        assert found[0] == found[1] and 1 < len(set(found[0])) < 100
+
+
+def test_large_families_are_joined_as_one_group(spark, monkeypatch):
+    """A cluster of near copies just below the threshold: its overlapping groups would compare
+    the same pairs again for each shingle that they share."""
+    import random
+
+    from faultline.llm import jaccard_join as J
+
+    rng = random.Random(2)
+    base, rows = X.sentence(rng, 120).split(), []
+    for i in range(40):
+        w = list(base)
+        for at in rng.sample(range(0, 120, 5), 5):
+            w[at] = f"edit{rng.randrange(6)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    grouped, keep = [], J.cut_lineage
+
+    def cut(frame):
+        out = keep(frame)
+        if "family" in out.columns:
+            grouped.append(out)
+        return out
+
+    monkeypatch.setattr(J, "cut_lineage", cut)
+    got = {r[0]: (r[1], r[2]) for r in jaccard_components(df, block_sets=8).collect()}
+    assert got == X.jaccard_components(rows)
+    sizes = {r.whole: (r.c, r.s) for r in grouped[0].groupBy("whole").agg(F.count("*").alias("c"), F.countDistinct("sid").alias("s")).collect()}
+    assert sizes[True][1] > 8 and sizes[True][0] == sizes[True][1] < sizes[False][0]
